@@ -10,19 +10,21 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import payload as P, scalars, time as T
+from ..functions import time as T
 from ..functions.bucket import TokenBucket
 from ..operators import aggregate, baseline, enrich, ingest, metrics, routing, throttle
 from ..operators import toplists, upsert
-from ..session import configure
-from ..sources import adapter, synthetic
+from ..session import configure, workspace
+from ..sources import adapter, streams, synthetic
+from ..sources.tables import INCREMENTS_DDL, Tables
+from ..streaming import jobs
 
 # The test events are thin (about 2.5 per active user and day). Day windows and a
 # small, slow bucket make the folds do something; the defaults stay the reference's.
 DAY = "1 day"
 SLOW = TokenBucket(5, Fraction(2, 86400))
 LOOKUP_USER = 7
-ANOMALY_USER, ANOMALY_HOUR = 61, "2024-01-22-00"
+ANOMALY_USER, ANOMALY_HOUR = 97, "2024-01-18-00"
 RETAIN_DAYS = 7
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,3 +419,87 @@ def synthetic_events(spark, sf):
     """One generated request per event, drawn from the event's id."""
     numbers = adapter.raw_events(spark, sf).select(F.col("event_id").alias("id"))
     return synthetic.load_events(numbers)
+
+
+# -- streams ------------------------------------------------------------------
+# Each runs its stream to the end of the events file and returns the stored result.
+
+def _streamed(spark, sf, name):
+    """Raw event rows as a stream, and a folder for what the stream writes."""
+    return streams.file_events(spark, adapter.events_glob(sf)), workspace(spark, name)
+
+
+def _finish(started):
+    started.awaitTermination()
+    return started
+
+
+def _stored(spark, sf, name, messages):
+    raw, root = _streamed(spark, sf, name)
+    tables = Tables(f"{root}/tables")
+    _finish(jobs.process_events(messages(raw), tables, f"{root}/checkpoint", jobs.ONCE))
+    return tables
+
+
+@query
+def stream_minute_counts(spark, sf):
+    def messages(raw):
+        return enrich.keyed_messages(adapter.as_events(raw))
+
+    tables = _stored(spark, sf, "minute-counts", messages)
+    increments = tables.read(spark, tables.increments, INCREMENTS_DDL)
+    return (increments.groupBy("user_id", "event_type", "window_start", "window_end",
+                               "window_minutes")
+            .agg(F.sum("count").alias("count"))
+            .withColumns({c: F.col(c).cast("timestamp_ntz")
+                          for c in ("window_start", "window_end")}))
+
+
+@query
+def stream_event_tables(spark, sf):
+    tables = _stored(spark, sf, "event-tables", adapter.as_raw_messages)
+    events = tables.read_events(spark).select(
+        F.col("id").cast("bigint").alias("id"), F.lit("events_by_user").alias("routed_to"),
+        F.lit(None).cast("string").alias("reason"))
+    letters = tables.read_dead_letters(spark).select(
+        F.regexp_extract("raw", r'"id":"(\d+)"', 1).cast("bigint").alias("id"),
+        F.lit("dead_letter").alias("routed_to"), "reason")
+    return events.unionByName(letters)
+
+
+@query
+def stream_daily_counters(spark, sf):
+    return _stored(spark, sf, "counters", adapter.as_raw_messages).read_counters(spark)
+
+
+@query
+def stream_anomalies(spark, sf):
+    raw, root = _streamed(spark, sf, "anomalies")
+    windows, tables = f"{root}/windows", Tables(f"{root}/tables")
+    _finish(jobs.close_windows(adapter.as_events(raw), windows, f"{root}/checkpoint-1",
+                               size=DAY, trigger=jobs.ONCE))
+    _finish(jobs.detect_anomalies(spark, windows, tables, f"{root}/checkpoint-2",
+                                  trigger=jobs.ONCE))
+    return (_rounded(tables.read_anomalies(spark))
+            .withColumns({"user_id": F.col("user_id").cast("bigint"),
+                          "detected_at": F.col("detected_at").cast("timestamp_ntz")}))
+
+
+@query
+def stream_throttle(spark, sf):
+    raw, root = _streamed(spark, sf, "throttle")
+    requests = adapter.as_requests(raw).select("id", "timestamp", "api_key")
+    _finish(jobs.throttle_stream(requests, root, f"{root}/checkpoint", SLOW, trigger=jobs.ONCE))
+    return (spark.read.parquet(f"{root}/decisions")
+            .select("id", "api_key", "allowed", "tokens_left"))
+
+
+@query
+def stream_without_repeats(spark, sf):
+    """Every event sent twice, each kept once."""
+    raw, root = _streamed(spark, sf, "repeats")
+    doubled = adapter.as_events(raw).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    kept = jobs.without_repeats(doubled, "30 days").select("id", "user_id", "event_type")
+    _finish(kept.writeStream.format("parquet").option("path", f"{root}/kept")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(**jobs.ONCE).start())
+    return spark.read.parquet(f"{root}/kept")

@@ -245,7 +245,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY time_bucket
 SELECT user_id, metric, observed_value, expected_value, z_score, detected_at, severity
 FROM ranked WHERE r <= 3""",
         "user_hour_anomalies": f"""WITH RECURSIVE {_anomalies(3.0)}
-SELECT * FROM ano WHERE user_id = 61 AND time_bucket = '2024-01-22-00'""",
+SELECT * FROM ano WHERE user_id = 97 AND time_bucket = '2024-01-18-00'""",
         "dedup_event_key": f"""SELECT event_id AS id, user_id, {_DAY} AS time_bucket,
   ts AS "timestamp", '{{"v":' || event_id || '}}' AS payload FROM events""",
         "dedup_user_instant": f"""SELECT max(event_id) AS id, user_id, {_DAY} AS time_bucket,
@@ -288,4 +288,18 @@ WHERE ts BETWEEN {_NOW} - INTERVAL 24 HOUR AND {_NOW} GROUP BY 1""",
         "synthetic_events": f"""SELECT event_id AS id, {_pick(EVENT_TYPES, 1)} AS event_type,
   'user-' || lpad({_draw(2, 100)}::VARCHAR, 3, '0') AS user_id, {_pick(PAGES, 3)} AS page,
   {_draw(4, 300)}::INT AS duration, 'sess-' || {_draw(5, 32768)} AS session_id FROM events""",
+        "stream_minute_counts": f"""SELECT user_id::VARCHAR AS user_id, * EXCLUDE (user_id)
+FROM ({_window_counts(1)})""",
+        "stream_event_tables": f"""WITH {_LETTERS}
+SELECT id, CASE WHEN reason IS NULL THEN 'events_by_user' ELSE 'dead_letter' END AS routed_to,
+  reason FROM msg""",
+        "stream_daily_counters": f"""WITH {_LETTERS}
+SELECT e.user_id::VARCHAR AS user_id, event_type, {_DAY} AS time_bucket,
+  count(*) AS event_count
+FROM events e JOIN msg ON id = event_id WHERE reason IS NULL GROUP BY ALL""",
+        "stream_anomalies": f"""WITH RECURSIVE {_anomalies(3.0)}
+SELECT * FROM ano WHERE detected_at <= {_NOW} - INTERVAL 1 HOUR""",
+        "stream_throttle": _THROTTLE,
+        "stream_without_repeats":
+            "SELECT event_id AS id, user_id, event_type FROM events",
     }

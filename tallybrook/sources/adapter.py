@@ -12,6 +12,11 @@ def events_path(sf_dir: str) -> str:
     return f"{sf_dir.rstrip('/')}/events.parquet"
 
 
+def events_glob(sf_dir: str) -> str:
+    """The same, for a stream: its file source takes a glob but no path of one file."""
+    return f"{sf_dir.rstrip('/')}/{{events}}.parquet"
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS_DDL).parquet(events_path(sf_dir))
 
