@@ -13,9 +13,15 @@ def hour_bucket(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd-HH")
 
 
-def window_start(ts: str | Column, size: str = "1 minute") -> Column:
-    """Start of the tumbling window holding ``ts``; keeps the type of ``ts``."""
-    return F.window(ts, size)["start"]
+def window_start(ts: str | Column, seconds: int = 60) -> Column:
+    """Start of the tumbling window holding ``ts``, in the type of ``ts``.
+
+    For projections: a row without a time stays, with a null start. (``F.window`` would
+    filter it out.)
+    """
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    past = F.pmod(micros(ts), F.lit(seconds * 1_000_000))
+    return ts - F.make_dt_interval(secs=(past / 1_000_000).cast("decimal(18,6)"))
 
 
 def micros(ts: str | Column) -> Column:

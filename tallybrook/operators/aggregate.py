@@ -11,24 +11,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import time as T
 
 
+def _per_window(events: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Counts per key and window. A batch groups by the start alone, which keeps the
+    shuffled key narrow; a stream needs the window itself to let go of old state."""
+    window = F.window("timestamp", size)
+    if events.isStreaming:
+        counts = events.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("count"))
+        return counts.select(*keys, F.col("w.start").alias("window_start"),
+                             F.col("w.end").alias("window_end"), "count")
+    counts = (events.groupBy(window["start"].alias("window_start"), *keys)
+              .agg(F.count("*").alias("count")))
+    end = F.col("window_start") + F.expr(f"INTERVAL {size}")
+    return counts.select(*keys, "window_start", end.alias("window_end"), "count")
+
+
 def window_counts(events: DataFrame, keys: list[str] | None = None,
                   minutes: int = 1) -> DataFrame:
     """Events per tumbling window and key (user and type by default)."""
     keys = ["user_id", "event_type"] if keys is None else keys
-    size = f"{minutes} minutes"
-    return (events.groupBy(F.window("timestamp", size).alias("w"), *keys)
-            .agg(F.count("*").alias("count"))
-            .select(*keys, F.col("w.start").alias("window_start"),
-                    F.col("w.end").alias("window_end"),
+    return (_per_window(events, keys, f"{minutes} minutes")
+            .select(*keys, "window_start", "window_end",
                     F.lit(minutes).alias("window_minutes"), "count"))
 
 
 def user_counts(events: DataFrame, size: str = "30 seconds") -> DataFrame:
     """Events per user and tumbling window: what the anomaly check observes."""
-    return (events.groupBy("user_id", F.window("timestamp", size).alias("w"))
-            .agg(F.count("*").alias("count"))
-            .select("user_id", F.col("w.start").alias("window_start"),
-                    F.col("w.end").alias("window_end"), "count"))
+    return _per_window(events, ["user_id"], size)
 
 
 def daily_rollup(increments: DataFrame) -> DataFrame:

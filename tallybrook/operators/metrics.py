@@ -43,9 +43,9 @@ def with_status(totals: DataFrame) -> DataFrame:
 def rates(events: DataFrame, by: Sequence[str] = (), size: str = "1 minute",
           seconds: float = 60.0) -> DataFrame:
     """Events per second, averaged over each window."""
-    return (events.groupBy(F.window("timestamp", size).alias("w"), *by)
+    return (events.groupBy(F.window("timestamp", size)["start"].alias("window_start"), *by)
             .agg(F.count("*").alias("n"))
-            .select(F.col("w.start").alias("window_start"), *by, "n",
+            .select("window_start", *by, "n",
                     (F.col("n") / F.lit(seconds)).alias("per_second")))
 
 
@@ -75,7 +75,7 @@ def quantiles(values: DataFrame, value: str, by: str,
     pass counts the values of a group in ``slots`` equal slots, finds the slot that
     holds each wanted rank and cuts the next pass down to those slots. After the
     passes only the values of a slot ``1 / slots ** passes`` wide are ranked. Every
-    pass is a map-side aggregation over one scan of two columns.
+    pass is a map-side hash aggregation over one scan of two columns.
 
     The ranges of a pass are broadcast if there are at most ``max_groups`` groups,
     which is counted first; beyond that they are joined by shuffle.
@@ -91,17 +91,17 @@ def quantiles(values: DataFrame, value: str, by: str,
         return [F.struct(F.lit(float(p)).alias("p"), part.alias("part"), rank.alias("rank"))
                 for rank in (F.floor(spot), F.ceil(spot))]
 
-    ranges = (rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"),
-                                    F.max("v").alias("high"))
-              .select("g", "low", "high",
-                      F.array_distinct(F.array(*[w for p in probs for w in wanted(p)]))
-                      .alias("wanted")))
-    for _ in range(passes):
-        ranges = (_locate(rows, ranges, _slot(slots), few)
-                  .groupBy("g", "low", "high").agg(F.collect_list("want").alias("wanted")))
-    found = _locate(rows, ranges, F.col("v"), few)
-    return (found.groupBy("g", F.col("want.p").alias("p"), F.col("want.part").alias("part"))
-            .agg(F.min("low").alias("a"), F.max("low").alias("b"))
+    span = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"),
+                                 F.max("v").alias("high"))
+    wants = F.array_distinct(F.array(*[w for p in probs for w in wanted(p)]))
+    counts = _slot_counts(rows, span, ["g", "n", "low", "high"], _slot(slots), few)
+    ranges = _holding(counts.withColumn("want", F.explode(wants))
+                      .select("g", "want.*", "c", "upto", "slot_low", "slot_high"))
+    keys = ["g", "p", "part", "rank", "low", "high"]
+    for _ in range(passes - 1):
+        ranges = _holding(_slot_counts(rows, ranges, keys, _slot(slots), few))
+    found = _holding(_slot_counts(rows, ranges, keys, F.col("v"), few))
+    return (found.groupBy("g", "p", "part").agg(F.min("low").alias("a"), F.max("low").alias("b"))
             .select(F.col("g").alias(by), F.col("p").alias("quantile"),
                     (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(value)))
 
@@ -112,22 +112,24 @@ def _slot(slots: int) -> Column:
     return F.when(width > 0, F.least(at, F.lit(slots - 1))).otherwise(F.lit(0))
 
 
-def _locate(rows: DataFrame, ranges: DataFrame, slot: Column, few: bool) -> DataFrame:
-    """For each wanted rank: the value range of the slot it falls in, and its rank there."""
+def _slot_counts(rows: DataFrame, ranges: DataFrame, keys: list[str], slot: Column,
+                 few: bool) -> DataFrame:
+    """Values per slot of each range, with the running total up to the slot."""
     side = F.broadcast(ranges) if few else ranges
     counts = (rows.join(side, "g").where(F.col("v").between(F.col("low"), F.col("high")))
-              .groupBy("g", "low", "high", slot.alias("slot"))
+              .groupBy(*keys, slot.alias("slot"))
               .agg(F.count("*").alias("c"), F.min("v").alias("slot_low"),
-                   F.max("v").alias("slot_high"), F.any_value("wanted").alias("wanted")))
-    w = Window.partitionBy("g", "low", "high").orderBy("slot")
+                   F.max("v").alias("slot_high")))
+    w = Window.partitionBy(*keys).orderBy("slot")
+    return counts.withColumn("upto", F.sum("c").over(w))
+
+
+def _holding(counts: DataFrame) -> DataFrame:
+    """The slot that holds each wanted rank, as the next range; ranks count from there."""
     before = F.col("upto") - F.col("c")
-    return (counts.withColumn("upto", F.sum("c").over(w))
-            .select("g", "slot_low", "slot_high", before.alias("before"), "upto",
-                    F.explode("wanted").alias("want"))
-            .where((F.col("want.rank") >= F.col("before")) & (F.col("want.rank") < F.col("upto")))
-            .select("g", F.col("slot_low").alias("low"), F.col("slot_high").alias("high"),
-                    F.col("want").withField("rank", F.col("want.rank") - F.col("before"))
-                    .alias("want")))
+    return (counts.where((F.col("rank") >= before) & (F.col("rank") < F.col("upto")))
+            .select("g", "p", "part", (F.col("rank") - before).alias("rank"),
+                    F.col("slot_low").alias("low"), F.col("slot_high").alias("high")))
 
 
 def processing_delay(events: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def processing_delay(events: DataFrame) -> DataFrame:
 
 def load_summary(outcomes: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Requests per outcome and the overall throughput over the time they span."""
-    w = Window.partitionBy()
+    w = Window.partitionBy()    # over one row per outcome
     per = (outcomes.groupBy("outcome")
            .agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")))
     elapsed = F.timestamp_diff("MILLISECOND", F.min("first").over(w), F.max("last").over(w))

@@ -49,8 +49,9 @@ def replay(requests: DataFrame, bucket: TokenBucket = TokenBucket(), *,
     """
     timed = requests.withColumn(_T, micros(at) * bucket.scale)
     busy = _busy_keys(timed, key, busy_rows, stretch_rows or max(1, busy_rows // 2), initial)
-    placed = _place(timed, busy, key)
-    starts = _chain(_transfers(placed.where(F.col(_BLOCK) >= 0), key, bucket), busy, key, bucket)
+    placed = _place(timed, busy, key, "left")
+    cut = _transfers(_place(timed.where(F.col(_T).isNotNull()), busy, key, "inner"), key, bucket)
+    starts = _chain(cut, None if initial is None else busy, key, bucket)
     if initial is not None:
         known = initial.select(F.col(key), F.lit(ORDINARY).alias(_BLOCK),
                                F.col("full_at").alias(_STATE), F.col("last_at").alias(_LAST))
@@ -98,15 +99,19 @@ def _busy_keys(timed, key, busy_rows, stretch_rows, initial) -> DataFrame:
         busy["*"], initial["full_at"].alias(_STATE), initial["last_at"].alias(_LAST))
 
 
-def _place(timed, busy, key) -> DataFrame:
-    """Gives each request its stretch: equal spans of time for busy keys."""
+def _place(timed, busy, key, how) -> DataFrame:
+    """Gives each request its stretch: equal spans of time for busy keys.
+
+    Joined "inner" it yields the requests of busy keys only; with none, adaptive
+    execution drops that side of the plan.
+    """
     b = F.broadcast(busy.withColumnRenamed(key, "_key"))
     span = F.col("final") - F.col("first") + 1
     share = (F.col(_T) - F.col("first")).cast("double") / span
     at = F.least(F.floor(share * F.col("stretches")), F.col("stretches") - 1)
     stretch = (F.when(F.col("stretches").isNull() | F.col(_T).isNull(), ORDINARY)
                .otherwise(at).cast("int"))
-    return (timed.join(b, timed[key].eqNullSafe(F.col("_key")), "left")
+    return (timed.join(b, timed[key].eqNullSafe(F.col("_key")), how)
             .select(timed["*"], stretch.alias(_BLOCK), F.col(_LAST).alias("_floor"))
             .withColumn(_T, F.when(F.col(_T).isNotNull(), F.greatest(_T, "_floor")))
             .drop("_floor"))
@@ -153,10 +158,13 @@ def _transfers(placed, key, bucket) -> DataFrame:
 
 def _chain(transfers, busy, key, bucket) -> DataFrame:
     """Incoming state of every stretch, from the transfers before it."""
-    first = busy.select(F.col(key).alias("_key"), F.col(_STATE))
-    rows = (transfers.join(F.broadcast(first), transfers[key].eqNullSafe(F.col("_key")), "left")
-            .select(key, _BLOCK, "lo", "moving", "off", _STATE)
-            .repartition(key).sortWithinPartitions(key, _BLOCK))
+    if busy is None:
+        rows = transfers.withColumn(_STATE, F.lit(None).cast("bigint"))
+    else:
+        first = busy.select(F.col(key).alias("_key"), F.col(_STATE))
+        same = transfers[key].eqNullSafe(F.col("_key"))
+        rows = transfers.join(F.broadcast(first), same, "left").drop("_key")
+    rows = rows.repartition(key).sortWithinPartitions(key, _BLOCK)
     schema = T.StructType([rows.schema[key], rows.schema[_BLOCK],
                            T.StructField(_STATE, T.LongType())])
 

@@ -62,8 +62,7 @@ def user_type_five_minute_counts(spark, sf):
 
 @query
 def user_type_daily_rollup(spark, sf):
-    minutes = aggregate.window_counts(adapter.load_events(spark, sf))
-    return aggregate.daily_rollup(minutes)
+    return aggregate.daily_counts(adapter.load_events(spark, sf))
 
 
 @query
@@ -296,9 +295,9 @@ def recent_events_per_user(spark, sf):
 
 @query
 def recent_anomalies(spark, sf):
-    found = _rounded(_daily_anomalies(spark, sf))
-    now = toplists.newest(found, "detected_at")
-    return toplists.recent_anomalies(found, now, hours=24, limit=3)
+    now = toplists.newest(adapter.load_events(spark, sf))
+    return toplists.recent_anomalies(_rounded(_daily_anomalies(spark, sf)), now,
+                                     hours=24, limit=3)
 
 
 @query

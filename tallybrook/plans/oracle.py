@@ -239,9 +239,8 @@ ORDER BY ts DESC, event_id LIMIT 3""",
         "recent_anomalies": f"""WITH RECURSIVE {_anomalies(3.0)},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY time_bucket
     ORDER BY detected_at DESC, anomaly_id) AS r FROM ano
-  WHERE time_bucket BETWEEN strftime((SELECT max(detected_at) FROM ano) - INTERVAL 23 HOUR,
-                                     '%Y-%m-%d-%H')
-                        AND strftime((SELECT max(detected_at) FROM ano), '%Y-%m-%d-%H'))
+  WHERE time_bucket BETWEEN strftime({_NOW} - INTERVAL 23 HOUR, '%Y-%m-%d-%H')
+                        AND strftime({_NOW}, '%Y-%m-%d-%H'))
 SELECT user_id, metric, observed_value, expected_value, z_score, detected_at, severity
 FROM ranked WHERE r <= 3""",
         "user_hour_anomalies": f"""WITH RECURSIVE {_anomalies(3.0)}
