@@ -18,6 +18,7 @@ the stretches of one busy key be worked on apart and joined again exactly.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -69,126 +70,121 @@ class TokenBucket:
 class Transfer:
     """Incoming ``full_at`` -> outgoing ``full_at`` over a run of requests.
 
-    Piecewise: from ``lo[i]`` up to the next ``lo``, the outcome is ``off[i]``,
-    plus the incoming value where ``moving[i]``. A piece stops moving once the
-    bucket has run full for it, because from then on the past no longer matters.
-    The number of pieces stays near ``capacity``: they differ by how many requests
-    passed, and pieces with equal outcomes are merged.
+    Piecewise: pieces are ``(lo, moving, off)``, each reaching up to the next ``lo``.
+    The outcome is ``off``, plus the incoming value where the piece is ``moving``. A
+    piece stops moving once its bucket has run full, because from then on the past no
+    longer matters. Neighbours with the same outcome are merged.
+
+    Once every bucket has less than one token, all outcomes lie within one ``cost`` of
+    each other. The pieces so far are then set aside as ``head``, and a fresh set is
+    kept for that short range. It has a handful of pieces, whatever the capacity.
     """
 
     def __init__(self, bucket: TokenBucket):
         self.bucket = bucket
-        self.lo: np.ndarray | None = None
-        self.moving: np.ndarray | None = None
-        self.off: np.ndarray | None = None
-        self.hi = 0
-        self.last = 0
-        self._merge_at = 64
+        self.head: list[tuple] | None = None
+        self.pieces: list[tuple] | None = None
+        self._hi = self._low = self._last = 0
 
     def feed(self, times: np.ndarray) -> None:
         """Takes in more requests: scaled times, ascending, none before the last."""
         if not len(times):
             return
-        b = self.bucket
-        if self.lo is None:
-            first = int(times[0])
+        b, ts = self.bucket, times.tolist()
+        if self.pieces is None:
             # anything earlier is a full bucket; nothing later can be handed over
-            self.lo, self.hi = np.array([first], np.int64), first + b.capacity * b.cost
-            self.moving, self.off = np.array([True]), np.array([0], np.int64)
-            self.last = first
-        gaps = np.diff(times, prepend=self.last)
-        breaks = np.flatnonzero(gaps > min(b.cost, b.slack))
-        i, n = 0, len(times)
+            self._begin(ts[0], ts[0] + b.capacity * b.cost)
+            self._last = ts[0]
+        gaps = np.diff(times, prepend=self._last)
+        breaks = np.flatnonzero(gaps > min(b.cost, b.slack)).tolist()
+        i, n, at = 0, len(ts), 0
         while i < n:
-            if len(self.lo) == 1 and not self.moving[0]:
-                self._feed_one_state(times[i:])
+            if len(self.pieces) == 1 and not self.pieces[0][1]:
+                self._feed_one_state(ts[i:])
                 break
-            if self._drained():
-                # no bucket gains a second token before the next break
-                at = np.searchsorted(breaks, i)
-                end = int(breaks[at]) if at < len(breaks) else n
+            if self._low > self._last + b.slack:
+                if self.head is None:
+                    self.head = self.pieces
+                    self._begin(self._last + b.slack + 1, self._last + b.slack + b.cost)
+                # up to the next break no bucket gains a second token
+                while at < len(breaks) and breaks[at] < i:
+                    at += 1
+                end = breaks[at] if at < len(breaks) else n
                 if end > i:
-                    self._jump(int(times[end - 1]))
+                    self._jump(ts[end - 1])
                     i = end
                     continue
-            self._step(int(times[i]))
+            self._step(ts[i])
             i += 1
-        self.last = int(times[-1])
+        self._last = ts[-1]
 
     def apply(self, full_at: int | None) -> int:
-        s = int(self.lo[0]) if full_at is None else max(full_at, int(self.lo[0]))
-        i = int(np.searchsorted(self.lo, s, "right")) - 1
-        return int(self.off[i]) + (s if self.moving[i] else 0)
+        s = full_at
+        for pieces in (self.head, self.pieces):
+            if pieces is not None:
+                s = pieces[0][0] if s is None else max(s, pieces[0][0])
+                _, moving, off = pieces[bisect_right(pieces, s, key=lambda p: p[0]) - 1]
+                s = off + s if moving else off
+        return s
 
     # -- internals ---------------------------------------------------------
 
-    def _images(self) -> np.ndarray:
-        return self.off + np.where(self.moving, self.lo, 0)
+    def _begin(self, lo: int, hi: int) -> None:
+        self.pieces, self._hi, self._low = [(lo, True, 0)], hi, lo
 
-    def _drained(self) -> bool:
-        return int(self._images().min()) > self.last + self.bucket.slack
+    def _ends(self):
+        return zip(self.pieces, [p[0] - 1 for p in self.pieces[1:]] + [self._hi])
 
-    def _split(self, cuts: np.ndarray) -> None:
-        """Cuts moving pieces where their outcome reaches one of ``cuts``."""
-        ends = np.append(self.lo[1:], self.hi + 1)
-        starts = cuts[None, :] - self.off[:, None]
-        inside = (starts > self.lo[:, None]) & (starts < ends[:, None]) & self.moving[:, None]
-        if not inside.any():
-            return
-        piece, _ = np.nonzero(inside)
-        lo = np.concatenate([self.lo, starts[inside]])
-        src = np.concatenate([np.arange(len(self.lo)), piece])
-        order = np.argsort(lo, kind="stable")
-        self.lo, src = lo[order], src[order]
-        self.moving, self.off = self.moving[src], self.off[src]
-
-    def _merge(self) -> None:
-        if len(self.lo) < 2:
-            return
-        keep = np.ones(len(self.lo), bool)
-        keep[1:] = (self.moving[1:] != self.moving[:-1]) | (self.off[1:] != self.off[:-1])
-        self.lo, self.moving, self.off = self.lo[keep], self.moving[keep], self.off[keep]
-
-    def _tidy(self) -> None:
-        if len(self.lo) > self._merge_at or not self.moving.any():
-            self._merge()
-            self._merge_at = max(64, 2 * len(self.lo))
+    def _take(self, parts: list[tuple]) -> None:
+        """Sets the pieces, neighbours with the same outcome as one."""
+        merged = [parts[0]]
+        for part in parts[1:]:
+            if part[1] != merged[-1][1] or part[2] != merged[-1][2]:
+                merged.append(part)
+        self.pieces = merged
+        self._low = min(off + lo if moving else off for lo, moving, off in merged)
 
     def _step(self, t: int) -> None:
-        b = self.bucket
-        self._split(np.array([t + 1, t + b.slack + 1], np.int64))
-        image = self._images()
-        full = image <= t
-        passed = ~full & (image <= t + b.slack)
-        self.off = np.where(full, t + b.cost, np.where(passed, self.off + b.cost, self.off))
-        self.moving = self.moving & ~full
-        self.last = t
-        self._tidy()
+        cost, edge = self.bucket.cost, t + self.bucket.slack
+        self._last = t
+        if self._low > edge:
+            return
+        parts = []
+        for (lo, moving, off), hi in self._ends():
+            if not moving:
+                parts.append((lo, False, t + cost if off <= t
+                              else off + cost if off <= edge else off))
+                continue
+            if lo <= t - off:               # full again by now
+                parts.append((lo, False, t + cost))
+                lo = t - off + 1
+            if lo <= min(hi, edge - off):   # passes
+                parts.append((lo, True, off + cost))
+                lo = edge - off + 1
+            if lo <= hi:                    # refused
+                parts.append((lo, True, off))
+        self._take(parts)
 
     def _jump(self, t: int) -> None:
         """Many requests at once, all buckets drained: a token goes as it comes."""
-        b = self.bucket
-        edge = t + b.slack
-        image = self._images()
-        ends = np.append(self.lo[1:], self.hi + 1) - 1
-        top = int((self.off + np.where(self.moving, ends, 0)).max())
-        first = max(0, -((top - edge - 1) // b.cost))
-        last = (edge + 1 - int(image.min())) // b.cost
-        if last >= first:
-            self._split(edge + 1 - b.cost * np.arange(first, last + 1, dtype=np.int64))
-            image = self._images()
-        due = image <= edge
-        self.off = np.where(due, self.off + b.cost * ((edge - image) // b.cost + 1), self.off)
-        self.last = t
-        self._tidy()
-
-    def _feed_one_state(self, times: np.ndarray) -> None:
-        b, s = self.bucket, int(self.off[0])
-        slack, cost = b.slack, b.cost
-        for t in times.tolist():
+        cost, edge = self.bucket.cost, t + self.bucket.slack
+        self._last = t
+        parts = []
+        for (lo, moving, off), hi in self._ends():
+            base = off if moving else off - lo
+            while lo <= hi:
+                spent = max(0, (edge - base - lo) // cost + 1)
+                parts.append((lo, moving, off + cost * spent))
+                if not moving or not spent:
+                    break
+                lo = edge - base - (spent - 1) * cost + 1
+        self._take(parts)
+
+    def _feed_one_state(self, ts: list[int]) -> None:
+        (lo, _, s), slack, cost = self.pieces[0], self.bucket.slack, self.bucket.cost
+        for t in ts:
             if s < t:
                 s = t
             if s <= t + slack:
                 s += cost
-        self.off = np.array([s], np.int64)
-        self.last = int(times[-1])
+        self.pieces, self._low = [(lo, False, s)], s

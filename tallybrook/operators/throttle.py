@@ -118,25 +118,26 @@ def _place(timed, busy, key, how) -> DataFrame:
 
 
 def _transfers(placed, key, bucket) -> DataFrame:
-    """One ``Transfer`` per stretch, in three array columns."""
+    """One ``Transfer`` per stretch: its pieces in arrays, the first ``head`` set aside."""
     rows = (placed.select(key, _BLOCK, _T).repartition(key, _BLOCK)
             .sortWithinPartitions(key, _BLOCK, _T))
     schema = T.StructType([rows.schema[key], rows.schema[_BLOCK],
                            T.StructField("lo", T.ArrayType(T.LongType())),
                            T.StructField("moving", T.ArrayType(T.BooleanType())),
-                           T.StructField("off", T.ArrayType(T.LongType()))])
+                           T.StructField("off", T.ArrayType(T.LongType())),
+                           T.StructField("head", T.IntegerType())])
 
     def sum_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
         current, transfer = None, None
 
         def emit():
-            (owner, block), x = current, transfer
+            (owner, block), head = current, transfer.head or []
+            lo, moving, off = map(list, zip(*head, *transfer.pieces))
             return pa.RecordBatch.from_arrays(
                 [pa.array([owner], types[0]), pa.array([block], pa.int32()),
-                 pa.array([x.lo.tolist()], pa.list_(pa.int64())),
-                 pa.array([x.moving.tolist()], pa.list_(pa.bool_())),
-                 pa.array([x.off.tolist()], pa.list_(pa.int64()))],
+                 pa.array([lo], pa.list_(pa.int64())), pa.array([moving], pa.list_(pa.bool_())),
+                 pa.array([off], pa.list_(pa.int64())), pa.array([len(head)], pa.int32())],
                 names=[f.name for f in schema])
 
         for batch in batches:
@@ -172,13 +173,13 @@ def _chain(transfers, busy, key, bucket) -> DataFrame:
         started, current, state = False, None, None
         for batch in batches:
             states = []
-            for owner, lo, moving, off, given in zip(*(
-                    batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            for owner, lo, moving, off, head, given in zip(*(
+                    batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
                 if not started or owner != current:
                     started, current, state = True, owner, given
                 states.append(state)
-                step = Transfer(bucket)
-                step.lo, step.moving, step.off = (np.array(lo), np.array(moving), np.array(off))
+                step, pieces = Transfer(bucket), list(zip(lo, moving, off))
+                step.head, step.pieces = pieces[:head] or None, pieces[head:]
                 state = step.apply(state)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(states, pa.int64())],

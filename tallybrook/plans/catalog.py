@@ -101,14 +101,13 @@ def recount_vs_rollup(spark, sf):
 @query
 def enriched_events(spark, sf):
     events = enrich.with_buckets(enrich.enrich(adapter.load_events(spark, sf)))
-    merged = F.parse_json("payload")
-    return events.select(
+    merged = F.from_json("payload", "_category string, _payloadSize int, _enriched boolean, "
+                                    "_processedBy string, k int")
+    return events.withColumn("m", merged).select(
         "id", "time_bucket", "hour_bucket",
-        F.variant_get(merged, "$._category", "string").alias("category"),
-        F.variant_get(merged, "$._payloadSize", "int").alias("payload_size"),
-        F.variant_get(merged, "$._enriched", "boolean").alias("enriched"),
-        F.variant_get(merged, "$._processedBy", "string").alias("processed_by"),
-        F.variant_get(merged, "$.k", "int").alias("k"),
+        F.col("m._category").alias("category"), F.col("m._payloadSize").alias("payload_size"),
+        F.col("m._enriched").alias("enriched"), F.col("m._processedBy").alias("processed_by"),
+        F.col("m.k").alias("k"),
         F.size(F.json_object_keys("payload")).alias("keys_after"),
         F.col("processed_at").isNotNull().alias("processed"),
         T.window_start("timestamp").alias("window_start"),

@@ -1,8 +1,8 @@
 """Stored tables: events, counter increments, anomalies, dead letters.
 
-All are partitioned by time bucket. A batch id, where there is one, is a partition
-below it: writing the same batch again replaces its files, so a retried or replayed
-batch changes nothing.
+Tables that grow by batches have a folder per batch and time buckets below it. Writing
+a batch again replaces its folder, so a retried or replayed batch changes nothing.
+Readers prune time buckets in every batch folder; ``compact_events`` merges them.
 """
 
 from __future__ import annotations
@@ -70,47 +70,48 @@ class Tables:
         return self.read(spark, self.dead_letters, DEAD_LETTERS_DDL)
 
 
-def _write(df: DataFrame, path: str, *partitions: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*partitions).parquet(path))
+def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
 def laid_out(events: DataFrame) -> DataFrame:
-    """Day by day, users together, newest first.
+    """Day by day, users together, newest first; adds ``time_bucket``.
 
     The range covers the time as well, so a user with a large share of the events is
     spread over several tasks and files, and row groups still hold narrow user ranges.
+    Ranges are found by a sample, which reads the input once more: do costly
+    projections, such as the enrichment, on the result.
     """
     keys = ["time_bucket", "user_id", F.col("timestamp").desc(), "id"]
-    return events.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = events.withColumn("time_bucket", T.day_bucket("timestamp"))
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_events(events: DataFrame, tables: Tables, batch_id: int | None = None) -> None:
-    rows = events.withColumn("time_bucket", T.day_bucket("timestamp"))
-    rows = rows.withColumn("batch_id", F.lit(batch_id or 0).cast("bigint"))
-    _write(laid_out(rows), tables.events, "time_bucket", "batch_id")
+def write_events(laid: DataFrame, tables: Tables, batch_id: int = 0) -> None:
+    """Writes events that were ``laid_out``."""
+    _write_batch(laid, tables.events, batch_id, "time_bucket")
 
 
 def write_increments(increments: DataFrame, tables: Tables, batch_id: int) -> None:
-    rows = (increments.withColumn("time_bucket", T.day_bucket("window_start"))
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
     keys = ["time_bucket", "user_id", "window_start"]
-    _write(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), tables.increments,
-           "time_bucket", "batch_id")
+    rows = increments.withColumn("time_bucket", T.day_bucket("window_start"))
+    _write_batch(rows.repartitionByRange(*keys).sortWithinPartitions(*keys),
+                 tables.increments, batch_id, "time_bucket")
 
 
 def write_anomalies(anomalies: DataFrame, tables: Tables) -> None:
     """Hour buckets, newest first. An hour's anomalies are replaced as a whole."""
     rows = anomalies.sortWithinPartitions("time_bucket", F.col("detected_at").desc(),
                                           "anomaly_id")
-    _write(rows, tables.anomalies, "time_bucket")
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("time_bucket").parquet(tables.anomalies))
 
 
 def write_dead_letters(letters: DataFrame, tables: Tables, batch_id: int = 0) -> None:
-    _write(letters.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
-           tables.dead_letters, "batch_id")
+    _write_batch(letters, tables.dead_letters, batch_id)
 
 
 def compact_events(spark: SparkSession, tables: Tables, into: Tables) -> None:
     """The event table rewritten with one row per key, to a new set of tables."""
-    write_events(tables.read_events(spark).drop("time_bucket"), into)
+    write_events(laid_out(tables.read_events(spark)), into)

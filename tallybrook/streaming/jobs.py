@@ -46,7 +46,7 @@ def process_events(messages: DataFrame, tables: Tables, checkpoint: str,
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             events = routing.good(batch)
-            stored.write_events(enrich.enrich(events), tables, batch_id)
+            stored.write_events(enrich.enrich(stored.laid_out(events)), tables, batch_id)
             stored.write_increments(aggregate.window_counts(events, minutes=minutes),
                                     tables, batch_id)
             stored.write_dead_letters(routing.dead_letters(batch), tables, batch_id)
@@ -175,14 +175,14 @@ def throttle_stream(requests: DataFrame, root: str, checkpoint: str,
 # -- retention ------------------------------------------------------------------
 
 def drop_expired(spark: SparkSession, path: str, oldest_kept: str) -> list[str]:
-    """Removes the ``time_bucket`` partitions of a table before ``oldest_kept``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    dropped = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        bucket = name.partition("time_bucket=")[2]
-        if status.isDirectory() and bucket and bucket < oldest_kept:
-            fs.delete(status.getPath(), True)
-            dropped.append(bucket)
+    """Removes the ``time_bucket`` folders of a table before ``oldest_kept``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    dropped = set()
+    for pattern in ("time_bucket=*", "batch_id=*/time_bucket=*"):
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or ():
+            bucket = status.getPath().getName().partition("=")[2]
+            if bucket < oldest_kept:
+                fs.delete(status.getPath(), True)
+                dropped.add(bucket)
     return sorted(dropped)

@@ -76,7 +76,7 @@ def test_event_tables_equal_batch(spark, raw, tmp_path):
     before = rows(tables.read_counters(spark), *keys)
     first = routing.parse_messages(cut[0])
     stored.write_increments(aggregate.window_counts(routing.good(first)), tables, 0)
-    stored.write_events(enrich.enrich(routing.good(first)), tables, 0)
+    stored.write_events(enrich.enrich(stored.laid_out(routing.good(first))), tables, 0)
     stored.write_dead_letters(routing.dead_letters(first), tables, 0)
     assert rows(tables.read_counters(spark), *keys) == before
     assert tables.read_dead_letters(spark).count() == routing.dead_letters(parsed).count()
@@ -93,6 +93,18 @@ def test_event_tables_equal_batch(spark, raw, tmp_path):
             .collect()} == {d for d in days if d >= "2024-01-10"}
 
 
+def test_anomaly_table(spark, raw, tmp_path):
+    counts = aggregate.user_counts(adapter.as_events(raw), "1 day")
+    found = baseline.anomalies(baseline.ema_baseline(counts), threshold=2.0).withColumns({
+        "user_id": F.col("user_id").cast("string"),
+        "detected_at": F.col("detected_at").cast("timestamp")})
+    tables = Tables(str(tmp_path))
+    for _ in range(2):
+        stored.write_anomalies(found, tables)
+    columns = ["time_bucket", "anomaly_id", "detected_at", "z_score"]
+    assert rows(tables.read_anomalies(spark), *columns) == rows(found, *columns)
+
+
 def test_late_events_are_counted_by_the_default_path(spark, tmp_path):
     configure(spark)
     batches = [["01-01 12:00", "01-02 12:00"], ["01-02 06:00", "01-02 13:00"],
