@@ -21,10 +21,15 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property
 
 import numpy as np
 
 
+# state of a bucket never used: full since long ago
+UNUSED = -(2 ** 62)
+
+
 @dataclass(frozen=True)
 class TokenBucket:
     capacity: int = 100
@@ -37,34 +42,39 @@ class TokenBucket:
             raise ValueError("refill rate: one token must take a whole number of "
                              "microseconds, or a fraction of at most 1/2000")
 
-    @property
+    @cached_property
     def _period(self) -> Fraction:
         return Fraction(1_000_000) / Fraction(self.refill_per_second)
 
-    @property
+    @cached_property
     def scale(self) -> int:
         return self._period.denominator
 
-    @property
+    @cached_property
     def cost(self) -> int:
         return self._period.numerator
 
-    @property
+    @cached_property
     def slack(self) -> int:
         return (self.capacity - 1) * self.cost
 
-    def request(self, full_at: int | None, t: int) -> tuple[bool, int | None]:
-        """Decision and new state for one request at scaled time ``t``."""
-        base = t if full_at is None or full_at < t else full_at
-        if base <= t + self.slack:
-            return True, base + self.cost
-        return False, full_at
-
-    def tokens(self, full_at: int | None, t: int) -> int:
-        """Whole tokens in the bucket at scaled time ``t``."""
-        if full_at is None or full_at <= t:
-            return self.capacity
-        return (self.capacity * self.cost - (full_at - t)) // self.cost
+    def serve(self, times: list[int], full_at: int) -> tuple[list[bool], list[int]]:
+        """Decision on, and state after, each request at ascending scaled times."""
+        cost, slack = self.cost, self.slack
+        allowed, states = [], []
+        for t in times:
+            base = full_at if full_at > t else t
+            if base <= t + slack:
+                full_at = base + cost
+                allowed.append(True)
+            else:
+                allowed.append(False)
+            states.append(full_at)
+        return allowed, states
+
+    def tokens(self, full_at, t):
+        """Whole tokens in the bucket at scaled time ``t``; for arrays as well."""
+        return (self.capacity * self.cost - np.maximum(full_at - t, 0)) // self.cost
 
 
 class Transfer:
@@ -118,11 +128,11 @@ class Transfer:
             i += 1
         self._last = ts[-1]
 
-    def apply(self, full_at: int | None) -> int:
+    def apply(self, full_at: int) -> int:
         s = full_at
         for pieces in (self.head, self.pieces):
             if pieces is not None:
-                s = pieces[0][0] if s is None else max(s, pieces[0][0])
+                s = max(s, pieces[0][0])
                 _, moving, off = pieces[bisect_right(pieces, s, key=lambda p: p[0]) - 1]
                 s = off + s if moving else off
         return s
@@ -181,10 +191,6 @@ class Transfer:
         self._take(parts)
 
     def _feed_one_state(self, ts: list[int]) -> None:
-        (lo, _, s), slack, cost = self.pieces[0], self.bucket.slack, self.bucket.cost
-        for t in ts:
-            if s < t:
-                s = t
-            if s <= t + slack:
-                s += cost
-        self.pieces, self._low = [(lo, False, s)], s
+        lo, _, state = self.pieces[0]
+        state = self.bucket.serve(ts, state)[1][-1]
+        self.pieces, self._low = [(lo, False, state)], state

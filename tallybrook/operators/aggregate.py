@@ -39,25 +39,30 @@ def user_counts(events: DataFrame, size: str = "30 seconds") -> DataFrame:
     return _per_window(events, ["user_id"], size)
 
 
+def _per_bucket(rows: DataFrame, ts: str, unit: str, keys: list[str],
+                amount: Column) -> DataFrame:
+    """Totals per key and day or hour. Rows are grouped by the bucket's start, a plain
+    number; its text is made once per group, not once per row."""
+    name = T.day_bucket if unit == "day" else T.hour_bucket
+    return (rows.groupBy(*keys, F.window(ts, f"1 {unit}")["start"].alias("_start"))
+            .agg(amount.alias("event_count"))
+            .select(*keys, name("_start").alias("time_bucket"), "event_count"))
+
+
 def daily_rollup(increments: DataFrame) -> DataFrame:
     """Window counts, or stored increments, summed into daily counters."""
-    return (increments
-            .groupBy("user_id", "event_type",
-                     T.day_bucket("window_start").alias("time_bucket"))
-            .agg(F.sum("count").alias("event_count")))
+    return _per_bucket(increments, "window_start", "day", ["user_id", "event_type"],
+                       F.sum("count"))
 
 
 def daily_counts(events: DataFrame) -> DataFrame:
     """The daily counters straight from events, with one shuffle instead of two."""
-    return (events
-            .groupBy("user_id", "event_type", T.day_bucket("timestamp").alias("time_bucket"))
-            .agg(F.count("*").alias("event_count")))
+    return _per_bucket(events, "timestamp", "day", ["user_id", "event_type"], F.count("*"))
 
 
-def type_counts(events: DataFrame, bucket: Column) -> DataFrame:
-    """Events per type and bucket over all users."""
-    return (events.groupBy("event_type", bucket.alias("time_bucket"))
-            .agg(F.count("*").alias("event_count")))
+def type_counts(events: DataFrame, unit: str = "day") -> DataFrame:
+    """Events per type and day or hour, over all users."""
+    return _per_bucket(events, "timestamp", unit, ["event_type"], F.count("*"))
 
 
 def lookup(counters: DataFrame, user_id, event_type: str | None = None,

@@ -15,24 +15,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalars
+from ..functions.arrow import runs
 
 ALPHA = 0.1
 THRESHOLD = 3.0
 MIN_OBSERVATIONS = 10
 METRIC = "event_rate"
 
+_NEW = (0.0, 0.0, 0)
 _STATE = [T.StructField("mean", T.DoubleType()), T.StructField("variance", T.DoubleType()),
           T.StructField("observations", T.LongType())]
 
 
-def ema_step(mean: float, variance: float, n: int, x: float,
-             alpha: float) -> tuple[float, float, int]:
-    """Baseline after one more observation."""
-    if n == 0:
-        return x, 0.0, 1
-    gap = x - mean
-    return ((1 - alpha) * mean + alpha * x,
-            (1 - alpha) * variance + alpha * gap * gap, n + 1)
+def ema_run(xs: list[float], mean: float, variance: float, n: int,
+            alpha: float) -> tuple[list[tuple[float, float, int]], tuple[float, float, int]]:
+    """The baseline each observation meets, and the one left after the last."""
+    met, keep = [], 1 - alpha
+    for x in xs:
+        met.append((mean, variance, n))
+        if n:
+            gap = x - mean
+            mean = keep * mean + alpha * x
+            variance = keep * variance + alpha * gap * gap
+        else:
+            mean, variance = x, 0.0
+        n += 1
+    return met, (mean, variance, n)
 
 
 def ema_baseline(counts: DataFrame, *, key: str = "user_id", at: str = "window_start",
@@ -46,21 +54,19 @@ def ema_baseline(counts: DataFrame, *, key: str = "user_id", at: str = "window_s
     names = [*counts.columns, *(f.name for f in _STATE)]
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, current = False, None
-        mean = variance = 0.0
-        n = 0
+        current, state = None, _NEW
         for batch in batches:
-            means, variances, seen = [], [], []
-            for owner, x in zip(batch.column(k).to_pylist(), batch.column(v).to_pylist()):
-                if not started or owner != current:
-                    started, current, mean, variance, n = True, owner, 0.0, 0.0, 0
-                means.append(mean)
-                variances.append(variance)
-                seen.append(n)
-                mean, variance, n = ema_step(mean, variance, n, float(x), alpha)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(means, pa.float64()),
-                 pa.array(variances, pa.float64()), pa.array(seen, pa.int64())], names=names)
+            xs, met = batch.column(v).cast(pa.float64()).to_pylist(), []
+            for a, z in runs(batch, k):
+                owner = (batch.column(k)[a].as_py(),)
+                if owner != current:
+                    current, state = owner, _NEW
+                seen, state = ema_run(xs[a:z], *state, alpha)
+                met += seen
+            added = zip(zip(*met), (pa.float64(), pa.float64(), pa.int64()))
+            if met:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *(pa.array(x, kind) for x, kind in added)], names=names)
 
     return ordered.mapInArrow(fold, T.StructType([*counts.schema.fields, *_STATE]))
 

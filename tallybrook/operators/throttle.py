@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.bucket import TokenBucket, Transfer
+from ..functions.arrow import runs
+from ..functions.bucket import UNUSED, TokenBucket, Transfer
 from ..functions.time import micros
 
 BUSY_ROWS = 5_000_000
@@ -142,10 +143,9 @@ def _transfers(placed, key, bucket) -> DataFrame:
 
         for batch in batches:
             types = [c.type for c in batch.columns]
-            owners, blocks = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             times = batch.column(2).to_numpy()
-            for a, z in _runs(owners, blocks):
-                here = (owners[a], int(blocks[a]))
+            for a, z in runs(batch, 0, 1):
+                here = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
                 if transfer is None or here != current:
                     if transfer is not None:
                         yield emit()
@@ -176,7 +176,8 @@ def _chain(transfers, busy, key, bucket) -> DataFrame:
             for owner, lo, moving, off, head, given in zip(*(
                     batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
                 if not started or owner != current:
-                    started, current, state = True, owner, given
+                    started, current = True, owner
+                    state = UNUSED if given is None else given
                 states.append(state)
                 step, pieces = Transfer(bucket), list(zip(lo, moving, off))
                 step.head, step.pieces = pieces[:head] or None, pieces[head:]
@@ -212,40 +213,35 @@ def _decide(placed, starts, requests, key, tie, bucket) -> DataFrame:
                            T.StructField("full_at", T.LongType())])
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, full_at, floor = None, None, None
-        ask, count = bucket.request, bucket.tokens
+        current, full_at, floor = None, UNUSED, UNUSED
         for batch in batches:
-            allowed, left, states = [], [], []
-            columns = [batch.column(at[c]).to_pylist()
-                       for c in (key, _BLOCK, _T, _STATE, _LAST, "_request")]
-            for owner, block, t, given, last, request in zip(*columns):
-                if current != (owner, block):
-                    current, full_at, floor = (owner, block), None, None
-                if not request:
-                    full_at, floor = given, last
+            column = {c: batch.column(i) for c, i in at.items()}
+            request = column["_request"].to_numpy(zero_copy_only=False)
+            timed = column[_T].is_valid().to_numpy(zero_copy_only=False)
+            times = column[_T].fill_null(0).to_numpy().copy()
+            allowed, states = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64)
+            for a, z in runs(batch, at[key], at[_BLOCK]):
+                here = (column[key][a].as_py(), column[_BLOCK][a].as_py())
+                if here != current:
+                    current, full_at, floor = here, UNUSED, UNUSED
+                # first the marker, if any, then requests without a time, then the rest
+                while a < z and not (request[a] and timed[a]):
+                    if not request[a]:
+                        full_at = column[_STATE][a].as_py()
+                        floor = column[_LAST][a].as_py() or UNUSED
+                    a += 1
+                if a == z:
                     continue
-                if t is None:
-                    allowed.append(None), left.append(None), states.append(None)
-                    continue
-                if floor is not None and t < floor:
-                    t = floor
-                ok, full_at = ask(full_at, t)
-                allowed.append(ok)
-                left.append(count(full_at, t))
-                states.append(full_at)
-            rows_in = batch.filter(batch.column(at["_request"]))
+                if times[a] < floor:
+                    np.maximum(times[a:z], floor, out=times[a:z])
+                allowed[a:z], states[a:z] = bucket.serve(times[a:z].tolist(), full_at)
+                full_at = int(states[z - 1])
+            keep_rows, none = pa.array(request), ~timed[request]
+            rows_in = batch.filter(keep_rows)
+            left = bucket.tokens(states, times).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*(rows_in.column(i) for i in keep), pa.array(allowed, pa.bool_()),
-                 pa.array(left, pa.int32()), pa.array(states, pa.int64())], names=names)
+                [*(rows_in.column(i) for i in keep),
+                 pa.array(allowed[request], mask=none), pa.array(left[request], mask=none),
+                 pa.array(states[request], mask=none)], names=names)
 
     return rows.mapInArrow(decide, schema)
-
-
-def _runs(owners: list, blocks: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of equal (owner, block) within a sorted batch."""
-    start = 0
-    for i in range(1, len(owners) + 1):
-        if i == len(owners) or owners[i] != owners[start] or blocks[i] != blocks[start]:
-            if i > start:
-                yield start, i
-            start = i

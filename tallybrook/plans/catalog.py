@@ -67,12 +67,12 @@ def user_type_daily_rollup(spark, sf):
 
 @query
 def type_daily_counts(spark, sf):
-    return aggregate.type_counts(adapter.load_events(spark, sf), T.day_bucket("timestamp"))
+    return aggregate.type_counts(adapter.load_events(spark, sf), "day")
 
 
 @query
 def type_hourly_counts(spark, sf):
-    return aggregate.type_counts(adapter.load_events(spark, sf), T.hour_bucket("timestamp"))
+    return aggregate.type_counts(adapter.load_events(spark, sf), "hour")
 
 
 @query

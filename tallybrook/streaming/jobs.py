@@ -95,11 +95,9 @@ def baseline_stream(windows: DataFrame, alpha: float = baseline.ALPHA) -> DataFr
              state: GroupState) -> Iterator[pd.DataFrame]:
         mean, variance, n = state.get if state.exists else (0.0, 0.0, 0)
         rows = pd.concat(list(chunks)).sort_values("start_us")
-        before = []
-        for x in rows["count"].tolist():
-            before.append((mean, variance, n))
-            mean, variance, n = baseline.ema_step(mean, variance, n, float(x), alpha)
-        state.update((mean, variance, n))
+        before, after = baseline.ema_run(rows["count"].astype(float).tolist(), mean, variance,
+                                         n, alpha)
+        state.update(after)
         met = pd.DataFrame(before, columns=["mean", "variance", "observations"],
                            index=rows.index)
         yield pd.concat([rows, met], axis=1)
