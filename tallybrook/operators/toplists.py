@@ -37,6 +37,11 @@ def look_back(events: DataFrame, end: Column, hours: int | None = None) -> DataF
     return between(events, T.hours_before(end, T.clamp(hours, *EVENT_HOURS)), end)
 
 
+def day_buckets(events: DataFrame, user_id, days: list[str]) -> DataFrame:
+    """All events of a user in the given day buckets: one pruned scan for their union."""
+    return events.where((F.col("user_id") == user_id) & F.col("time_bucket").isin(days))
+
+
 def user_events(events: DataFrame, user_id, end: Column, *, hours: int | None = None,
                 limit: int | None = None, event_type: str | None = None) -> DataFrame:
     """Newest events of one user; ties in id order."""

@@ -84,7 +84,7 @@ ano AS (
   SELECT strftime(detected_at, '%Y-%m-%d-%H') AS time_bucket, detected_at,
     'event_rate:' || user_id || ':' || strftime(detected_at, '%Y%m%d%H%M%S') AS anomaly_id,
     user_id, 'event_rate' AS metric, n::DOUBLE AS observed_value,
-    round(mean, 9) AS expected_value, round(z, 9) AS z_score,
+    mean AS expected_value, z AS z_score,
     CASE WHEN abs(z) > 5 THEN 'HIGH' WHEN abs(z) > 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity
   FROM zed WHERE observations >= 10 AND abs(z) > {threshold})"""
 
@@ -209,8 +209,8 @@ SELECT id, CASE WHEN reason = 'null_user_id' THEN 'unknown' END AS user_id,
         "keyed_publish": """SELECT user_id::VARCHAR AS key, count(*) AS n,
   sum(event_id)::BIGINT AS sum_id FROM events GROUP BY 1""",
         "ema_baseline": f"""WITH RECURSIVE {_EMA}
-SELECT user_id, window_start, n AS count, observations, round(mean, 9) AS mean,
-  round(variance, 9) AS variance, round(z, 9) AS z_score FROM zed""",
+SELECT user_id, window_start, n AS count, observations, mean, variance, z AS z_score
+FROM zed""",
         "anomalies_daily": f"WITH RECURSIVE {_anomalies(3.0)} SELECT * FROM ano",
         "anomalies_low_threshold": f"WITH RECURSIVE {_anomalies(2.0)} SELECT * FROM ano",
         "throttle_decisions": _THROTTLE,
@@ -232,6 +232,10 @@ ORDER BY ts DESC, event_id LIMIT 1000""",
 WHERE user_id = 7 AND event_type = 'click'
   AND ts BETWEEN {_NOW} - INTERVAL 168 HOUR AND {_NOW}
 ORDER BY ts DESC, event_id LIMIT 3""",
+        "user_day_buckets": "\nUNION ALL ".join(
+            f"""SELECT event_id AS id, user_id, '{day}' AS time_bucket, ts AS "timestamp"
+FROM events WHERE user_id = 7 AND {_DAY} = '{day}'"""
+            for day in ("2024-01-10", "2024-01-11", "2024-01-20")),
         "recent_events_per_user": f"""SELECT * FROM (
   SELECT event_id AS id, user_id, event_type, ts AS "timestamp",
     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INT AS rank
