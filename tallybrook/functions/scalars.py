@@ -19,11 +19,11 @@ MAX_USER_ID = 100
 
 
 def category(event_type: str | Column) -> Column:
-    name = F.lower(event_type)
-    result = F.lit("other")
-    for label, types in CATEGORIES.items():
-        result = F.when(name.isin(types), label).otherwise(result)
-    return F.when(name.isNotNull(), result)
+    """Category of a type in any case; a lookup in a constant map, so one ``lower``."""
+    pairs = [F.lit(v) for label, types in CATEGORIES.items() for t in types for v in (t, label)]
+    event_type = F.col(event_type) if isinstance(event_type, str) else event_type
+    found = F.coalesce(F.element_at(F.create_map(*pairs), F.lower(event_type)), F.lit("other"))
+    return F.when(event_type.isNotNull(), found)
 
 
 def severity(abs_z: str | Column) -> Column:

@@ -11,14 +11,15 @@ PROCESSED_BY = "enrichment-v1"   # fixed value
 
 def enrich(events: DataFrame, processed_at: Column | None = None) -> DataFrame:
     """Server-side keys merged into the payload, and ``processed_at`` set."""
+    opened = P.open_object("payload")   # parsed once: equal expressions are shared
     additions = {
         "_enriched": F.lit(True),
         "_category": scalars.category("event_type"),
-        "_payloadSize": P.size("payload"),
+        "_payloadSize": P.size(opened),
         "_processedBy": F.lit(PROCESSED_BY),
     }
     now = F.current_timestamp() if processed_at is None else processed_at
-    return (events.withColumn("payload", P.merge("payload", additions))
+    return (events.withColumn("payload", P.merge(opened, additions))
             .withColumn("processed_at", now))
 
 

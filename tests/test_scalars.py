@@ -60,7 +60,7 @@ def test_payload_merge_keeps_types_and_replaces_keys(spark):
     configure(spark)
     text = '{"a":1,"b":{"c":[1,2.5,null]},"d":"x","e":true,"_enriched":"no"}'
     df = spark.createDataFrame([(text,)], "payload string")
-    merged = json.loads(one(df.select(P.merge("payload", {
+    merged = json.loads(one(df.select(P.merge(P.open_object("payload"), {
         "_enriched": F.lit(True), "_n": F.lit(3), "_s": F.lit('q"q')}))))
     assert merged == {"a": 1, "b": {"c": [1, 2.5, None]}, "d": "x", "e": True,
                       "_enriched": True, "_n": 3, "_s": 'q"q'}
@@ -68,7 +68,8 @@ def test_payload_merge_keeps_types_and_replaces_keys(spark):
 
 def test_payload_size_and_shape(spark):
     texts = ['{"a":1,"b":{"x":1,"y":2}}', "{}", '{"a":1,"a":2}']
-    assert values(spark, "string", texts, P.size) == [2, 0, 1]
+    assert values(spark, "string", texts, lambda c: P.size(P.open_object(c))) == [
+        2, 0, 1]
     assert values(spark, "string", ['{"a":1}', "[1]", "{bad", "1", None], P.is_object) == [
         True, False, False, False, False]
     assert values(spark, "string", ["{bad", "[1]"], lambda c: F.size(P.parse(c))) == [0, 0]
