@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars
 
 MAX_BATCH = 100
+MAX_CROWDED = 10_000
 ANONYMOUS = "anonymous"
 
 
@@ -36,9 +37,18 @@ def batch_verdicts(requests: DataFrame, key: str = "batch_id") -> DataFrame:
 
 
 def accepted_from_batches(requests: DataFrame, key: str = "batch_id") -> DataFrame:
-    """The requests of accepted batches."""
-    good = batch_verdicts(requests, key).where("accepted").select(key)
-    return requests.join(good, key, "left_semi")
+    """The requests of accepted batches.
+
+    The most crowded rejected batches are filtered out before the join: at most
+    ``MAX_CROWDED`` of them, so they can be broadcast, and any batch that is left has
+    at most 1 / MAX_CROWDED of the requests.
+    """
+    verdicts = batch_verdicts(requests, key)
+    crowded = (verdicts.orderBy(F.col("n_events").desc(), key).limit(MAX_CROWDED)
+               .where("n_events > 100").select(key))
+    good = verdicts.where("accepted").select(key)
+    return (requests.join(F.broadcast(crowded), key, "left_anti")
+            .join(good, key, "left_semi"))
 
 
 def flatten_batches(batches: DataFrame, events: str = "events") -> DataFrame:

@@ -68,22 +68,32 @@ def histogram(values: DataFrame, value: str, low: float, high: float, buckets: i
 
 def quantiles(values: DataFrame, value: str, by: str,
               probs: Sequence[float] = QUANTILES, passes: int = 2,
-              slots: int = 4096, max_groups: int = 10_000) -> DataFrame:
+              slots: int = 65536, max_groups: int = 10_000,
+              few_rows: int = 1_000_000) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, with bounded state.
 
-    A plain percentile keeps every distinct value of a group in one task. Here each
-    pass counts the values of a group in ``slots`` equal slots, finds the slot that
-    holds each wanted rank and cuts the next pass down to those slots. After the
-    passes only the values of a slot ``1 / slots ** passes`` wide are ranked. Every
-    pass is a map-side hash aggregation over one scan of two columns.
+    A plain percentile keeps every distinct value of a group in one task. That is fine
+    up to ``few_rows`` values in all, which are counted first. Beyond it, a first pass counts the values of a group by sign and power of two, which gives the power
+    that holds each wanted rank. Each further pass cuts those ranges into ``slots``
+    equal slots and goes on with the ones that hold the ranks. Of the 2**52 doubles
+    within a power, a slot after two passes spans 2**20; the distinct values left in
+    it are ranked. Every pass is a map-side hash aggregation over one scan.
 
-    The ranges of a pass are broadcast if there are at most ``max_groups`` groups,
-    which is counted first; beyond that they are joined by shuffle.
+    The ranges of a pass are broadcast if the same count found at most ``max_groups``
+    groups; beyond that they are joined by shuffle.
     """
     rows = values.where(F.col(value).isNotNull()).select(
         F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
-    few = rows.select("g").distinct().limit(max_groups + 1).count() <= max_groups
-    n = F.col("n")
+    groups, total = (rows.groupBy("g").agg(F.count("*").alias("n"))
+                     .agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first())
+    if total <= few_rows:
+        found = F.percentile("v", [float(p) for p in probs])
+        each = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                            found.alias("q"))
+        return (rows.groupBy("g").agg(each.alias("each"))
+                .select(F.col("g").alias(by), F.explode("each").alias("e"))
+                .select(by, F.col("e.p").alias("quantile"), F.col("e.q").alias(value)))
+    few, n = groups <= max_groups, F.col("n")
 
     def wanted(p: float) -> list[Column]:
         spot = F.lit(float(p)) * (n - 1)
@@ -91,33 +101,38 @@ def quantiles(values: DataFrame, value: str, by: str,
         return [F.struct(F.lit(float(p)).alias("p"), part.alias("part"), rank.alias("rank"))
                 for rank in (F.floor(spot), F.ceil(spot))]
 
-    span = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"),
-                                 F.max("v").alias("high"))
     wants = F.array_distinct(F.array(*[w for p in probs for w in wanted(p)]))
-    counts = _slot_counts(rows, span, ["g", "n", "low", "high"], _slot(slots), few)
-    ranges = _holding(counts.withColumn("want", F.explode(wants))
+    ranges = _holding(_slot_counts(rows, ["g"], _power())
+                      .withColumn("n", F.sum("c").over(Window.partitionBy("g")))
+                      .withColumn("want", F.explode(wants))
                       .select("g", "want.*", "c", "upto", "slot_low", "slot_high"))
     keys = ["g", "p", "part", "rank", "low", "high"]
-    for _ in range(passes - 1):
-        ranges = _holding(_slot_counts(rows, ranges, keys, _slot(slots), few))
-    found = _holding(_slot_counts(rows, ranges, keys, F.col("v"), few))
-    return (found.groupBy("g", "p", "part").agg(F.min("low").alias("a"), F.max("low").alias("b"))
+    for i in range(passes + 1):
+        side = F.broadcast(ranges) if few else ranges
+        inside = rows.join(side, "g").where(F.col("v").between(F.col("low"), F.col("high")))
+        slot = _slot(slots) if i < passes else F.col("v")
+        ranges = _holding(_slot_counts(inside, keys, slot))
+    return (ranges.groupBy("g", "p", "part").agg(F.min("low").alias("a"), F.max("low").alias("b"))
             .select(F.col("g").alias(by), F.col("p").alias("quantile"),
                     (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(value)))
 
 
+def _power() -> Column:
+    """Sign and power of two of a value, as a number that grows with the value."""
+    v = F.col("v")
+    size = F.floor(F.log2(F.abs(v))) + 1100
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
+
 def _slot(slots: int) -> Column:
     width = F.col("high") - F.col("low")
     at = F.floor((F.col("v") - F.col("low")) / width * slots)
     return F.when(width > 0, F.least(at, F.lit(slots - 1))).otherwise(F.lit(0))
 
 
-def _slot_counts(rows: DataFrame, ranges: DataFrame, keys: list[str], slot: Column,
-                 few: bool) -> DataFrame:
-    """Values per slot of each range, with the running total up to the slot."""
-    side = F.broadcast(ranges) if few else ranges
-    counts = (rows.join(side, "g").where(F.col("v").between(F.col("low"), F.col("high")))
-              .groupBy(*keys, slot.alias("slot"))
+def _slot_counts(rows: DataFrame, keys: list[str], slot: Column) -> DataFrame:
+    """Values per key and slot, with the running total up to the slot."""
+    counts = (rows.groupBy(*keys, slot.alias("slot"))
               .agg(F.count("*").alias("c"), F.min("v").alias("slot_low"),
                    F.max("v").alias("slot_high")))
     w = Window.partitionBy(*keys).orderBy("slot")

@@ -49,7 +49,7 @@ def replay(requests: DataFrame, bucket: TokenBucket = TokenBucket(), *,
     without a time get no decision.
     """
     timed = requests.withColumn(_T, micros(at) * bucket.scale)
-    busy = _busy_keys(timed, key, busy_rows, stretch_rows or max(1, busy_rows // 2), initial)
+    busy = _busy_keys(timed, key, busy_rows, stretch_rows or max(1, busy_rows // 16), initial)
     placed = _place(timed, busy, key, "left")
     cut = _transfers(_place(timed.where(F.col(_T).isNotNull()), busy, key, "inner"), key, bucket)
     starts = _chain(cut, None if initial is None else busy, key, bucket)

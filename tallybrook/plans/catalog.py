@@ -398,11 +398,13 @@ def latency_histogram(spark, sf):
 
 @query
 def pipeline_delay(spark, sf):
-    """Processing times are set by rule: (id mod 997) ms after the event."""
+    """Processing times are set by rule: (id mod 997) ms after the event. Quantiles are
+    found by passes, however few the rows."""
     events = adapter.load_events(spark, sf).withColumn(
         "processed_at", F.col("timestamp") + F.make_dt_interval(
             secs=((F.col("id") % 997) / 1000).cast("decimal(18,6)")))
-    found = metrics.quantiles(metrics.processing_delay(events), "delay_ms", "event_type")
+    found = metrics.quantiles(metrics.processing_delay(events), "delay_ms", "event_type",
+                              few_rows=0)
     return found.select("event_type", "quantile", F.round("delay_ms", 6).alias("delay_ms"))
 
 

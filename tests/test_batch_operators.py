@@ -261,19 +261,25 @@ def test_retention(spark):
 @pytest.mark.parametrize("draw", [
     lambda r: r.lognormal(0, 3, 4000), lambda r: r.integers(0, 3, 4000).astype(float),
     lambda r: np.full(4000, 2.5), lambda r: r.normal(0, 1e-9, 4000) + 1e6,
-    lambda r: np.concatenate([r.random(3999), [1e300]])])
+    lambda r: np.concatenate([r.random(3999), [1e300]]),
+    lambda r: r.normal(0, 1, 4000) * 10.0 ** r.integers(-300, 300, 4000),
+    lambda r: np.concatenate([np.zeros(3000), -r.random(500), 2.0 ** r.integers(-9, 9, 500)])])
 def test_quantiles_equal_numpy(spark, draw):
     rng = np.random.default_rng(4)
     data = {g: draw(rng)[:n] for g, n in (("a", 4000), ("b", 1), ("c", 2), ("d", 777))}
     df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)],
                                "g string, v double").repartition(3)
-    got = metrics.quantiles(df, "v", "g", slots=16).collect()
+    got = metrics.quantiles(df, "v", "g", slots=64, few_rows=0).collect()
     assert len(got) == 12
     for r in got:
         want = np.quantile(data[r.g], r.quantile)
         assert r.v == pytest.approx(want, rel=1e-12, abs=1e-300)
-    wide = metrics.quantiles(df, "v", "g", slots=16, max_groups=1).collect()
+    wide = metrics.quantiles(df, "v", "g", slots=64, max_groups=1, few_rows=0).collect()
     assert sorted(map(tuple, wide)) == sorted(map(tuple, got))
+    plain = {(r.g, r.quantile): r.v for r in metrics.quantiles(df, "v", "g").collect()}
+    assert len(plain) == 12
+    for r in got:
+        assert plain[(r.g, r.quantile)] == pytest.approx(r.v, rel=1e-9, abs=1e-300)
 
 
 def test_histogram(spark):
