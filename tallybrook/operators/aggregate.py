@@ -1,7 +1,7 @@
 """Tumbling-window counts and their rollups.
 
 Every count is a partial aggregate before its shuffle, so what moves is one row
-per key and map task, however hot the key.
+per key and map task, however hot the key. Events without a time are in no window.
 """
 
 from __future__ import annotations

@@ -426,9 +426,17 @@ def synthetic_events(spark, sf):
 # -- streams ------------------------------------------------------------------
 # Each runs its stream to the end of the events file and returns the stored result.
 
-def _streamed(spark, sf, name):
-    """Raw event rows as a stream, and a folder for what the stream writes."""
-    return streams.file_events(spark, adapter.events_glob(sf)), workspace(spark, name)
+FILES_PER_BATCH = 1000
+
+
+def _streamed(spark, sf, name, max_files=None):
+    """Raw event rows as a stream, and a folder for what the stream writes.
+
+    Jobs that depend on time order read all files in one batch, as the files of a
+    table are in no order; the others take ``max_files`` at a time.
+    """
+    stream = streams.file_events(spark, adapter.events_glob(sf), max_files)
+    return stream, workspace(spark, name)
 
 
 def _finish(started):
@@ -437,7 +445,7 @@ def _finish(started):
 
 
 def _stored(spark, sf, name, messages):
-    raw, root = _streamed(spark, sf, name)
+    raw, root = _streamed(spark, sf, name, FILES_PER_BATCH)
     tables = Tables(f"{root}/tables")
     _finish(jobs.process_events(messages(raw), tables, f"{root}/checkpoint", jobs.ONCE))
     return tables

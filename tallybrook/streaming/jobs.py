@@ -25,6 +25,7 @@ from ..operators import aggregate, baseline, enrich, routing, throttle
 from ..sources import tables as stored
 from ..sources.tables import Tables
 
+WINDOWS_DDL = "user_id string, window_start timestamp, window_end timestamp, count bigint"
 LATENESS = "1 hour"
 FLUSH = {"processingTime": "60 seconds"}
 CHECK = {"processingTime": "30 seconds"}
@@ -93,7 +94,8 @@ def _watermarked(events: DataFrame, lateness: str) -> DataFrame:
 def close_windows(events: DataFrame, path: str, checkpoint: str, *, size: str = "30 seconds",
                   lateness: str = LATENESS, trigger: dict = CHECK) -> StreamingQuery:
     """Appends each user's window counts to a table once the window is closed."""
-    counts = aggregate.user_counts(_watermarked(events, lateness), size)
+    counts = aggregate.user_counts(_watermarked(events, lateness), size).withColumn(
+        "user_id", F.col("user_id").cast("string"))
     return (counts.writeStream.format("parquet").outputMode("append").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
@@ -138,10 +140,8 @@ def detect_anomalies(spark: SparkSession, windows_path: str, tables: Tables, che
                      *, threshold: float = baseline.THRESHOLD,
                      trigger: dict = CHECK) -> StreamingQuery:
     """Folds the table of closed windows and appends to the anomaly table."""
-    ddl = spark.read.parquet(windows_path).schema
-    windows = spark.readStream.schema(ddl).parquet(windows_path)
-    found = baseline.anomalies(baseline_stream(windows), threshold=threshold).withColumn(
-        "user_id", F.col("user_id").cast("string"))
+    windows = spark.readStream.schema(WINDOWS_DDL).parquet(windows_path)
+    found = baseline.anomalies(baseline_stream(windows), threshold=threshold)
     return (found.writeStream.format("parquet").outputMode("append")
             .option("path", tables.anomalies).option("checkpointLocation", checkpoint)
             .partitionBy("time_bucket").trigger(**trigger).start())
