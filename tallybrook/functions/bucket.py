@@ -32,6 +32,7 @@ UNUSED = -(2 ** 62)
 
 @dataclass(frozen=True)
 class TokenBucket:
+    # fixed values, as defaults
     capacity: int = 100
     refill_per_second: Fraction | int = 20
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import scalars
 from ..functions.arrow import runs
 
+# Smoothing, threshold, warm-up and the name of the metric.
 ALPHA = 0.1
 THRESHOLD = 3.0
 MIN_OBSERVATIONS = 10

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars
 
+# Events in a batch, key of callers without one.
 MAX_BATCH = 100
-MAX_CROWDED = 10_000
 ANONYMOUS = "anonymous"
 
+MAX_CROWDED = 10_000
+
 
 def validate(requests: DataFrame) -> DataFrame:
     """Adds ``violations`` (array of messages) and ``is_valid``."""

@@ -73,11 +73,13 @@ def quantiles(values: DataFrame, value: str, by: str,
     """Exact quantiles (linear interpolation) per group, with bounded state.
 
     A plain percentile keeps every distinct value of a group in one task. That is fine
-    up to ``few_rows`` values in all, which are counted first. Beyond it, a first pass counts the values of a group by sign and power of two, which gives the power
-    that holds each wanted rank. Each further pass cuts those ranges into ``slots``
-    equal slots and goes on with the ones that hold the ranks. Of the 2**52 doubles
-    within a power, a slot after two passes spans 2**20; the distinct values left in
-    it are ranked. Every pass is a map-side hash aggregation over one scan.
+    up to ``few_rows`` values in all, which are counted first.
+
+    Beyond it, a first pass counts the values of a group by sign and power of two, which
+    gives the power that holds each wanted rank. Each further pass cuts those ranges into
+    ``slots`` equal slots and goes on with the ones that hold the ranks. Of the 2**52
+    doubles within a power, a slot after two passes spans 2**20; the distinct values left
+    in it are ranked. Every pass is a map-side hash aggregation over one scan.
 
     The ranges of a pass are broadcast if the same count found at most ``max_groups``
     groups; beyond that they are joined by shuffle.

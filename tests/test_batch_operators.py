@@ -197,8 +197,9 @@ def test_flatten_array_batches(spark):
 
 
 def test_stamp(spark):
-    df = spark.createDataFrame([("click", "u", "{}", "1.2.3.4")] * 2,
-                               "event_type string, user_id string, payload string, source_ip string")
+    df = spark.createDataFrame(
+        [("click", "u", "{}", "1.2.3.4")] * 2,
+        "event_type string, user_id string, payload string, source_ip string")
     got = ingest.stamp(df).collect()
     assert len({r.id for r in got}) == 2
     assert all(r.timestamp is not None and r.processed_at is None for r in got)
@@ -267,8 +268,8 @@ def test_retention(spark):
 def test_quantiles_equal_numpy(spark, draw):
     rng = np.random.default_rng(4)
     data = {g: draw(rng)[:n] for g, n in (("a", 4000), ("b", 1), ("c", 2), ("d", 777))}
-    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)],
-                               "g string, v double").repartition(3)
+    pairs = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(pairs, "g string, v double").repartition(3)
     got = metrics.quantiles(df, "v", "g", slots=64, few_rows=0).collect()
     assert len(got) == 12
     for r in got:

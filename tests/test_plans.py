@@ -33,7 +33,8 @@ def test_upsert_limits_before_the_shuffle(spark, sf):
 
 def test_user_events_push_filters_and_take_ordered(spark, sf):
     events = adapter.load_events(spark, sf)
-    text = plan(toplists.user_events(events, 7, F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz")))
+    end = F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz")
+    text = plan(toplists.user_events(events, 7, end))
     assert "TakeOrderedAndProject" in text and "EqualTo(user_id,7)" in text
     assert "GreaterThanOrEqual(ts" in text
 
@@ -63,7 +64,7 @@ def test_no_cross_joins(spark, sf):
 def test_busy_list_is_all_that_is_broadcast(spark, sf):
     requests = adapter.as_requests(adapter.raw_events(spark, sf))
     text = plan(throttle.replay(requests.select("id", "timestamp", "api_key")))
-    assert f"TakeOrderedAndProject" in text and str(throttle.MAX_BUSY) in text
+    assert "TakeOrderedAndProject" in text and str(throttle.MAX_BUSY) in text
     assert "SortMergeJoin" not in text
 
 
@@ -71,7 +72,8 @@ def test_busy_list_is_all_that_is_broadcast(spark, sf):
 def test_many_copies_of_one_event(spark, copies):
     base = spark.range(copies).select(
         F.lit("1").alias("id"), F.lit("u").alias("user_id"),
-        F.lit(dt.datetime(2024, 1, 1)).alias("timestamp"), F.col("id").cast("string").alias("payload"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("timestamp"),
+        F.col("id").cast("string").alias("payload"),
         F.timestamp_seconds(F.col("id")).alias("processed_at")).repartition(8)
     got = upsert.upsert_events(base).collect()
     assert [r.payload for r in got] == [str(copies - 1)]

@@ -93,6 +93,45 @@ def test_event_tables_equal_batch(spark, raw, tmp_path):
             .collect()} == {d for d in days if d >= "2024-01-10"}
 
 
+def test_failed_batch_is_redone_without_double_counts(spark, raw, tmp_path, monkeypatch):
+    drop_files([adapter.as_raw_messages(p).select("value") for p in parts(raw, 2)],
+               f"{tmp_path}/in", "text")
+    tables, write, calls = Tables(f"{tmp_path}/tables"), stored.write_dead_letters, []
+
+    def fail_once(letters, into, batch_id):
+        calls.append(batch_id)
+        if calls == [0, 1]:     # events and increments of batch 1 are written by now
+            raise RuntimeError("lost")
+        write(letters, into, batch_id)
+
+    monkeypatch.setattr(stored, "write_dead_letters", fail_once)
+
+    def run():
+        finish(jobs.process_events(streams.file_messages(spark, f"{tmp_path}/in", 1), tables,
+                                   f"{tmp_path}/cp", jobs.ONCE))
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert calls == [0, 1, 1]
+    parsed = routing.parse_messages(adapter.as_raw_messages(raw))
+    keys = ["user_id", "event_type", "time_bucket", "event_count"]
+    assert rows(tables.read_counters(spark), *keys) == rows(
+        aggregate.daily_counts(routing.good(parsed)), *keys)
+    assert tables.read_dead_letters(spark).count() == routing.dead_letters(parsed).count()
+
+
+def test_no_closed_window_yet(spark, raw, tmp_path):
+    drop_files([raw.where("event_id = 0")], f"{tmp_path}/in")
+    tables = Tables(f"{tmp_path}/tables")
+    events = adapter.as_events(streams.file_events(spark, f"{tmp_path}/in"))
+    finish(jobs.close_windows(events, f"{tmp_path}/windows", f"{tmp_path}/cp1",
+                              trigger=jobs.ONCE))
+    finish(jobs.detect_anomalies(spark, f"{tmp_path}/windows", tables, f"{tmp_path}/cp2",
+                                 trigger=jobs.ONCE))
+    assert tables.read_anomalies(spark).count() == 0
+
+
 def test_anomaly_table(spark, raw, tmp_path):
     counts = aggregate.user_counts(adapter.as_events(raw), "1 day")
     found = baseline.anomalies(baseline.ema_baseline(counts), threshold=2.0).withColumns({
