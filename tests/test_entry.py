@@ -3,8 +3,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from tallybrook.plans import catalog, oracle
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(oracle.sql()) == set(NAMES)
+
+
+def test_all_are_registered():
+    assert set(NAMES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
