@@ -278,7 +278,8 @@ def _blocks(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
     size = block.groupBy("component").agg(F.sum("n_shingles").alias("grams"))
     block = block.join(size, "component")
     parts = F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int")
-    rows = docs.select("doc_id", "text").join(block.select("doc_id", "component", parts.alias("parts")), "doc_id")
+    block = block.select("doc_id", "component", parts.alias("parts")).hint("merge")   # alike at any size
+    rows = docs.select("doc_id", "text").join(block, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in store.slices(batches):
