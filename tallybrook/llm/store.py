@@ -56,6 +56,12 @@ def small_or_shuffled(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread(files: DataFrame, name: str = "path") -> DataFrame:
+    """A list of files dealt out so that tasks get few each, however small the list is."""
+    most = 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(1, min(files.count(), most)), name)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

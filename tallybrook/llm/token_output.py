@@ -109,5 +109,5 @@ def read(manifest: DataFrame, digest=None, kind: str = "binary") -> DataFrame:
                              pa.array(values, arrow)],
                             names=["doc_id", "start", "n_tokens", "ids"])
 
-    return (manifest.select("path", "first").repartition("path")
+    return (store.spread(manifest.select("path", "first"))
             .mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, ids {kind}"))

@@ -269,4 +269,4 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield batch_of(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORD)
+    return store.spread(manifest.select("path")).mapInArrow(run, RECORD)
