@@ -163,6 +163,8 @@ def _head(raw: bytes) -> tuple[dict[str, str], int]:
         fields[name.strip().lower()] = value.strip()
     if not fields.get("content-length", "").isdigit():
         raise Damaged("no content length")
+    if not fields.get("warc-record-id") or not fields.get("warc-type"):
+        raise Damaged("no record id or type")
     return fields, end + 4
 
 
