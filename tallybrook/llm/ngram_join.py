@@ -6,7 +6,9 @@ text. That order is cut into segments, and a set is a path of segments. Two step
 1. Routing. Two sets with a Jaccard similarity of t differ in few n-grams, so if the hash
    range is cut into more segments than that, some segment is equal in both. A set is
    filed under the hash of each of its segments. Sets that share a filed segment are
-   candidates, and connected candidates form a block. No linked pair is ever in two blocks.
+   candidates, unless the numbers of their n-grams in 64 parts of the hash range already
+   differ by more in all than linked sets can. Connected candidates form a block. No
+   linked pair is ever in two blocks.
 2. Prefix tree. The sets of a block are put into a tree of segments. Pairs of tree nodes
    are walked together from the root; the overlap of two prefixes is counted once for all
    sets below them, and a pair of subtrees is left when the n-grams already known to
@@ -21,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import graph, store, words
 
@@ -31,6 +33,8 @@ CUTS = 6                 # cuts tried on a set before its thin segments are file
 BLOCK_GRAMS = 1 << 17    # n-grams of the sets in half a group
 NODE_GRAMS = 8           # n-grams of a tree segment, on average
 PAIRS = 1 << 18          # node pairs that are expanded at once
+SLOTS = 64               # parts of the hash range whose n-grams are counted
+MEMBERS = 1 << 11        # candidates with one signature whose counts are compared
 
 
 def gram_sets(array: pa.Array, n: int) -> list[np.ndarray]:
@@ -118,7 +122,8 @@ def signatures(grams: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``(doc_id, n_shingles, h1, h2, sigs)`` of each text; h1 and h2 stand for its set."""
+    """``(doc_id, n_shingles, h1, h2, slots, sigs)`` of each text; h1 and h2 stand for its
+    set, slots holds how many n-grams each part of the hash range has, up to 255."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in store.slices(batches):
             sets = gram_sets(store.texts(batch), n)
@@ -126,14 +131,16 @@ def _signed(docs: DataFrame, n: int, similarity: float) -> DataFrame:
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             two = [np.array([words.mix(s + np.uint64(i)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                    for i in (1, 2)]
+            slots = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SLOTS), 255)
+                     .astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [store.column(batch, "doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)),
-                 *map(pa.array, two),
+                 *map(pa.array, two), pa.array(slots, pa.binary()),
                  pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))],
-                names=["doc_id", "n_shingles", "h1", "h2", "sigs"])
+                names=["doc_id", "n_shingles", "h1", "h2", "slots", "sigs"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sigs array<bigint>")
+        run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, slots binary, sigs array<bigint>")
 
 
 class Level:
@@ -326,12 +333,11 @@ def components(docs: DataFrame, folder: store.Folder, n: int = 3, parts: tuple[i
     signed = folder.cut(_signed(rows, n, parts[0] / parts[1]), "signed")
     sets = (signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
             .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"),
-                 F.any_value("sigs").alias("sigs")))
+                 F.any_value("slots").alias("slots"), F.any_value("sigs").alias("sigs")))
     sets = folder.cut(sets, "sets")
-    filed = sets.select("rep", F.explode("sigs").alias("sig"))
-    firsts = filed.withColumn("first", F.min("rep").over(_by("sig")))
-    near = graph.components(firsts.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")),
-                            folder, "near")
+    signed = folder.cut(signed.select("doc_id", "n_shingles", "h1", "h2"), "known")
+    folder.drop("signed")
+    near = graph.components(_candidates(sets, folder, parts[0] / parts[1]), folder, "near")
     block = near.join(sets.select(F.col("rep").alias("node"), "n_shingles"), "node").select(
         F.col("node").alias("doc_id"), "component", "n_shingles")
     found = folder.cut(links(rows, folder.cut(block, "blocks"), n, parts), "links")
@@ -346,9 +352,53 @@ def components(docs: DataFrame, folder: store.Folder, n: int = 3, parts: tuple[i
     return answered.select(names).unionByName(alone.select(names))
 
 
-def _by(name: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(name)
+def _candidates(sets: DataFrame, folder: store.Folder, similarity: float) -> DataFrame:
+    """``(a, b)``: edges that connect all sets that may be linked.
+
+    Sets filed under one signature are candidates of each other. Up to ``MEMBERS`` of them
+    are compared by the counts of their slots: the differences of the counts add up to no
+    more than the n-grams in which two sets differ, so a pair with a larger sum is no
+    candidate, and the others are reduced to one edge per set. A larger group is connected
+    as a whole, without comparison, through its smallest id.
+    """
+    one = Window.partitionBy("sig")
+    filed = (sets.select("rep", F.explode("sigs").alias("sig"))
+             .select("rep", "sig", F.count("*").over(one).alias("n"), F.min("rep").over(one).alias("first"))
+             .where("n > 1"))
+    filed = folder.cut(filed, "filed")
+    whole = filed.where((F.col("n") > MEMBERS) & (F.col("rep") != F.col("first"))).select(
+        F.col("first").alias("a"), F.col("rep").alias("b"))
+    groups = (filed.where(F.col("n") <= MEMBERS).groupBy("sig")
+              .agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
+              .select("reps", F.monotonically_increasing_id().alias("group")))
+    groups = folder.cut(groups, "groups")
+    members = groups.select("group", F.explode("reps").alias("rep")).join(sets.select("rep", "n_shingles", "slots"), "rep")
+    members = members.groupBy("group").agg(F.collect_list(F.struct("rep", "n_shingles", "slots")).alias("m"))
+    members = members.select(F.col("m.rep").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.slots").alias("slots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_near(np.array(r), np.array(n), b"".join(s), similarity)
+                   for r, n, s in zip(*(c.to_pylist() for c in batch.columns))]
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return members.mapInArrow(run, "a bigint, b bigint").unionByName(whole)
+
+
+def _near(ids: np.ndarray, size: np.ndarray, slots: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the sets of a group whose slot counts may be those of linked sets."""
+    counts = np.frombuffer(slots, np.uint8).reshape(len(ids), SLOTS).astype(np.int16)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(len(ids) - 1):
+            apart = np.abs(counts[i + 1:] - counts[i]).sum(1)
+            allowed = (size[i + 1:] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-9
+            found = np.flatnonzero(apart <= allowed) + i + 1
+            yield np.full(len(found), i), found
+
+    return _reached(ids, pairs())
 
 
 def _shared_ids(signed: DataFrame, sets: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,13 @@ class Folder:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Removes tables that nothing reads any more."""
+        """Removes tables that nothing reads any more.
+
+        The shuffle files behind them go when the driver's JVM finds their plans unused;
+        it is asked to look now, since a large heap may not for a long time.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
         jvm = self.spark._jvm.org.apache.hadoop.fs
         for name in names:
             path = jvm.Path(f"{self.path}/{name}")
