@@ -32,8 +32,8 @@ def severity(abs_z: str | Column) -> Column:
 
 
 def client_ip(forwarded_for: str | Column, remote_addr: str | Column) -> Column:
-    """First forwarded address, trimmed; the remote address when there is none."""
-    first = F.trim(F.split(forwarded_for, ",")[0])
+    """First forwarded address without characters up to U+0020 around it; the remote address when there is none."""
+    first = F.regexp_replace(F.split(forwarded_for, ",")[0], r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     remote = F.col(remote_addr) if isinstance(remote_addr, str) else remote_addr
     return F.when(F.length(first) > 0, first).otherwise(remote)
 

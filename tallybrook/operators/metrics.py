@@ -68,34 +68,22 @@ def histogram(values: DataFrame, value: str, low: float, high: float, buckets: i
 
 def quantiles(values: DataFrame, value: str, by: str,
               probs: Sequence[float] = QUANTILES, passes: int = 2,
-              slots: int = 65536, max_groups: int = 10_000,
-              few_rows: int = 1_000_000) -> DataFrame:
+              slots: int = 65536) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, with bounded state.
 
-    A plain percentile keeps every distinct value of a group in one task. That is fine
-    up to ``few_rows`` values in all, which are counted first.
+    A plain percentile keeps every distinct value of a group in one task. Here a first
+    pass counts the values of a group by sign and power of two, which gives the power that
+    holds each wanted rank. Each further pass cuts those ranges into ``slots`` equal slots
+    and goes on with the ones that hold the ranks. Of the 2**52 doubles within a power, a
+    slot after two passes spans 2**20; the distinct values left in it are ranked. Every
+    pass is a map-side hash aggregation over one scan, the same for any number of rows.
 
-    Beyond it, a first pass counts the values of a group by sign and power of two, which
-    gives the power that holds each wanted rank. Each further pass cuts those ranges into
-    ``slots`` equal slots and goes on with the ones that hold the ranks. Of the 2**52
-    doubles within a power, a slot after two passes spans 2**20; the distinct values left
-    in it are ranked. Every pass is a map-side hash aggregation over one scan.
-
-    The ranges of a pass are broadcast if the same count found at most ``max_groups``
-    groups; beyond that they are joined by shuffle.
+    Null values are left out, a null group is a group. Infinite values and NaN have ranks
+    like others: -Infinity, finite values, Infinity, NaN.
     """
     rows = values.where(F.col(value).isNotNull()).select(
         F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
-    groups, total = (rows.groupBy("g").agg(F.count("*").alias("n"))
-                     .agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first())
-    if total <= few_rows:
-        found = F.percentile("v", [float(p) for p in probs])
-        each = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-                            found.alias("q"))
-        return (rows.groupBy("g").agg(each.alias("each"))
-                .select(F.col("g").alias(by), F.explode("each").alias("e"))
-                .select(by, F.col("e.p").alias("quantile"), F.col("e.q").alias(value)))
-    few, n = groups <= max_groups, F.col("n")
+    n = F.col("n")
 
     def wanted(p: float) -> list[Column]:
         spot = F.lit(float(p)) * (n - 1)
@@ -110,26 +98,30 @@ def quantiles(values: DataFrame, value: str, by: str,
                       .select("g", "want.*", "c", "upto", "slot_low", "slot_high"))
     keys = ["g", "p", "part", "rank", "low", "high"]
     for i in range(passes + 1):
-        side = F.broadcast(ranges) if few else ranges
-        inside = rows.join(side, "g").where(F.col("v").between(F.col("low"), F.col("high")))
+        spots = ranges.withColumnRenamed("g", "h")
+        inside = (rows.join(spots, F.col("g").eqNullSafe(F.col("h")))
+                  .where(F.col("v").between(F.col("low"), F.col("high"))))
         slot = _slot(slots) if i < passes else F.col("v")
         ranges = _holding(_slot_counts(inside, keys, slot))
+    between = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
     return (ranges.groupBy("g", "p", "part").agg(F.min("low").alias("a"), F.max("low").alias("b"))
             .select(F.col("g").alias(by), F.col("p").alias("quantile"),
-                    (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(value)))
+                    F.when((F.col("part") == 0) | (F.col("a") == F.col("b")), F.col("a"))
+                    .otherwise(between).alias(value)))
 
 
 def _power() -> Column:
     """Sign and power of two of a value, as a number that grows with the value."""
     v = F.col("v")
     size = F.floor(F.log2(F.abs(v))) + 1100
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+    endless = F.abs(v) == float("inf")
+    return F.when(F.isnan(v), 5000).when(endless, F.signum(v).cast("bigint") * 4000).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
 
 
 def _slot(slots: int) -> Column:
     width = F.col("high") - F.col("low")
     at = F.floor((F.col("v") - F.col("low")) / width * slots)
-    return F.when(width > 0, F.least(at, F.lit(slots - 1))).otherwise(F.lit(0))
+    return F.when(F.col("high") > F.col("low"), F.least(at, F.lit(slots - 1))).otherwise(F.lit(0))
 
 
 def _slot_counts(rows: DataFrame, keys: list[str], slot: Column) -> DataFrame:
@@ -157,10 +149,13 @@ def processing_delay(events: DataFrame) -> DataFrame:
 
 
 def load_summary(outcomes: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Requests per outcome and the overall throughput over the time they span."""
+    """Requests per outcome and the overall throughput over the time they span.
+
+    The throughput is null if all of them share one instant.
+    """
     w = Window.partitionBy()    # over one row per outcome
     per = (outcomes.groupBy("outcome")
            .agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")))
     elapsed = F.timestamp_diff("MILLISECOND", F.min("first").over(w), F.max("last").over(w))
     return per.select("outcome", "n",
-                      F.floor(F.sum("n").over(w) * 1000000 / elapsed).alias("per_1000_sec"))
+                      F.floor(F.try_divide(F.sum("n").over(w) * 1000000, elapsed)).alias("per_1000_sec"))

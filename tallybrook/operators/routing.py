@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import payload as P
 
-ENVELOPE = ("id string, eventType string, userId string, timestamp timestamp, "
+ENVELOPE = ("id string, eventType string, userId string, timestamp string, "
             "payload string, sourceIp string, processedAt timestamp, _corrupt string")
 
 
+def event_time(text: Column) -> Column:
+    """An instant from ISO text or from whole or decimal epoch seconds; null if neither."""
+    seconds = F.timestamp_micros((text.try_cast("decimal(20,6)") * 1000000).cast("bigint"))
+    return F.when(text.rlike(r"^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"), seconds).otherwise(text.try_cast("timestamp"))
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Message JSON -> event columns, the ``raw`` text and a failure ``reason``.
 
@@ -21,21 +27,24 @@ def parse_messages(messages: DataFrame) -> DataFrame:
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
         .alias("e"),
     )
+    time = event_time(F.col("e.timestamp"))
+    unread = F.col("e.timestamp").isNotNull() & time.isNull()
     return opened.select(
         "raw",
         F.col("e.id").alias("id"),
         F.col("e.eventType").alias("event_type"),
         F.col("e.userId").alias("user_id"),
-        F.col("e.timestamp").alias("timestamp"),
+        time.alias("timestamp"),
         F.col("e.payload").alias("payload"),
         F.col("e.sourceIp").alias("source_ip"),
         F.col("e.processedAt").alias("processed_at"),
-        (F.when(F.col("e").isNull() | F.col("e._corrupt").isNotNull(), "malformed_json")
+        (F.when(F.col("e").isNull() | F.col("e._corrupt").isNotNull() | unread, "malformed_json")
           .when(F.col("e.payload").isNull(), "null_payload")
           .when(~P.is_object("e.payload"), "payload_not_object")
           .when(F.col("e.eventType").isNull(), "null_event_type")
           .when(F.col("e.timestamp").isNull(), "null_timestamp")
-          .when(F.col("e.userId").isNull(), "null_user_id")).alias("reason"),
+          .when(F.col("e.userId").isNull(), "null_user_id")
+          .when(F.col("e.id").isNull(), "null_id")).alias("reason"),
     )
 
 

@@ -172,7 +172,7 @@ def stamped_events(spark, sf):
 def dead_letter_routing(spark, sf):
     parsed = _parsed(spark, sf)
     return parsed.select(
-        F.regexp_extract("raw", r'"id":"(\d+)"', 1).cast("bigint").alias("id"),
+        F.regexp_extract("raw", r'"id":"(\d+)"', 1).try_cast("bigint").alias("id"),
         F.when(F.col("reason").isNull(), "events_by_user").otherwise("dead_letter")
         .alias("routed_to"),
         "reason")
@@ -189,7 +189,7 @@ def dead_letter_replay(spark, sf):
         return messages.withColumn("value", F.when(named, F.col("value")).otherwise(added))
 
     again = routing.replay_dead_letters(letters, add_user)
-    return again.select(F.regexp_extract("raw", r'"id":"(\d+)"', 1).cast("bigint").alias("id"),
+    return again.select(F.regexp_extract("raw", r'"id":"(\d+)"', 1).try_cast("bigint").alias("id"),
                         F.when(F.col("reason").isNull(), F.col("user_id")).alias("user_id"),
                         "reason")
 
@@ -380,6 +380,15 @@ def load_summary(spark, sf):
     return metrics.load_summary(_outcomes(spark, sf))
 
 
+@query
+def latency_quantiles_null_group(spark, sf):
+    """As below, with a tenth of the events of no known type."""
+    raw = adapter.raw_events(spark, sf).withColumn(
+        "event_type", F.when(F.col("event_id") % 10 != 0, F.col("event_type")))
+    found = metrics.quantiles(raw, "value", "event_type")
+    return found.withColumn("value", F.round("value", 6))
+
+
 @query
 def latency_quantiles(spark, sf):
     """The ``value`` column stands in for a latency, the event type for a timer."""
@@ -403,8 +412,7 @@ def pipeline_delay(spark, sf):
     events = adapter.load_events(spark, sf).withColumn(
         "processed_at", F.col("timestamp") + F.make_dt_interval(
             secs=((F.col("id") % 997) / 1000).cast("decimal(18,6)")))
-    found = metrics.quantiles(metrics.processing_delay(events), "delay_ms", "event_type",
-                              few_rows=0)
+    found = metrics.quantiles(metrics.processing_delay(events), "delay_ms", "event_type")
     return found.select("event_type", "quantile", F.round("delay_ms", 6).alias("delay_ms"))
 
 
@@ -472,7 +480,7 @@ def stream_event_tables(spark, sf):
         F.col("id").cast("bigint").alias("id"), F.lit("events_by_user").alias("routed_to"),
         F.lit(None).cast("string").alias("reason"))
     letters = tables.read_dead_letters(spark).select(
-        F.regexp_extract("raw", r'"id":"(\d+)"', 1).cast("bigint").alias("id"),
+        F.regexp_extract("raw", r'"id":"(\d+)"', 1).try_cast("bigint").alias("id"),
         F.lit("dead_letter").alias("routed_to"), "reason")
     return events.unionByName(letters)
 

@@ -48,13 +48,15 @@ val AS (
   FROM chk)"""
 
 _LETTERS = """msg AS (
-  SELECT event_id AS id, user_id::VARCHAR AS user_id, event_id % 53 = 0 AS no_user,
+  SELECT CASE WHEN event_id % 71 <> 0 OR event_id % 41 = 0 OR event_id % 67 = 0
+      THEN event_id END AS id, user_id::VARCHAR AS user_id, event_id % 53 = 0 AS no_user,
     CASE WHEN event_id % 41 = 0 THEN 'malformed_json'
          WHEN event_id % 67 = 0 THEN 'payload_not_object'
          WHEN event_id % 61 = 0 THEN 'null_payload'
          WHEN event_id % 47 = 0 THEN 'null_event_type'
          WHEN event_id % 59 = 0 THEN 'null_timestamp'
-         WHEN event_id % 53 = 0 THEN 'null_user_id' END AS reason
+         WHEN event_id % 53 = 0 THEN 'null_user_id'
+         WHEN event_id % 71 = 0 THEN 'null_id' END AS reason
   FROM events)"""
 
 # Moving baseline over daily counts, in plain floating point, one day after another.
@@ -139,10 +141,10 @@ FROM events GROUP BY ALL"""
 _THROTTLE = "WITH RECURSIVE " + _REQ + ",\n" + _bucket("req") + """
 SELECT id, api_key, allowed, floor(tokens)::INT AS tokens_left FROM bkt"""
 
-def _quantiles(value: str, name: str) -> str:
+def _quantiles(value: str, name: str, source: str = "events") -> str:
     return "\nUNION ALL\n".join(
         f"SELECT event_type, {p}::DOUBLE AS quantile, "
-        f"round(quantile_cont({value}, {p}), 6) AS {name} FROM events GROUP BY 1"
+        f"round(quantile_cont({value}, {p}), 6) AS {name} FROM {source} GROUP BY 1"
         for p in (0.5, 0.95, 0.99))
 
 
@@ -279,6 +281,8 @@ SELECT outcome, count(*) AS n, (SELECT floor(count(*) * 1000000::DOUBLE
     / ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000)) FROM outc)::BIGINT AS per_1000_sec
 FROM outc GROUP BY 1""",
         "latency_quantiles": _quantiles("value", "value"),
+        "latency_quantiles_null_group": _quantiles("value", "value", """(
+  SELECT value, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type FROM events)"""),
         "latency_histogram": """WITH b AS (
   SELECT event_type, CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 21
     ELSE floor(20 * value / 100) + 1 END::BIGINT AS bucket, count(*) AS n

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,9 +43,14 @@ def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder for stream checkpoints and intermediate tables.
 
     It lies under the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (tests, a laptop) is a local temporary folder used.
+    Only where that is unset and the master is local (tests, a laptop) is a temporary
+    folder used, which goes when Python ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="tallybrook-"), name)
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="tallybrook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return os.path.join(folder, name)

@@ -78,7 +78,7 @@ def as_requests(raw: DataFrame) -> DataFrame:
 def as_raw_messages(raw: DataFrame) -> DataFrame:
     """Stream messages (key, value = envelope JSON), some of them damaged."""
     envelope = F.to_json(F.struct(
-        F.col("event_id").cast("string").alias("id"),
+        F.when(~_every(71), F.col("event_id").cast("string")).alias("id"),
         F.when(~_every(47), F.col("event_type")).alias("eventType"),
         F.when(~_every(53), F.col("user_id").cast("string")).alias("userId"),
         F.when(~_every(59), F.col("ts").cast("timestamp")).alias("timestamp"),

@@ -64,7 +64,7 @@ class Tables:
                 .agg(F.sum("count").alias("event_count")))
 
     def read_anomalies(self, spark: SparkSession) -> DataFrame:
-        return self.read(spark, self.anomalies, ANOMALIES_DDL)
+        return self.read(spark, self.anomalies, ANOMALIES_DDL).drop("batch_id")
 
     def read_dead_letters(self, spark: SparkSession) -> DataFrame:
         return self.read(spark, self.dead_letters, DEAD_LETTERS_DDL)
@@ -100,12 +100,11 @@ def write_increments(increments: DataFrame, tables: Tables, batch_id: int) -> No
                  tables.increments, batch_id, "time_bucket")
 
 
-def write_anomalies(anomalies: DataFrame, tables: Tables) -> None:
-    """Hour buckets, newest first. An hour's anomalies are replaced as a whole."""
-    rows = anomalies.sortWithinPartitions("time_bucket", F.col("detected_at").desc(),
-                                          "anomaly_id")
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("time_bucket").parquet(tables.anomalies))
+def write_anomalies(anomalies: DataFrame, tables: Tables, batch_id: int = 0) -> None:
+    """Hour buckets, newest first. Another batch adds to an hour, the same one replaces its own."""
+    keys = ["time_bucket", F.col("detected_at").desc(), "anomaly_id"]
+    _write_batch(anomalies.repartitionByRange(*keys).sortWithinPartitions(*keys),
+                 tables.anomalies, batch_id, "time_bucket")
 
 
 def write_dead_letters(letters: DataFrame, tables: Tables, batch_id: int = 0) -> None:

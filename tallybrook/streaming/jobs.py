@@ -142,9 +142,12 @@ def detect_anomalies(spark: SparkSession, windows_path: str, tables: Tables, che
     """Folds the table of closed windows and appends to the anomaly table."""
     windows = spark.readStream.schema(WINDOWS_DDL).parquet(windows_path)
     found = baseline.anomalies(baseline_stream(windows), threshold=threshold)
-    return (found.writeStream.format("parquet").outputMode("append")
-            .option("path", tables.anomalies).option("checkpointLocation", checkpoint)
-            .partitionBy("time_bucket").trigger(**trigger).start())
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        stored.write_anomalies(batch, tables, batch_id)
+
+    return (found.writeStream.foreachBatch(store_batch).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 # -- throttle -----------------------------------------------------------------

@@ -1,3 +1,5 @@
+import math
+import re
 import datetime as dt
 import json
 import random
@@ -156,17 +158,17 @@ def test_routing_reasons(spark):
         "ok": env(), "malformed_json": "{ this is not valid json }",
         "null_payload": env(payload=None), "payload_not_object": env(payload=[1]),
         "null_event_type": env(eventType=None), "null_timestamp": env(timestamp=None),
-        "null_user_id": env(userId=None)}
+        "null_user_id": env(userId=None), "null_id": env(id=None)}
     parsed = message(spark, *texts.values())
     assert {r.raw: r.reason for r in parsed.collect()} == {
         text: (None if name == "ok" else name) for name, text in texts.items()}
     good = routing.good(parsed).collect()
     assert len(good) == 1 and json.loads(good[0].payload) == {"a": {"b": 1}}
     letters = routing.dead_letters(parsed)
-    assert letters.count() == 6
+    assert letters.count() == 7
     again = routing.replay_dead_letters(
         letters, lambda m: m.withColumn("value", F.regexp_replace(
-            "value", r'^\{"id": "1", "userId"', '{"eventType":"x","userId"')))
+            "value", r'^\{"id": "1", "userId"', '{"id": "1", "eventType":"x","userId"')))
     assert again.where("reason IS NULL").count() == 1
 
 
@@ -270,17 +272,45 @@ def test_quantiles_equal_numpy(spark, draw):
     data = {g: draw(rng)[:n] for g, n in (("a", 4000), ("b", 1), ("c", 2), ("d", 777))}
     pairs = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)]
     df = spark.createDataFrame(pairs, "g string, v double").repartition(3)
-    got = metrics.quantiles(df, "v", "g", slots=64, few_rows=0).collect()
+    got = metrics.quantiles(df, "v", "g", slots=64).collect()
     assert len(got) == 12
     for r in got:
         want = np.quantile(data[r.g], r.quantile)
         assert r.v == pytest.approx(want, rel=1e-12, abs=1e-300)
-    wide = metrics.quantiles(df, "v", "g", slots=64, max_groups=1, few_rows=0).collect()
-    assert sorted(map(tuple, wide)) == sorted(map(tuple, got))
-    plain = {(r.g, r.quantile): r.v for r in metrics.quantiles(df, "v", "g").collect()}
-    assert len(plain) == 12
-    for r in got:
-        assert plain[(r.g, r.quantile)] == pytest.approx(r.v, rel=1e-9, abs=1e-300)
+
+
+def test_quantiles_of_endless_values_and_a_null_group(spark):
+    inf, nan = float("inf"), float("nan")
+    data = {None: [1.0, 2.0, 3.0], "a": [-inf, 1.0, inf], "b": [inf] * 3, "c": [1.0, nan, nan]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double")
+    got = {(r.g, r.quantile): r.v for r in metrics.quantiles(df, "v", "g", probs=(0.0, 0.5, 1.0)).collect()}
+    assert [got[None, q] for q in (0.0, 0.5, 1.0)] == [1.0, 2.0, 3.0]
+    assert [got["a", q] for q in (0.0, 0.5, 1.0)] == [-inf, 1.0, inf] and got["b", 0.5] == inf
+    assert got["c", 0.0] == 1.0 and math.isnan(got["c", 1.0])
+
+
+def test_quantiles_have_one_plan(spark):
+    def plan(n):
+        df = spark.range(n).selectExpr("id % 3 AS g", "cast(id AS double) AS v")
+        text = metrics.quantiles(df, "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+        return re.sub(r"\d+", "", text)
+
+    assert plan(10) == plan(5_000_000)
+
+
+def test_event_times_and_missing_ids(spark):
+    def message(at, i='"1"'):
+        return (f'{{"id":{i},"eventType":"click","userId":"u","timestamp":{at},"payload":{{}}}}',)
+
+    rows = [message(a) for a in ('"2024-01-01T00:00:00.123456Z"', "1704067200.123456", "1704067200", '"soon"')]
+    got = routing.parse_messages(spark.createDataFrame(rows + [message("1704067200", "null")], "value string")).collect()
+    assert [r.reason for r in got] == [None, None, None, "malformed_json", "null_id"]
+    assert got[0].timestamp == got[1].timestamp and got[2].timestamp is not None
+
+
+def test_summary_of_one_instant(spark):
+    df = spark.sql("SELECT 'ok' AS outcome, timestamp'2024-01-01 00:00:00' AS timestamp")
+    assert metrics.load_summary(df).first().per_1000_sec is None
 
 
 def test_histogram(spark):

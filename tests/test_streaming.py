@@ -142,6 +142,13 @@ def test_anomaly_table(spark, raw, tmp_path):
         stored.write_anomalies(found, tables)
     columns = ["time_bucket", "anomaly_id", "detected_at", "z_score"]
     assert rows(tables.read_anomalies(spark), *columns) == rows(found, *columns)
+    more = found.withColumn("anomaly_id", F.concat(F.lit("again-"), "anomaly_id"))
+    stored.write_anomalies(more, tables, 1)
+    assert tables.read_anomalies(spark).count() == 2 * found.count()
+    oldest = found.agg(F.max("time_bucket")).first()[0]
+    assert jobs.drop_expired(spark, tables.anomalies, oldest)
+    kept = found.where(F.col("time_bucket") == oldest)
+    assert tables.read_anomalies(spark).count() == 2 * kept.count()
 
 
 def test_late_events_are_counted_by_the_default_path(spark, tmp_path):
