@@ -10,6 +10,7 @@ occurs often is given to the library once. Doubtful characters are never cut at.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,6 +192,24 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+_TABLES: dict[str, list[bytes]] = {}
+
+
+def decoding_table(path: str) -> list[bytes]:
+    """Bytes of each id of a tokenizer file, without the tokenizer itself."""
+    if path not in _TABLES:
+        if path.endswith(".tiktoken"):
+            ranks = read_ranks(path)
+            table = [b""] * (max(ranks.values(), default=-1) + 1)
+            for token, rank in ranks.items():
+                table[rank] = token
+        else:
+            with open(path, encoding="utf-8") as file:
+                held = json.load(file)
+            table = byte_table(held["model"]["vocab"]
+                               | {t["content"]: t["id"] for t in held.get("added_tokens", ())})
+        _TABLES[path] = table
+    return _TABLES[path]
 
 
 def encoder(path: str, pattern: str | None = None) -> Encoder:
@@ -226,15 +245,15 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
     return rows.mapInArrow(run, f"{schema}, ids binary, n_tokens bigint")
 
 
-def decode(tokens: DataFrame, path: str, pattern: str | None = None, ids: str = "ids",
+def decode(tokens: DataFrame, path: str, ids: str = "ids",
            keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``decoded`` (binary UTF-8) for the ids of each row; null ids give empty bytes."""
     rows = tokens.select(*keep, tokens[ids].alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(path, pattern)
+        table = decoding_table(path)
         for batch in store.slices(batches, "_ids"):
-            out = [use.decode(np.frombuffer(x or b"", "<u4"))
+            out = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
                    for x in store.column(batch, "_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(store.column(batch, k) for k in keep), pa.array(out, pa.binary())],

@@ -54,7 +54,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     kept = ("doc_id", "lang", "source", "text")
     tokens = bpe.encode(docs, path, pattern, keep=kept)
-    back = bpe.decode(tokens, path, pattern, keep=(*kept, "n_tokens", "ids"))
+    back = bpe.decode(tokens, path, keep=(*kept, "n_tokens", "ids"))
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("round_trip"))
 

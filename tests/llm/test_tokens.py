@@ -32,7 +32,7 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
 
 def test_ids_and_round_trip(docs, plain):
     tokens = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text"))
-    back = bpe.decode(tokens, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text", "ids", "n_tokens"))
+    back = bpe.decode(tokens, RANKS, keep=("doc_id", "text", "ids", "n_tokens"))
     rows = back.collect()
     assert len(rows) == docs.count()
     for r in rows:
@@ -41,6 +41,11 @@ def test_ids_and_round_trip(docs, plain):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_both_ways_to_the_bytes_agree():
+    for path, pattern in ((JSON, None), (RANKS, public_tokenizers.PATTERN)):
+        assert bpe.decoding_table(path) == bpe.encoder(path, pattern).table
+
+
 def test_split_characters_have_a_span_in_each_token():
     use, text = bpe.encoder(JSON), "a 😀é"
     ids, _ = use.encode(pa.array([text]))
