@@ -22,6 +22,7 @@ from . import store
 
 KNOWN_PIECES = 1_000_000     # pieces whose ids a process remembers; more start anew
 JOINED_BYTES = 1 << 14     # pieces handed to the library as one text
+SLICE_BYTES = 4 << 20      # text encoded at once
 
 
 def byte_characters() -> list[str]:
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path, pattern)
-        for batch in store.slices(batches, "_text"):
+        for batch in store.slices(batches, "_text", SLICE_BYTES):
             ids, starts = use.encode(store.texts(batch, "_text"))
             out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [
                 None, pa.py_buffer(starts * 4), pa.py_buffer(ids.astype("<u4"))])
@@ -252,7 +253,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(path)
-        for batch in store.slices(batches, "_ids"):
+        for batch in store.slices(batches, "_ids", SLICE_BYTES):
             out = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
                    for x in store.column(batch, "_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -54,7 +54,7 @@ def write(docs: DataFrame, folder: store.Folder, path: str, end_id: int | None =
             held, held_ids, n, shard = [], [], 0, shard + 1
             return row
 
-        for batch in store.slices(batches):
+        for batch in store.slices(batches, limit=bpe.SLICE_BYTES):
             ids, starts = use.encode(store.texts(batch))
             counts = np.diff(starts)
             if end_id is not None:
