@@ -223,9 +223,11 @@ def encoder(path: str, pattern: str | None = None) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "text",
-           keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+           keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
     """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens`` to ``keep``.
 
+    With ``check``, also ``round_trip``: whether decoding the ids gives the text's bytes.
+
     Null and empty texts have no ids. Rows stay as they are, repeated ones included;
     columns outside ``keep`` are dropped, so their names cannot clash. A very long text is
     handled alone. ``path`` is a tokenizer's JSON file, or a rank file with its pattern.
@@ -235,15 +237,21 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path, pattern)
         for batch in store.slices(batches, "_text", SLICE_BYTES):
-            ids, starts = use.encode(store.texts(batch, "_text"))
+            array = store.texts(batch, "_text")
+            ids, starts = use.encode(array)
+            extra = [] if not check else [pa.array([
+                use.decode(ids[a:b]) == t.as_buffer().to_pybytes()
+                for a, b, t in zip(starts.tolist(), starts[1:].tolist(), array)])]
             out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [
                 None, pa.py_buffer(starts * 4), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
                 [*(store.column(batch, k) for k in keep), out.cast(pa.binary()),
-                 pa.array(np.diff(starts))], names=[*keep, "ids", "n_tokens"])
+                 pa.array(np.diff(starts)), *extra],
+                names=[*keep, "ids", "n_tokens", *["round_trip"] * check])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{schema}, ids binary, n_tokens bigint")
+    return rows.mapInArrow(
+        run, f"{schema}, ids binary, n_tokens bigint" + ", round_trip boolean" * check)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids",

@@ -52,11 +52,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives its text back."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    kept = ("doc_id", "lang", "source", "text")
-    tokens = bpe.encode(docs, path, pattern, keep=kept)
-    back = bpe.decode(tokens, path, keep=(*kept, "n_tokens", "ids"))
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("round_trip"))
+    tokens = bpe.encode(docs, path, pattern, keep=("doc_id", "lang", "source"), check=True)
+    return tokens.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
