@@ -126,12 +126,13 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model for ``label`` of ``labelled`` (doc_id, label) from the texts of ``docs``.
 
     Fitted by one task on a bounded sample: about ``rows`` texts of each label at most,
-    chosen by the hash of their id; the task holds their distinct words. Rows without a
+    chosen by the hash of their id; the task holds their distinct words. Many tasks look
+    for the sampled texts, and only those are sent to it, in one order. Rows without a
     text, id or label are not used; an id with both labels counts as 1. If a label has no
     text, every score is the share of label 1, or 0.5 without any labelled text.
     """
     sample = F.broadcast(_sample(labelled, rows))        # bounded by ``rows``
-    texts = docs.select("doc_id", "text").where("text is not null").join(sample, "doc_id").select("text", "label")
+    texts = docs.select("doc_id", "text").where("text is not null").join(sample, "doc_id").select("doc_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, labels, known = [], [], [], {}
@@ -150,7 +151,8 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             model = train(np.concatenate(codes), starts, pa.array(list(known), pa.string()), label)
         yield pa.RecordBatch.from_pydict({"bias": [model.bias], "weights": pa.array([model.weights.tobytes()], pa.binary())})
 
-    found = texts.coalesce(1).mapInArrow(run, "bias double, weights binary").collect()
+    one = texts.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label")
+    found = one.mapInArrow(run, "bias double, weights binary").collect()
     if not found:
         return Model(0.0, np.zeros(SLOTS, np.float32))
     return Model(found[0]["bias"], np.frombuffer(found[0]["weights"], np.float32))
