@@ -203,10 +203,9 @@ def test_contamination_equals_brute_force(spark, docs):
     assert decontam.clean(docs, bench).columns == docs.columns
 
 
-def test_toxicity_on_held_out_rows():
+def test_toxicity_on_held_out_rows(spark):
     import duckdb
-    from pyspark.sql import SparkSession
-    spark, sf = SparkSession.getActiveSession(), "/root/testdata/sf0.1"
+    sf = "/root/testdata/sf0.1"
     label = dict(duckdb.execute(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
     rows = [(label[r.doc_id], r.predicted) for r in queries.QUERIES["op6_toxicity"](spark, sf).collect()
             if r.held_out and r.doc_id in label]
