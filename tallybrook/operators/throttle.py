@@ -6,8 +6,8 @@ replayed in time order. Two kinds of keys are treated apart:
 * **Ordinary keys** go to one task each, sorted, and stream through it in Arrow
   batches. The task keeps one number per key.
 * **Busy keys**, those with more than ``busy_rows`` requests, are cut into stretches
-  of time that different tasks handle. First each stretch is summed up as a
-  ``Transfer`` (what it does to any incoming state), then the short list of
+  of about as many requests each, which different tasks handle. First each stretch is
+  summed up as a ``Transfer`` (what it does to any incoming state), then the short list of
   transfers is chained per key, which gives every stretch its true incoming state.
   Decisions are the same as without the cut.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.arrow import runs
 from ..functions.bucket import UNUSED, TokenBucket, Transfer
@@ -31,9 +31,13 @@ from ..functions.time import micros
 BUSY_ROWS = 5_000_000
 MAX_BUSY = 10_000
 MAX_STRETCHES = 4096
+MAX_CUTS = 1 << 20   # of all busy keys together, about
+PER_CUT = 64         # requests looked at for each cut, about
 ORDINARY = -1   # stretch number of keys that are not cut
+UNTIMED = -2    # and, downwards, of requests without a time, which need no order
+SPREAD = 4096
 
-_BLOCK, _T, _STATE, _LAST = "_stretch", "_t", "_full_at", "_last_at"
+_BLOCK, _T, _STATE, _LAST, _CUTS = "_stretch", "_t", "_full_at", "_last_at", "_cuts"
 
 
 def replay(requests: DataFrame, bucket: TokenBucket = TokenBucket(), *,
@@ -50,8 +54,8 @@ def replay(requests: DataFrame, bucket: TokenBucket = TokenBucket(), *,
     """
     timed = requests.withColumn(_T, micros(at) * bucket.scale)
     busy = _busy_keys(timed, key, busy_rows, stretch_rows or max(1, busy_rows // 16), initial)
-    placed = _place(timed, busy, key, "left")
-    cut = _transfers(_place(timed.where(F.col(_T).isNotNull()), busy, key, "inner"), key, bucket)
+    placed = _place(timed, busy, key, tie, "left")
+    cut = _transfers(_place(timed.where(F.col(_T).isNotNull()), busy, key, tie, "inner"), key, bucket)
     starts = _chain(cut, None if initial is None else busy, key, bucket)
     if initial is not None:
         known = initial.select(F.col(key), F.lit(ORDINARY).alias(_BLOCK),
@@ -81,17 +85,34 @@ def tokens_remaining(keys: DataFrame, states: DataFrame, now, *,
 
 
 def _busy_keys(timed, key, busy_rows, stretch_rows, initial) -> DataFrame:
-    """Busy keys with their time span and number of stretches; MAX_BUSY rows at most."""
+    """Busy keys and the times at which they are cut; MAX_BUSY rows at most.
+
+    A key with n requests gets a cut for every ``stretch_rows`` of them, and fewer where
+    the cuts of all keys would be more than MAX_CUTS. Cuts are quantiles of the times,
+    taken from the requests whose time has a certain hash, about PER_CUT of them a cut.
+    """
+    n = F.col("n")
+    long = F.greatest(F.lit(stretch_rows), F.ceil(F.sum("n").over(Window.partitionBy(F.lit(0))) / MAX_CUTS))
     busy = (
-        timed.groupBy(key)
-        .agg(F.count(_T).alias("n"), F.min(_T).alias("first"), F.max(_T).alias("final"))
-        .where(F.col("n") > busy_rows)
-        .orderBy(F.col("n").desc(), F.col(key))
-        .limit(MAX_BUSY)
-        .select(key, "first", "final",
-                F.least(F.ceil(F.col("n") / stretch_rows), F.lit(MAX_STRETCHES))
-                .cast("bigint").alias("stretches"))
+        timed.groupBy(key).agg(F.count(_T).alias("n"))
+        .where(n > busy_rows).orderBy(n.desc(), F.col(key)).limit(MAX_BUSY)
+        .select(key, "n", F.least(F.ceil(n / long), F.lit(MAX_STRETCHES)).cast("int").alias("stretches"))
+    )
+    keys = F.broadcast(busy.withColumnRenamed(key, "_key"))
+    every = F.greatest(F.lit(1), F.floor(n / (F.col("stretches") * PER_CUT)))
+    # one literal: a list of so many would slow down planning
+    shares = F.split(F.lit(",".join(str(i / MAX_STRETCHES) for i in range(1, MAX_STRETCHES))), ",").cast("array<double>")
+    wanted = F.when(F.col("stretches") > 1, F.sequence(F.lit(1), F.col("stretches") - 1))
+    cuts = (
+        timed.join(keys, timed[key].eqNullSafe(F.col("_key")))
+        .where(F.pmod(F.xxhash64(_T), every) == 0)
+        .groupBy("_key", "stretches").agg(F.percentile_approx(_T, shares, MAX_STRETCHES).alias("all"))
+        .select(F.col("_key").alias("_owner"), F.array_distinct(F.transform(
+            wanted, lambda i: F.get("all", F.floor(i * MAX_STRETCHES / F.col("stretches")).cast("int") - 1)))
+            .alias(_CUTS))
     )
+    busy = (busy.join(cuts, F.col(key).eqNullSafe(F.col("_owner")), "left")
+            .select(key, F.coalesce(_CUTS, F.array().cast("array<bigint>")).alias(_CUTS)))
     if initial is None:
         return busy.withColumns({_STATE: F.lit(None).cast("bigint"),
                                  _LAST: F.lit(None).cast("bigint")})
@@ -100,18 +121,18 @@ def _busy_keys(timed, key, busy_rows, stretch_rows, initial) -> DataFrame:
         busy["*"], initial["full_at"].alias(_STATE), initial["last_at"].alias(_LAST))
 
 
-def _place(timed, busy, key, how) -> DataFrame:
-    """Gives each request its stretch: equal spans of time for busy keys.
+def _place(timed, busy, key, tie, how) -> DataFrame:
+    """Gives each request its stretch: the number of cuts that are not after it.
 
     Joined "inner" it yields the requests of busy keys only; with none, adaptive
     execution drops that side of the plan.
     """
     b = F.broadcast(busy.withColumnRenamed(key, "_key"))
-    span = F.col("final") - F.col("first") + 1
-    share = (F.col(_T) - F.col("first")).cast("double") / span
-    at = F.least(F.floor(share * F.col("stretches")), F.col("stretches") - 1)
-    stretch = (F.when(F.col("stretches").isNull() | F.col(_T).isNull(), ORDINARY)
-               .otherwise(at).cast("int"))
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range((MAX_STRETCHES - 1).bit_length()))))
+    at = F.aggregate(halves, F.lit(0), lambda low, step: F.when(
+        F.get(_CUTS, low + step - 1) <= F.col(_T), low + step).otherwise(low))
+    stretch = (F.when(F.col(_T).isNull(), F.lit(UNTIMED) - F.pmod(F.xxhash64(tie), F.lit(SPREAD)))
+               .when(F.col(_CUTS).isNull(), ORDINARY).otherwise(at).cast("int"))
     return (timed.join(b, timed[key].eqNullSafe(F.col("_key")), how)
             .select(timed["*"], stretch.alias(_BLOCK), F.col(_LAST).alias("_floor"))
             .withColumn(_T, F.when(F.col(_T).isNotNull(), F.greatest(_T, "_floor")))
