@@ -15,6 +15,8 @@ from . import store, words
 LENGTHS = (3, 4, 5)        # characters of an n-gram, word edges included
 SLOTS = 1 << 20            # n-grams are hashed to so many features
 TRAIN_ROWS = 9_000         # texts of each label that a model is fitted on, at most about as many
+FIT_BYTES = 1 << 20        # text split at once while fitting
+CHUNK = 1 << 18            # words that a step of the fit looks at together
 LEAST_TEXTS = 3            # words of fewer training texts are left out while fitting
 
 
@@ -79,18 +81,20 @@ def train(codes: np.ndarray, starts: np.ndarray, vocabulary: pa.Array, label: np
     The loss weighs both labels alike. Steps are those of gradient descent with momentum
     and a step size per weight (Adam), from zero, so a fit has one result.
     """
-    texts = np.bincount(codes, minlength=len(vocabulary))
-    kept = texts >= LEAST_TEXTS
-    row = np.repeat(np.arange(len(label)), np.diff(starts))
+    kept = np.bincount(codes, minlength=len(vocabulary)) >= LEAST_TEXTS
     use = kept[codes]
-    row, codes = row[use], (np.cumsum(kept) - 1)[codes[use]]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(label)))))
+    starts = np.concatenate(([0], np.cumsum(use)))[starts]
+    codes = (np.cumsum(kept) - 1).astype(np.int32)[codes[use]]
     feature, begin = grams(vocabulary.filter(pa.array(kept)))
     used, feature = np.unique(feature, return_inverse=True)
     owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], CHUNK)), len(label)))
+    chunks = [(a, b, codes[starts[a]:starts[b]], starts[a:b + 1] - starts[a]) for a, b in zip(cuts, cuts[1:])]
 
     def per_feature(per_text: np.ndarray) -> np.ndarray:
-        per_word = np.bincount(codes, weights=per_text[row], minlength=len(begin) - 1)
+        per_word = np.zeros(len(begin) - 1)
+        for a, b, part, at in chunks:
+            per_word += np.bincount(part, weights=np.repeat(per_text[a:b], np.diff(at)), minlength=len(per_word))
         return np.bincount(feature, weights=per_word[owner], minlength=len(used))
 
     positive, negative = smooth + per_feature(label), smooth + per_feature(1 - label)
@@ -100,7 +104,9 @@ def train(codes: np.ndarray, starts: np.ndarray, vocabulary: pa.Array, label: np
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         word = sums((theta * ratio)[feature], begin)
-        z = bias + sums(word[codes], starts)
+        z = np.full(len(label), bias)
+        for a, b, part, at in chunks:
+            z[a:b] += sums(word[part], at)
         error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label)
         slope = np.append(ratio * per_feature(error) + penalty * theta, error.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
@@ -136,9 +142,9 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, labels, known = [], [], [], {}
-        for batch in store.slices(batches):
+        for batch in store.slices(batches, limit=FIT_BYTES):
             own, starts, vocabulary = text_words(store.texts(batch))
-            place = np.array([known.setdefault(w, len(known)) for w in vocabulary.to_pylist()], np.int64)
+            place = np.array([known.setdefault(w, len(known)) for w in vocabulary.to_pylist()], np.int32)
             codes.append(place[own])
             counts.append(np.diff(starts))
             labels.append(store.column(batch, "label").to_numpy())
@@ -148,7 +154,10 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             model = Model(float(np.log(share / (1 - share))), np.zeros(SLOTS, np.float32))
         else:
             starts = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-            model = train(np.concatenate(codes), starts, pa.array(list(known), pa.string()), label)
+            own, vocabulary = np.concatenate(codes), pa.array(known, pa.string())
+            codes.clear()
+            known.clear()
+            model = train(own, starts, vocabulary, label)
         yield pa.RecordBatch.from_pydict({"bias": [model.bias], "weights": pa.array([model.weights.tobytes()], pa.binary())})
 
     one = texts.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label")
