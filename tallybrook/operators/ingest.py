@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars
+from ..functions.bucket import TokenBucket
+from . import throttle
 
 # Events in a batch, key of callers without one.
 MAX_BATCH = 100
@@ -39,18 +41,71 @@ def batch_verdicts(requests: DataFrame, key: str = "batch_id") -> DataFrame:
 
 
 def accepted_from_batches(requests: DataFrame, key: str = "batch_id") -> DataFrame:
-    """The requests of accepted batches.
+    """The requests of accepted batches."""
+    verdicts = batch_verdicts(requests, key)
+    return _of_batches(requests, verdicts, verdicts.where("accepted"), key)
+
 
-    The most crowded rejected batches are filtered out before the join: at most
+def _of_batches(requests: DataFrame, sized: DataFrame, passed: DataFrame, key: str) -> DataFrame:
+    """The requests of ``passed`` batches, which hold 100 at most.
+
+    The most crowded of the ``sized`` batches are filtered out before the join: at most
     ``MAX_CROWDED`` of them, so they can be broadcast, and any batch that is left has
     at most 1 / MAX_CROWDED of the requests.
     """
-    verdicts = batch_verdicts(requests, key)
-    crowded = (verdicts.orderBy(F.col("n_events").desc(), key).limit(MAX_CROWDED)
-               .where("n_events > 100").select(key))
-    good = verdicts.where("accepted").select(key)
+    crowded = (sized.orderBy(F.col("n_events").desc(), key).limit(MAX_CROWDED)
+               .where(F.col("n_events") > MAX_BATCH).select(key))
     return (requests.join(F.broadcast(crowded), key, "left_anti")
-            .join(good, key, "left_semi"))
+            .join(passed.select(key), key, "left_semi"))
+
+
+def calls(requests: DataFrame, key: str = "batch_id") -> DataFrame:
+    """One row per call: a request without a batch, or a batch as a whole.
+
+    ``is_valid`` tells whether the call passes validation. A batch has the id, api key,
+    address and time of its first request.
+    """
+    named = requests.withColumn("is_valid", scalars.is_valid())
+    own = ["id", "timestamp", "api_key", "source_ip"]
+    alone = named.where(F.col(key).isNull()).select(
+        key, *own, F.lit(1).cast("bigint").alias("n_events"), "is_valid")
+    first = F.min(F.struct(F.col("timestamp").isNull().alias("late"), "timestamp", "id",
+                           "api_key", "source_ip"))
+    n = F.col("n_events")
+    grouped = (named.where(F.col(key).isNotNull()).groupBy(key)
+               .agg(first.alias("first"), F.count("*").alias("n_events"),
+                    F.count_if(~F.col("is_valid")).alias("n_invalid"))
+               .select(key, *(F.col(f"first.{c}").alias(c) for c in own), n,
+                       ((n <= MAX_BATCH) & (F.col("n_invalid") == 0)).alias("is_valid")))
+    return alone.unionByName(grouped)
+
+
+def judge(requests: DataFrame, bucket: TokenBucket = TokenBucket(), *,
+          key: str = "batch_id", **options) -> DataFrame:
+    """Adds the ``outcome`` of each call: accepted, rate_limited or invalid.
+
+    A call that passes validation takes one token of its api key, a batch as well. Calls
+    without a time meet no throttle. ``options`` are those of ``throttle.replay``.
+    """
+    each = calls(with_client(requests), key)
+    tried = throttle.replay(each.where("is_valid"), bucket, **options)
+    refused = each.where(~F.col("is_valid")).withColumn("outcome", F.lit("invalid"))
+    outcome = F.when(~F.col("allowed"), "rate_limited").otherwise("accepted")
+    return (tried.withColumn("outcome", outcome)
+            .unionByName(refused, allowMissingColumns=True).drop("is_valid"))
+
+
+def accepted_events(requests: DataFrame, judged: DataFrame, key: str = "batch_id",
+                    replay: bool = False) -> DataFrame:
+    """Stamped events of the accepted calls, as ``judge`` found them.
+
+    Single requests are told apart by their ids, which must not be null.
+    """
+    passed = judged.where("outcome = 'accepted'")
+    named, single = with_client(requests), F.col(key).isNull()
+    alone = named.where(single).join(passed.where(single).select("id"), "id", "left_semi")
+    grouped = _of_batches(named.where(~single), judged.where(~single), passed.where(~single), key)
+    return stamp(alone.unionByName(grouped), replay)
 
 
 def flatten_batches(batches: DataFrame, events: str = "events") -> DataFrame:

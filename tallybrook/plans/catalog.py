@@ -260,6 +260,26 @@ def tokens_remaining(spark, sf):
     return throttle.tokens_remaining(keys, states, now, bucket=SLOW)
 
 
+def _singles_too(requests):
+    """Requests of which three in ten come without a batch."""
+    return requests.withColumn("batch_id", F.when(F.col("id") % 1000 < 700, F.col("batch_id")))
+
+
+@query
+def ingest_calls(spark, sf):
+    """Every call with its outcome; a batch takes one token."""
+    return ingest.judge(_singles_too(_requests(spark, sf)), SLOW).select(
+        "batch_id", "id", "api_key", "n_events", "outcome")
+
+
+@query
+def ingested_events(spark, sf):
+    """Events of the accepted calls."""
+    requests = _singles_too(_requests(spark, sf))
+    return (ingest.accepted_events(requests, ingest.judge(requests, SLOW), replay=True)
+            .select("id", "source_ip"))
+
+
 # -- top lists --------------------------------------------------------------
 
 _EVENT_COLUMNS = ["id", "user_id", "event_type", "timestamp", "payload"]
@@ -512,6 +532,18 @@ def stream_throttle(spark, sf):
             .select("id", "api_key", "allowed", "tokens_left"))
 
 
+@query
+def stream_ingest(spark, sf):
+    """Messages that the ingest job publishes."""
+    raw, root = _streamed(spark, sf, "ingest")
+    requests = _singles_too(adapter.as_requests(raw))
+    _finish(jobs.ingest_stream(requests, root, f"{root}/checkpoint", SLOW, replay=True,
+                               trigger=jobs.ONCE))
+    return spark.read.parquet(f"{root}/messages").select(
+        F.get_json_object("value", "$.id").cast("bigint").alias("id"), "key",
+        F.get_json_object("value", "$.sourceIp").alias("source_ip"))
+
+
 @query
 def stream_without_repeats(spark, sf):
     """Every event sent twice, each kept once."""

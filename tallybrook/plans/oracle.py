@@ -106,6 +106,26 @@ bkt AS (
   FROM bkt b JOIN seq x ON x.api_key = b.api_key AND x.rn = b.rn + 1)"""
 
 
+# Calls: a request without a batch, or a batch with the key of its first request.
+_CALLS = _REQ + """,
+sent AS (SELECT *, CASE WHEN id % 1000 < 700 THEN batch_id END AS batch FROM val),
+calls AS (
+  SELECT batch AS batch_id, first(id ORDER BY ts, id) AS id,
+    first(api_key ORDER BY ts, id) AS api_key, min(ts) AS ts, count(*) AS n_events,
+    bool_and(ok) AND count(*) <= 100 AS good
+  FROM sent WHERE batch IS NOT NULL GROUP BY 1
+  UNION ALL SELECT NULL, id, api_key, ts, 1, ok FROM sent WHERE batch IS NULL),
+tried AS (SELECT id, api_key, ts FROM calls WHERE good),
+""" + _bucket("tried") + """,
+judged AS (
+  SELECT c.*, CASE WHEN NOT good THEN 'invalid' WHEN allowed THEN 'accepted'
+    ELSE 'rate_limited' END AS outcome
+  FROM calls c LEFT JOIN bkt USING (id)),
+taken AS (
+  SELECT * FROM sent WHERE batch IN (SELECT batch_id FROM judged WHERE outcome = 'accepted')
+  UNION ALL SELECT * FROM sent WHERE batch IS NULL
+    AND id IN (SELECT id FROM judged WHERE batch_id IS NULL AND outcome = 'accepted'))"""
+
 _OUTCOMES = _REQ + ",\nvalid AS (SELECT id, api_key, ts FROM val WHERE ok),\n" + \
     _bucket("valid") + """,
 outc AS (
@@ -217,6 +237,11 @@ FROM zed""",
         "anomalies_low_threshold": f"WITH RECURSIVE {_anomalies(2.0)} SELECT * FROM ano",
         "throttle_decisions": _THROTTLE,
         "throttle_busy_keys": _THROTTLE,
+        "ingest_calls": f"""WITH RECURSIVE {_CALLS}
+SELECT batch_id, id, api_key, n_events, outcome FROM judged""",
+        "ingested_events": f"WITH RECURSIVE {_CALLS} SELECT id, ip AS source_ip FROM taken",
+        "stream_ingest": f"""WITH RECURSIVE {_CALLS}
+SELECT id, user_id AS key, ip AS source_ip FROM taken""",
         "tokens_remaining": f"""WITH RECURSIVE {_REQ},
 {_bucket("req")},
 tail AS (SELECT api_key, max(rn) AS rn FROM bkt GROUP BY 1)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import time as T
 from ..functions.bucket import TokenBucket
-from ..operators import aggregate, baseline, enrich, routing, throttle
+from ..operators import aggregate, baseline, enrich, ingest, routing, throttle
 from ..sources import tables as stored
 from ..sources.tables import Tables
 
@@ -150,7 +150,62 @@ def detect_anomalies(spark: SparkSession, windows_path: str, tables: Tables, che
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-# -- throttle -----------------------------------------------------------------
+# -- throttle and ingest --------------------------------------------------------
+
+class _States:
+    """Bucket states in two slots: batch N reads slot N-1 and replaces slot N."""
+
+    def __init__(self, spark: SparkSession, root: str, bucket: TokenBucket, key: str,
+                 at: str, keep: str):
+        self.spark, self.slot, self.bucket = spark, f"{root}/states/slot", bucket
+        self.key, self.at, self.keep = key, at, keep
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.slot}={(batch_id - 1) % 2}") if batch_id else None
+
+    def hand_on(self, decided: DataFrame, before: DataFrame | None, batch_id: int) -> None:
+        after = throttle.final_states(decided, key=self.key, at=self.at, bucket=self.bucket)
+        if before is not None:
+            after = (after.unionByName(before).groupBy(self.key)
+                     .agg(F.max("full_at").alias("full_at"), F.max("last_at").alias("last_at")))
+        newest = F.timestamp_micros(
+            F.floor(after.agg(F.max("last_at")).scalar() / self.bucket.scale))
+        limit = T.micros(newest - F.expr(f"INTERVAL {self.keep}")) * self.bucket.scale
+        after.where(F.col("full_at") > limit).write.mode("overwrite").parquet(
+            f"{self.slot}={batch_id % 2}")
+
+
+def _cut(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ingest_stream(requests: DataFrame, root: str, checkpoint: str,
+                  bucket: TokenBucket = TokenBucket(), *, keep: str = LATENESS,
+                  replay: bool = False, trigger: dict = CHECK) -> StreamingQuery:
+    """Requests -> calls with outcomes, and keyed messages of the accepted events.
+
+    Per micro-batch: validate, take tokens, stamp, render. A batch of requests must
+    arrive in one micro-batch. Calls are in ``<root>/calls``, messages in
+    ``<root>/messages``, a folder per micro-batch, replaced if it runs twice.
+    """
+    states = _States(requests.sparkSession, root, bucket, "api_key", "timestamp", keep)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch, before = batch.persist(StorageLevel.MEMORY_AND_DISK), states.before(batch_id)
+        try:
+            judged = _cut(ingest.judge(batch, bucket, initial=before),
+                          f"{root}/calls/micro_batch={batch_id}")
+            events = ingest.accepted_events(batch, judged, replay=replay)
+            enrich.keyed_messages(events).write.mode("overwrite").parquet(
+                f"{root}/messages/micro_batch={batch_id}")
+            states.hand_on(judged.where("allowed IS NOT NULL"), before, batch_id)
+        finally:
+            batch.unpersist()
+
+    return (requests.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+            .trigger(**trigger).start())
+
 
 def throttle_stream(requests: DataFrame, root: str, checkpoint: str,
                     bucket: TokenBucket = TokenBucket(), *, key: str = "api_key",
@@ -163,26 +218,13 @@ def throttle_stream(requests: DataFrame, root: str, checkpoint: str,
     it found the first time. A bucket that has been full for ``keep`` is forgotten; it
     is no different from an unseen one. Decisions are in ``<root>/decisions``.
     """
-    spark = requests.sparkSession
-    slot_path, out = f"{root}/states/slot", f"{root}/decisions"
+    states, out = _States(requests.sparkSession, root, bucket, key, at, keep), f"{root}/decisions"
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        before = None
-        if batch_id > 0:
-            before = spark.read.parquet(f"{slot_path}={(batch_id - 1) % 2}")
+        before = states.before(batch_id)
         decided = throttle.replay(batch, bucket, key=key, at=at, tie=tie, initial=before,
                                   **options)
-        target = f"{out}/batch_id={batch_id}"
-        decided.write.mode("overwrite").parquet(target)
-        after = throttle.final_states(spark.read.schema(decided.schema).parquet(target),
-                                      key=key, at=at, bucket=bucket)
-        if before is not None:
-            after = (after.unionByName(before).groupBy(key)
-                     .agg(F.max("full_at").alias("full_at"), F.max("last_at").alias("last_at")))
-        newest = F.timestamp_micros(F.floor(after.agg(F.max("last_at")).scalar() / bucket.scale))
-        limit = T.micros(newest - F.expr(f"INTERVAL {keep}")) * bucket.scale
-        after.where(F.col("full_at") > limit).write.mode("overwrite").parquet(
-            f"{slot_path}={batch_id % 2}")
+        states.hand_on(_cut(decided, f"{out}/batch_id={batch_id}"), before, batch_id)
 
     return (requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
             .trigger(**trigger).start())
