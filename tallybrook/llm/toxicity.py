@@ -16,6 +16,7 @@ LENGTHS = (3, 4, 5)        # characters of an n-gram, word edges included
 SLOTS = 1 << 20            # n-grams are hashed to so many features
 TRAIN_ROWS = 9_000         # texts of each label that a model is fitted on, at most about as many
 FIT_BYTES = 1 << 20        # text split at once while fitting
+SCORE_BYTES = 2 << 20      # text scored at once; its words' n-grams take many times that
 CHUNK = 1 << 18            # words that a step of the fit looks at together
 LEAST_TEXTS = 3            # words of fewer training texts are left out while fitting
 
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = docs.select(*keep, docs["text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in store.slices(batches, "_text"):
+        for batch in store.slices(batches, "_text", SCORE_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [*(store.column(batch, k) for k in keep),
                  pa.array(shared.value.scores(store.texts(batch, "_text")))], names=[*keep, "score"])
@@ -191,7 +192,7 @@ def clean(docs: DataFrame, model: Model, reject: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in store.slices(batches):
+        for batch in store.slices(batches, limit=SCORE_BYTES):
             yield batch.filter(pa.array(shared.value.scores(store.texts(batch)) < reject))
 
     return docs.mapInArrow(run, docs.schema)
