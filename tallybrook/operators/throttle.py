@@ -111,7 +111,7 @@ def _busy_keys(timed, key, busy_rows, stretch_rows, initial) -> DataFrame:
             wanted, lambda i: F.get("all", F.floor(i * MAX_STRETCHES / F.col("stretches")).cast("int") - 1)))
             .alias(_CUTS))
     )
-    busy = (busy.join(cuts, F.col(key).eqNullSafe(F.col("_owner")), "left")
+    busy = (busy.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_owner")), "left")
             .select(key, F.coalesce(_CUTS, F.array().cast("array<bigint>")).alias(_CUTS)))
     if initial is None:
         return busy.withColumns({_STATE: F.lit(None).cast("bigint"),
