@@ -226,8 +226,9 @@ FROM val WHERE ok""",
 SELECT id, CASE WHEN reason IS NULL THEN 'events_by_user' ELSE 'dead_letter' END AS routed_to,
   reason FROM msg""",
         "dead_letter_replay": f"""WITH {_LETTERS}
-SELECT id, CASE WHEN reason = 'null_user_id' THEN 'unknown' END AS user_id,
-  nullif(reason, 'null_user_id') AS reason FROM msg WHERE reason IS NOT NULL""",
+SELECT id, CASE WHEN reason = 'null_user_id' AND id IS NOT NULL THEN 'unknown' END AS user_id,
+  CASE WHEN reason <> 'null_user_id' THEN reason WHEN id IS NULL THEN 'null_id' END AS reason
+FROM msg WHERE reason IS NOT NULL""",
         "keyed_publish": """SELECT user_id::VARCHAR AS key, count(*) AS n,
   sum(event_id)::BIGINT AS sum_id FROM events GROUP BY 1""",
         "ema_baseline": f"""WITH RECURSIVE {_EMA}

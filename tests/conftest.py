@@ -22,7 +22,3 @@ def spark():
 @pytest.fixture
 def sf():
     return SF
-
-
-def rows(df, *cols):
-    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())

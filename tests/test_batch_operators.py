@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallybrook.operators import (aggregate, baseline, enrich, ingest, metrics, routing,

@@ -4,7 +4,7 @@ import random
 import time
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallybrook.functions.bucket import TokenBucket
