@@ -7,8 +7,8 @@ import zlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, chat, decontam, embed_dedup, ngram_join, secret_scan, stages, store,
-               token_output, toxicity, url_filter, warc)
+from . import (bpe, chat, decontam, embed_dedup, filter_audit, fingerprint, ngram_join,
+               ranked, secret_scan, stages, store, token_output, toxicity, url_filter, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,24 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), RULES, store.Folder(spark, "op10"))
 
 
+def edited_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint beside those of its edited text and of the next document."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fingerprint.compare_edited(_table(spark, sf_dir, "documents"), parts)
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"),
+                         store.Folder(spark, "op12"), 10)
+
+
+def filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each source in every order."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("part"), "text")
+    return filter_audit.audit(docs, _table(spark, sf_dir, "labels"), store.Folder(spark, "op13"))
+
+
 QUERIES = {
     "op1_token_ids": token_ids,
     "op2_secrets": secrets,
@@ -128,6 +146,9 @@ QUERIES = {
     "op8_warc": archives,
     "op9_similar_texts": similar_texts,
     "op10_urls": urls,
+    "op11_fingerprints": edited_fingerprints,
+    "op12_ranked_search": ranked_search,
+    "op13_filter_audit": filter_interaction,
 }
 
 
@@ -199,6 +220,76 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) ON a = doc_id
 """
 
 
+RANKED_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d),
+w AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, total GROUP BY term, big_n),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (doc_id), total GROUP BY 1, 2)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+AUDIT_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+d AS (
+  SELECT doc_id, part, len(words) < 200 AS a,
+         100 * len(list_distinct(words)) < 50 * len(words) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM w),
+l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+x AS (
+  SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END ||
+         CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END ||
+         CASE WHEN e THEN 'E' ELSE '' END AS fails, coalesce(good, false) AS good,
+         coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+f(letter) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o(filter_order) AS (
+  SELECT '' UNION ALL
+  SELECT filter_order || letter FROM o, f WHERE NOT contains(filter_order, letter)),
+s AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS letter,
+         left(filter_order, step - 1) AS prior
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)),
+c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM x GROUP BY 1, 2),
+r AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails = letter AS alone,
+         contains(fails, letter) AS failing, prior <> '' AND regexp_matches(fails, '[' || prior || '-]') AS gone
+  FROM c, s),
+g AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (failing AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (failing AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g
+"""
+
+
 def sql() -> dict[str, str]:
     return {"op4_chat": CHAT_SQL, "op5_near_vectors": VECTOR_SQL, "op8_warc": WARC_SQL,
-            "op9_similar_texts": SIMILAR_SQL}
+            "op9_similar_texts": SIMILAR_SQL, "op12_ranked_search": RANKED_SQL,
+            "op13_filter_audit": AUDIT_SQL}
