@@ -201,7 +201,7 @@ def test_blocks_are_skipped_by_their_bounds():
     queries = [np.concatenate((draw.choice(17, 3, replace=False) + 17 * (q % 6),
                                draw.choice(18, 3, replace=False) + 102)) for q in range(20)]
     asked = ranked.terms_beside(queries, size)
-    made = ranked.segment(np.arange(n), starts, codes, value, asked, weights)
+    made = ranked.segment(np.arange(n), starts, codes, value, asked, weights, per_block=8)
     cells = np.zeros((n, size), np.int64)
     cells[np.repeat(np.arange(n), np.diff(starts)), codes] = value
     searcher = ranked.Searcher(made, size)
