@@ -10,7 +10,7 @@ score so far; nothing else is skipped, so the result is that of scoring everythi
 
 Queries are taken in batches with a bounded number of terms. A batch's terms are the
 index's vocabulary: one pass over the texts gives term counts, statistics of the whole
-table follow from them, and the index is made and searched from the counts. Values,
+table follow from them, and the index is made and searched from the counts, segment by segment. Values,
 weights and scores are 64-bit integers, so no result depends on an order of additions.
 """
 
@@ -28,17 +28,13 @@ from . import store
 from .store import Folder
 
 BATCH_TERMS = 16_384        # distinct terms of a batch of queries; one query may have more
-SEGMENT_CELLS = 1 << 24     # documents of a segment times terms of the batch
+SEGMENT_CELLS = 1 << 23     # documents of a segment times terms of the batch
 SEGMENT_PAIRS = 1 << 26     # pairs of terms within its documents: bounds its summaries
 BLOCK_DOCS = 64             # documents a block has on average
 PROJECTED = 24              # dimensions that similarity is measured in
 OPENED = 16                 # blocks opened at first, twice as many each time
 
 COUNTS = "doc_id bigint, n bigint, terms array<int>, tfs array<int>"
-SEGMENT = ("doc_ids array<bigint>, starts array<int>, terms array<int>, values array<int>, "
-           "lists array<int>, block_starts array<int>, block_docs array<int>, "
-           "summary_starts array<int>, summary_terms array<int>, summary_values array<int>")
-
 # Bytes of a term are ASCII letters and digits and all bytes of other
 # characters; A-Z count as a-z.
 _TERM = np.zeros(256, bool)
@@ -157,7 +153,7 @@ def segment(doc_ids: np.ndarray, starts: np.ndarray, codes: np.ndarray, value: n
         most = np.maximum.reduceat(cells[listed[:, None], asked[t]], first, axis=0)
         b, c = np.nonzero(most)
         sizes.append(np.bincount(b, minlength=len(first)))
-        at.append(asked[t][c])
+        at.append(asked[t][c].astype(np.int32))
         maxima.append(most[b, c])
         block_docs.append(listed)
         block_starts.append(filled + np.append(first[1:], len(listed)))
@@ -189,41 +185,33 @@ def terms_beside(queries: list[np.ndarray], size: int) -> list[np.ndarray]:
 NO_ID = np.iinfo(np.int64).max      # stands for a null id, which comes last among equal scores
 
 
-def index(counts: DataFrame, n_docs: int, n_terms: int, queries, weights: np.ndarray) -> DataFrame:
-    """Segments of counted documents, one row each, their lists blocked and summed up."""
-    size = len(weights)
-    n_rows = max(1, SEGMENT_CELLS // max(1, size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = terms_beside(queries.value, size)
-        kinds = [pa.int64() if "bigint" in f else pa.int32() for f in SEGMENT.split(", ")]
-
-        def made(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks().to_batches()[0]
-            codes, starts = _flat(store.column(rows, "terms"))
-            tf, _ = _flat(store.column(rows, "tfs"))
-            n = np.repeat(store.column(rows, "n").to_numpy(), np.diff(starts))
-            ids = store.column(rows, "doc_id").fill_null(int(NO_ID)).to_numpy()
-            found = segment(ids, starts, codes.astype(np.int64), values(tf.astype(np.int64), n, n_docs, n_terms),
-                            asked, weights)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v], pa.list_(k)) for v, k in zip(found.values(), kinds)], names=list(found))
-
-        held, n, pairs = [], 0, 0
-        for batch in batches:
-            load = np.diff(_flat(store.column(batch, "terms"))[1]) ** 2
-            start = 0
-            for i, more in enumerate(load.tolist()):
-                if n and (n == n_rows or pairs + more > SEGMENT_PAIRS):
-                    held.append(batch.slice(start, i - start))
-                    yield made(pa.Table.from_batches(held))
-                    held, n, pairs, start = [], 0, 0, i
-                n, pairs = n + 1, pairs + more
-            held.append(batch.slice(start))
-        if n:
-            yield made(pa.Table.from_batches(held))
-
-    return counts.where(F.size("terms") > 0).mapInArrow(run, SEGMENT)
+def segments(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, asked: list[np.ndarray],
+             weights: np.ndarray) -> Iterator[dict]:
+    """Counted documents as segments of bounded size, one document at least."""
+    n_rows = max(1, SEGMENT_CELLS // max(1, len(weights)))
+
+    def made(rows: list[pa.RecordBatch]) -> dict:
+        rows = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        codes, starts = _flat(store.column(rows, "terms"))
+        tf, _ = _flat(store.column(rows, "tfs"))
+        n = np.repeat(store.column(rows, "n").to_numpy(), np.diff(starts))
+        ids = store.column(rows, "doc_id").fill_null(int(NO_ID)).to_numpy()
+        return segment(ids, starts, codes.astype(np.int64), values(tf.astype(np.int64), n, n_docs, n_terms),
+                       asked, weights)
+
+    held, n, pairs = [], 0, 0
+    for batch in batches:
+        load = np.diff(_flat(store.column(batch, "terms"))[1]) ** 2
+        start = 0
+        for i, more in enumerate(load.tolist()):
+            if n and (n == n_rows or pairs + more > SEGMENT_PAIRS):
+                held.append(batch.slice(start, i - start))
+                yield made(held)
+                held, n, pairs, start = [], 0, 0, i
+            n, pairs = n + 1, pairs + more
+        held.append(batch.slice(start))
+    if n:
+        yield made(held)
 
 
 # -- search ---------------------------------------------------------------------
@@ -276,18 +264,21 @@ class Searcher:
         return found
 
 
-def search_segments(segments: DataFrame, queries, weights: np.ndarray, k: int) -> DataFrame:
-    """``(query, doc_id, score)``: of each task the k best of each query at most."""
+def best_of_tasks(counts: DataFrame, n_docs: int, n_terms: int, queries, weights: np.ndarray,
+                  k: int) -> DataFrame:
+    """``(query, doc_id, score)``: of each task the k best of each query at most.
+
+    A task makes its documents' segments one after the other and searches each with all
+    queries of the batch; the k best scores so far bound what it opens in the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = terms_beside(queries.value, len(weights))
         found: dict[int, list] = {}
-        for batch in batches:
-            for i in range(len(batch)):
-                columns = {name: store.column(batch, name)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                           for name in batch.schema.names}
-                searcher = Searcher(columns, len(weights))
-                for q, query in enumerate(queries.value):
-                    found[q] = searcher.best(query, weights[query], k, found.get(q, []))
+        for made in segments(batches, n_docs, n_terms, asked, weights):
+            searcher = Searcher(made, len(weights))
+            for q, query in enumerate(queries.value):
+                found[q] = searcher.best(query, weights[query], k, found.get(q, []))
         flat = [(q, d, -s) for q, rows in found.items() for s, d in rows]
         query, doc, score = zip(*flat) if flat else ((), (), ())
         doc = np.array(doc, np.int64)
@@ -295,7 +286,8 @@ def search_segments(segments: DataFrame, queries, weights: np.ndarray, k: int) -
             [pa.array(query, pa.int32()), pa.array(doc, mask=doc == NO_ID), pa.array(score, pa.int64())],
             names=["query", "doc_id", "score"])
 
-    return segments.mapInArrow(run, "query int, doc_id bigint, score bigint")
+    return (counts.where(F.size("terms") > 0)
+            .mapInArrow(run, "query int, doc_id bigint, score bigint"))
 
 
 def batches_of(items: DataFrame, batch_terms: int = BATCH_TERMS) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -347,17 +339,14 @@ def _batch(spark: SparkSession, docs: DataFrame, ids: list, texts: list[list[byt
     weights = np.array([weight(total["n_docs"], int(d)) for d in df], np.int64)
     place = {t: i for i, t in enumerate(vocabulary.value)}
     queries = share([np.array([place[t] for t in text], np.int64) for text in texts])
-    segments = folder.cut(index(counts, total["n_docs"], total["n_terms"] or 1, queries, weights),
-                          f"segments-{number}")
-    folder.drop(f"counts-{number}")
     names = spark.createDataFrame(list(enumerate(ids)), "query int, item_id bigint")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    found = (search_segments(segments, queries, weights, k)
+    found = (best_of_tasks(counts, total["n_docs"], total["n_terms"] or 1, queries, weights, k)
              .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
              .join(F.broadcast(names), "query")      # as many rows as items of the batch
              .select("item_id", "rank", "doc_id", "score"))
     found = folder.cut(found, f"found-{number}")
-    folder.drop(f"segments-{number}")
+    folder.drop(f"counts-{number}")
     vocabulary.destroy()
     queries.destroy()
     return found
