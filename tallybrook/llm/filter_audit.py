@@ -44,7 +44,7 @@ def copies(docs: DataFrame, hashes: DataFrame, folder: Folder, keep: tuple[str,
     ``docs`` has ``doc_id``, ``text`` without nulls and ``hash``, the text's 64-bit hash;
     ``hashes`` has the same hashes without the texts.
     Of a group of copies only the smallest id meets the others, so a row is compared once,
-    however large its group; Spark may split the rows of a large group over tasks.
+    however large its group.
     A null id is smaller than nothing and nothing is smaller than it. Rows of one id are
     no copies of each other.
     """
@@ -52,7 +52,8 @@ def copies(docs: DataFrame, hashes: DataFrame, folder: Folder, keep: tuple[str,
                           "repeated")
     some = folder.cut(docs.select("doc_id", "hash", "text", *keep)
                       .join(repeated, "hash", "left_semi"), "candidates")
-    least = some.groupBy("hash", "text").agg(F.min("doc_id").alias("least"))
+    # written, so that Spark can split the rows of a large group over tasks of the join
+    least = folder.cut(some.groupBy("hash", "text").agg(F.min("doc_id").alias("least")), "least")
     return (some.join(least.withColumnsRenamed({"hash": "_h", "text": "_t"}),
                       (F.col("hash") == F.col("_h")) & (F.col("text") == F.col("_t"))
                       & (F.col("least") < F.col("doc_id")), "left_semi")
