@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from . import store
 
-KNOWN_PIECES = 1_000_000     # pieces whose ids a process remembers; more start anew
+KNOWN_PIECES = 200_000     # pieces whose ids a process remembers, and their bytes;
+KNOWN_BYTES = 4 << 20      # beyond either it starts anew
 JOINED_BYTES = 1 << 14     # pieces handed to the library as one text
 SLICE_BYTES = 4 << 20      # text encoded at once
 
@@ -70,9 +71,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 def tokenizer_from_file(path: str):
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True    # a text that holds one is ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def tokenizer_from_ranks(path: str, pattern: str):
@@ -166,7 +165,8 @@ class Encoder:
             None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary
-        if len(self.known) + len(distinct) > KNOWN_PIECES:
+        if (len(self.known) + len(distinct) > KNOWN_PIECES
+                or self.known.nbytes + distinct.nbytes > KNOWN_BYTES):
             self._forget()
         at = pc.index_in(distinct, value_set=self.known)
         new = at.is_null().to_numpy(zero_copy_only=False)
@@ -223,10 +223,11 @@ def encoder(path: str, pattern: str | None = None) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "text",
-           keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+           keep: tuple[str, ...] = ("doc_id",), check: bool = False, decoded: bool = False) -> DataFrame:
     """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens`` to ``keep``.
 
     With ``check``, also ``round_trip``: whether decoding the ids gives the text's bytes.
+    With ``decoded``, also the bytes that the ids decode to, by the byte table.
 
     Null and empty texts have no ids. Rows stay as they are, repeated ones included;
     columns outside ``keep`` are dropped, so their names cannot clash. A very long text is
@@ -239,19 +240,19 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
         for batch in store.slices(batches, "_text", SLICE_BYTES):
             array = store.texts(batch, "_text")
             ids, starts = use.encode(array)
-            extra = [] if not check else [pa.array([
-                use.decode(ids[a:b]) == t.as_buffer().to_pybytes()
-                for a, b, t in zip(starts.tolist(), starts[1:].tolist(), array)])]
+            back = [use.decode(ids[a:b]) for a, b in zip(starts, starts[1:])] if check or decoded else []
+            extra = [pa.array([x == t.as_buffer().to_pybytes() for x, t in zip(back, array)])] * check
+            extra += [pa.array(back, pa.binary())] * decoded
             out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [
                 None, pa.py_buffer(starts * 4), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
                 [*(store.column(batch, k) for k in keep), out.cast(pa.binary()),
                  pa.array(np.diff(starts)), *extra],
-                names=[*keep, "ids", "n_tokens", *["round_trip"] * check])
+                names=[*keep, "ids", "n_tokens", *["round_trip"] * check, *["decoded"] * decoded])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
     return rows.mapInArrow(
-        run, f"{schema}, ids binary, n_tokens bigint" + ", round_trip boolean" * check)
+        run, f"{schema}, ids binary, n_tokens bigint" + ", round_trip boolean" * check + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids",

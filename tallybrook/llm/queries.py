@@ -26,8 +26,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids by the rank file, and the bytes they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
-    back = bpe.decode(tokens, path, keep=("doc_id", "n_tokens", "ids"))
+    back = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

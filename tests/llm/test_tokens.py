@@ -30,8 +30,29 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
         assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == whole
 
 
+@settings(max_examples=100, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "a", " b", " ", "é", "\n", "|>", "<"]), max_size=12))
+def test_special_strings_are_what_the_library_takes_them_for(parts):
+    from tokenizers import Tokenizer
+    fresh, text = Tokenizer.from_file(JSON), "".join(parts)
+    ids, _ = bpe.encoder(JSON).encode(pa.array([text, "x"]))
+    assert ids.tolist() == [i for t in (text, "x") for i in fresh.encode(t, add_special_tokens=False).ids]
+
+
+def test_forgotten_pieces_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 400)
+    use = bpe.Encoder(bpe.tokenizer_from_file(JSON))
+    for start in range(0, 300, 20):
+        text = " ".join(f"word{i}" for i in range(start, start + 20))
+        ids, _ = use.encode(pa.array([text]))
+        assert ids.tolist() == use.tokenizer.encode(text, add_special_tokens=False).ids
+    assert use.known.nbytes < 2000
+
+
 def test_ids_and_round_trip(docs, plain):
     tokens = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text"))
+    at_once = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "text"), check=True, decoded=True)
+    assert all(bytes(r.decoded) == (r.text or "").encode() and r.round_trip for r in at_once.collect())
     back = bpe.decode(tokens, RANKS, keep=("doc_id", "text", "ids", "n_tokens"))
     rows = back.collect()
     assert len(rows) == docs.count()
