@@ -123,11 +123,18 @@ def signatures(grams: np.ndarray, similarity: float) -> np.ndarray:
 
 def _signed(docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """``(doc_id, n_shingles, h1, h2, slots, sigs)`` of each text; h1 and h2 stand for its
-    set, slots holds how many n-grams each part of the hash range has, up to 255."""
+    set, slots holds how many n-grams each part of the hash range has, up to 255. Of equal
+    sets handled together one has signatures, so that copies do not pile up under them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in store.slices(batches):
             sets = gram_sets(store.texts(batch), n)
-            sigs = [signatures(s, similarity) if len(s) else np.zeros(0, np.uint64) for s in sets]
+            has_id, seen, sigs = store.column(batch, "doc_id").is_valid().to_pylist(), set(), []
+            for s, ok in zip(sets, has_id):
+                first = ok and len(s) and (key := s.tobytes()) not in seen
+                if first:
+                    seen.add(key)
+                sigs.append(signatures(s, similarity) if first else np.zeros(0, np.uint64))
+            del seen
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             two = [np.array([words.mix(s + np.uint64(i)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                    for i in (1, 2)]
@@ -331,16 +338,21 @@ def components(docs: DataFrame, folder: store.Folder, n: int = 3, parts: tuple[i
     """
     rows = docs.select("doc_id", "text")
     signed = folder.cut(_signed(rows, n, parts[0] / parts[1]), "signed")
-    sets = (signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-            .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"),
-                 F.any_value("slots").alias("slots"), F.any_value("sigs").alias("sigs")))
-    sets = folder.cut(sets, "sets")
+    sets = folder.cut(
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"),
+             F.any_value("slots").alias("slots")), "sets")
+    filed = folder.cut(_filed_sets(signed), "filed")
     signed = folder.cut(signed.select("doc_id", "n_shingles", "h1", "h2"), "known")
-    folder.drop("signed")
-    near = graph.components(_candidates(sets, folder, parts[0] / parts[1]), folder, "near")
-    block = near.join(sets.select(F.col("rep").alias("node"), "n_shingles"), "node").select(
-        F.col("node").alias("doc_id"), "component", "n_shingles")
-    found = folder.cut(links(rows, folder.cut(block, "blocks"), n, parts), "links")
+    folder.drop("signed")       # the signatures are the widest column by far
+    edges = folder.cut(_candidates(filed, sets, folder, parts[0] / parts[1]), "edges")
+    folder.drop("filed", "groups")
+    near = graph.components(edges, folder, "near")
+    block = near.join(sets.select(F.col("h1").alias("node"), "rep", "n_shingles"), "node").select(
+        F.col("rep").alias("doc_id"), "component", "n_shingles")
+    block = folder.cut(block, "blocks")
+    folder.drop("edges")
+    found = folder.cut(links(rows, block, n, parts), "links")
     found = found.unionByName(_shared_ids(signed, sets))
     reached = graph.components(found, folder, "reached")
     known = (sets.select("h1", "h2", F.col("rep").alias("node")).join(reached, "node", "left")
@@ -352,27 +364,36 @@ def components(docs: DataFrame, folder: store.Folder, n: int = 3, parts: tuple[i
     return answered.select(names).unionByName(alone.select(names))
 
 
-def _candidates(sets: DataFrame, folder: store.Folder, similarity: float) -> DataFrame:
+def _filed_sets(signed: DataFrame) -> DataFrame:
+    """``(sig, set, n, first)``: sets filed under a signature that ``n`` > 1 sets have.
+
+    A set is named by its first hash; ``first`` is the least of the signature.
+    """
+    one = Window.partitionBy("sig")
+    before = F.lag("set").over(one.orderBy("set"))
+    return (signed.select(F.col("h1").alias("set"), F.explode("sigs").alias("sig"))
+            .withColumn("before", before).where("before is null or before <> set").drop("before")
+            .withColumn("n", F.count("*").over(one)).withColumn("first", F.min("set").over(one))
+            .where("n > 1"))
+
+
+def _candidates(filed: DataFrame, sets: DataFrame, folder: store.Folder, similarity: float) -> DataFrame:
     """``(a, b)``: edges that connect all sets that may be linked.
 
     Sets filed under one signature are candidates of each other. Up to ``MEMBERS`` of them
     are compared by the counts of their slots: the differences of the counts add up to no
     more than the n-grams in which two sets differ, so a pair with a larger sum is no
     candidate, and the others are reduced to one edge per set. A larger group is connected
-    as a whole, without comparison, through its smallest id.
+    as a whole, without comparison, through its first set.
     """
-    one = Window.partitionBy("sig")
-    filed = (sets.select("rep", F.explode("sigs").alias("sig"))
-             .select("rep", "sig", F.count("*").over(one).alias("n"), F.min("rep").over(one).alias("first"))
-             .where("n > 1"))
-    filed = folder.cut(filed, "filed")
-    whole = filed.where((F.col("n") > MEMBERS) & (F.col("rep") != F.col("first"))).select(
-        F.col("first").alias("a"), F.col("rep").alias("b"))
+    whole = filed.where((F.col("n") > MEMBERS) & (F.col("set") != F.col("first"))).select(
+        F.col("first").alias("a"), F.col("set").alias("b"))
     groups = (filed.where(F.col("n") <= MEMBERS).groupBy("sig")
-              .agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-              .select("reps", F.monotonically_increasing_id().alias("group")))
+              .agg(F.array_sort(F.collect_list("set")).alias("sets")).select("sets").distinct()
+              .select("sets", F.monotonically_increasing_id().alias("group")))
     groups = folder.cut(groups, "groups")
-    members = groups.select("group", F.explode("reps").alias("rep")).join(sets.select("rep", "n_shingles", "slots"), "rep")
+    members = groups.select("group", F.explode("sets").alias("rep")).join(
+        sets.select(F.col("h1").alias("rep"), "n_shingles", "slots"), "rep")
     members = members.groupBy("group").agg(F.collect_list(F.struct("rep", "n_shingles", "slots")).alias("m"))
     members = members.select(F.col("m.rep").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.slots").alias("slots"))
 

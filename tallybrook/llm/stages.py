@@ -29,14 +29,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of repeated rows with one id and words one stays. Documents without words, or without
     an id, belong to no group and stay.
     """
-    found = ngram_join.components(docs, store.Folder(spark, "near-copies"), SHINGLE, SIMILARITY)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    folder = store.Folder(spark, "near-copies")
+    found = ngram_join.components(docs, folder, SHINGLE, SIMILARITY)
+    # written, so that Spark knows their size when it plans the joins with the texts
+    gone = folder.cut(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    several = folder.cut(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count()
+                         .where("count > 1").select("doc_id"), "several")
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)) & F.col("doc_id").isNotNull()
     place = "_place_in_group"
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = rest.where(worded).withColumn(place, at).where(F.col(place) == 1).drop(place)
-    return one.unionByName(rest.where(~worded))
+    repeated = rest.join(several, "doc_id", "left_semi").select(*docs.columns)
+    one = repeated.where(worded).withColumn(place, at).where(F.col(place) == 1).drop(place)
+    return (rest.join(several, "doc_id", "left_anti").select(*docs.columns)
+            .unionByName(one).unionByName(repeated.where(~worded)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
