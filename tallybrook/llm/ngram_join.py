@@ -34,7 +34,7 @@ BLOCK_GRAMS = 1 << 17    # n-grams of the sets in half a group
 NODE_GRAMS = 8           # n-grams of a tree segment, on average
 PAIRS = 1 << 18          # node pairs that are expanded at once
 SLOTS = 64               # parts of the hash range whose n-grams are counted
-MEMBERS = 1 << 11        # candidates with one signature whose counts are compared
+MEMBERS = 1 << 11        # sets whose counts are compared at once
 
 
 def gram_sets(array: pa.Array, n: int) -> list[np.ndarray]:
@@ -365,37 +365,42 @@ def components(docs: DataFrame, folder: store.Folder, n: int = 3, parts: tuple[i
 
 
 def _filed_sets(signed: DataFrame) -> DataFrame:
-    """``(sig, set, n, first)``: sets filed under a signature that ``n`` > 1 sets have.
+    """``(sig, set, n)``: sets filed under a signature that ``n`` > 1 sets have.
 
-    A set is named by its first hash; ``first`` is the least of the signature.
+    A set is named by its first hash.
     """
     one = Window.partitionBy("sig")
     before = F.lag("set").over(one.orderBy("set"))
     return (signed.select(F.col("h1").alias("set"), F.explode("sigs").alias("sig"))
             .withColumn("before", before).where("before is null or before <> set").drop("before")
-            .withColumn("n", F.count("*").over(one)).withColumn("first", F.min("set").over(one))
-            .where("n > 1"))
+            .withColumn("n", F.count("*").over(one)).where("n > 1"))
 
 
 def _candidates(filed: DataFrame, sets: DataFrame, folder: store.Folder, similarity: float) -> DataFrame:
     """``(a, b)``: edges that connect all sets that may be linked.
 
-    Sets filed under one signature are candidates of each other. Up to ``MEMBERS`` of them
-    are compared by the counts of their slots: the differences of the counts add up to no
-    more than the n-grams in which two sets differ, so a pair with a larger sum is no
-    candidate, and the others are reduced to one edge per set. A larger group is connected
-    as a whole, without comparison, through its first set.
+    Sets filed under one signature are candidates of each other. They are compared by the
+    counts of their slots: the differences of the counts add up to no more than the n-grams
+    in which two sets differ, so a pair with a larger sum is no candidate, and the others
+    are reduced to one edge per set. Groups with the same sets are compared once. A group of
+    more than ``MEMBERS`` is cut by hash, and every two of its parts are compared together.
     """
-    whole = filed.where((F.col("n") > MEMBERS) & (F.col("set") != F.col("first"))).select(
-        F.col("first").alias("a"), F.col("set").alias("b"))
+    def with_slots(rows: DataFrame, *key: str) -> DataFrame:
+        found = rows.join(sets.select(F.col("h1").alias("set"), "n_shingles", "slots"), "set")
+        return (found.groupBy(*key).agg(F.collect_list(F.struct("set", "n_shingles", "slots")).alias("m"))
+                .select(F.col("m.set").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.slots").alias("slots")))
+
     groups = (filed.where(F.col("n") <= MEMBERS).groupBy("sig")
               .agg(F.array_sort(F.collect_list("set")).alias("sets")).select("sets").distinct()
               .select("sets", F.monotonically_increasing_id().alias("group")))
     groups = folder.cut(groups, "groups")
-    members = groups.select("group", F.explode("sets").alias("rep")).join(
-        sets.select(F.col("h1").alias("rep"), "n_shingles", "slots"), "rep")
-    members = members.groupBy("group").agg(F.collect_list(F.struct("rep", "n_shingles", "slots")).alias("m"))
-    members = members.select(F.col("m.rep").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.slots").alias("slots"))
+    parts = F.ceil(2 * F.col("n") / MEMBERS).cast("int")
+    large = (filed.where(F.col("n") > MEMBERS).select("sig", "set", parts.alias("parts"))
+             .withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("sig", "set", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    members = with_slots(groups.select("group", F.explode("sets").alias("set")), "group").unionByName(
+        with_slots(large, "sig", "low", "high"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +410,7 @@ def _candidates(filed: DataFrame, sets: DataFrame, folder: store.Folder, similar
                 a, b = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return members.mapInArrow(run, "a bigint, b bigint").unionByName(whole)
+    return members.mapInArrow(run, "a bigint, b bigint")
 
 
 def _near(ids: np.ndarray, size: np.ndarray, slots: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]:

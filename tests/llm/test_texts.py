@@ -153,6 +153,15 @@ def test_components_of_blocks_that_are_cut(spark, folder, monkeypatch):
     assert sorted(((True, r.doc_id), r.n_shingles, r.component_id) for r in got) == plain_components(rows, 3, 90, 100)
 
 
+def test_components_of_large_signature_groups(spark, folder, monkeypatch):
+    """A limit of four sets: most groups are compared in pairs of parts."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 4)
+    rows = near_texts(7, 60)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.components(df, folder, 3, (90, 100)).collect()
+    assert sorted(((True, r.doc_id), r.n_shingles, r.component_id) for r in got) == plain_components(rows, 3, 90, 100)
+
+
 def plain_matches(docs, items, least=0.8):
     def norm(t):
         return [x for x in (w.lower().strip(decontam.MARKS) for w in re.split(r"[\x20\x09-\x0D]+", t or "")) if x]
