@@ -84,20 +84,22 @@ def with_z(baseline: DataFrame, value: str = "count") -> DataFrame:
 def anomalies(baseline: DataFrame, *, threshold: float = THRESHOLD,
               min_observations: int = MIN_OBSERVATIONS) -> DataFrame:
     """Rows of the anomaly table; ``detected_at`` is the end of the window."""
-    z = F.col("z_score")
-    return (
-        with_z(baseline)
-        .where((F.col("observations") >= min_observations) & (F.abs(z) > threshold))
-        .select(
-            F.date_format("window_end", "yyyy-MM-dd-HH").alias("time_bucket"),
-            F.col("window_end").alias("detected_at"),
-            F.concat_ws(":", F.lit(METRIC), F.col("user_id").cast("string"),
-                        F.date_format("window_end", "yyyyMMddHHmmss")).alias("anomaly_id"),
-            "user_id",
-            F.lit(METRIC).alias("metric"),
-            F.col("count").cast("double").alias("observed_value"),
-            F.col("mean").alias("expected_value"),
-            "z_score",
-            scalars.severity(F.abs(z)).alias("severity"),
-        )
+    return anomaly_rows(with_z(baseline).where(
+        (F.col("observations") >= min_observations) & (F.abs("z_score") > threshold)))
+
+
+def anomaly_rows(found: DataFrame, *extra: str) -> DataFrame:
+    """Windows that have a ``z_score`` in the columns of the anomaly table."""
+    return found.select(
+        F.date_format("window_end", "yyyy-MM-dd-HH").alias("time_bucket"),
+        F.col("window_end").alias("detected_at"),
+        F.concat_ws(":", F.lit(METRIC), F.col("user_id").cast("string"),
+                    F.date_format("window_end", "yyyyMMddHHmmss")).alias("anomaly_id"),
+        "user_id",
+        F.lit(METRIC).alias("metric"),
+        F.col("count").cast("double").alias("observed_value"),
+        F.col("mean").alias("expected_value"),
+        "z_score",
+        scalars.severity(F.abs("z_score")).alias("severity"),
+        *extra,
     )

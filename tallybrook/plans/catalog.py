@@ -17,7 +17,7 @@ from ..operators import toplists, upsert
 from ..session import configure, workspace
 from ..sources import adapter, streams, synthetic
 from ..sources.tables import INCREMENTS_DDL, Tables
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 
 # The test events are thin (about 2.5 per active user and day). Day windows and a
 # small, slow bucket make the folds do something. The operators' defaults are 30
@@ -510,24 +510,90 @@ def stream_daily_counters(spark, sf):
     return _stored(spark, sf, "counters", adapter.as_raw_messages).read_counters(spark)
 
 
+def _in_turn(spark, sf, name, slices, start):
+    """Feeds the events to a stream slice by slice: a slice arrives, the stream handles it
+    in a micro-batch, stops, and goes on from its checkpoint when the next one is there."""
+    root = workspace(spark, name)
+    for part in slices(adapter.raw_events(spark, sf)):
+        part.write.mode("append").parquet(f"{root}/in")
+        _finish(start(streams.file_events(spark, f"{root}/in"), root))
+    return root
+
+
+def _mixed(raw, n=3):
+    """Slices that each hold events of all times."""
+    return [raw.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _by_time(raw, n=3):
+    """Slices of equal size, one after the other in time."""
+    at = T.micros("ts")
+    cuts = raw.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    return [raw.where(((at > low) if low is not None else F.lit(True)) & ((at <= high) if high is not None else F.lit(True)))
+            for low, high in zip([None, *cuts], [*cuts, None])]
+
+
 @query
 def stream_anomalies(spark, sf):
-    raw, root = _streamed(spark, sf, "anomalies")
-    windows, tables = f"{root}/windows", Tables(f"{root}/tables")
-    _finish(jobs.close_windows(adapter.as_events(raw), windows, f"{root}/checkpoint-1",
-                               size=DAY, trigger=jobs.ONCE))
-    _finish(jobs.detect_anomalies(spark, windows, tables, f"{root}/checkpoint-2",
-                                  trigger=jobs.ONCE))
-    return (tables.read_anomalies(spark)
+    """Days arrive in three mixed slices, so most windows are late once or twice."""
+    def start(raw, root):
+        return stateful.watch(adapter.as_events(raw), Tables(f"{root}/tables"), f"{root}/checkpoint",
+                              size=DAY, trigger=jobs.ONCE)
+
+    root = _in_turn(spark, sf, "anomalies", _mixed, start)
+    return (Tables(f"{root}/tables").read_anomalies(spark)
             .withColumns({"user_id": F.col("user_id").cast("bigint"),
                           "detected_at": F.col("detected_at").cast("timestamp_ntz")}))
 
 
+def _bucket_stream(spark, sf, name):
+    def start(raw, root):
+        decided = stateful.bucket_decisions(adapter.as_requests(raw), SLOW)
+        return (decided.writeStream.format("parquet").option("path", f"{root}/decisions")
+                .option("checkpointLocation", f"{root}/checkpoint").trigger(**jobs.ONCE).start())
+
+    return _in_turn(spark, sf, name, _by_time, start)
+
+
+@query
+def stream_bucket_decisions(spark, sf):
+    """Buckets in the state store, handed from slice to slice."""
+    return spark.read.parquet(f"{_bucket_stream(spark, sf, 'buckets')}/decisions")
+
+
+@query
+def stream_tokens_remaining(spark, sf):
+    """As ``tokens_remaining``, from the states a stream left in its checkpoint."""
+    root = _bucket_stream(spark, sf, "buckets-left")
+    requests = _requests(spark, sf)
+    keys = (requests.select("api_key").distinct()
+            .union(spark.range(1).select(F.lit("never-seen").alias("api_key"))))
+    now = T.hours_before(toplists.newest(requests), -2)
+    return throttle.tokens_remaining(keys, stateful.bucket_states(spark, f"{root}/checkpoint"), now, bucket=SLOW)
+
+
+@query
+def stream_daily_rollup(spark, sf):
+    """Days from minutes in one stream; days are given once they are over for an hour."""
+    def start(raw, root):
+        days = stateful.rolled_up(adapter.as_events(raw)).withColumn("user_id", F.col("user_id").cast("bigint"))
+        return (days.writeStream.format("parquet").outputMode("append").option("path", f"{root}/days")
+                .option("checkpointLocation", f"{root}/checkpoint").trigger(**jobs.ONCE).start())
+
+    root = _in_turn(spark, sf, "rollup", _by_time, start)
+    return spark.read.parquet(f"{root}/days").select(
+        "user_id", "event_type", F.date_format("window_start", "yyyy-MM-dd").alias("time_bucket"),
+        "event_count", "windows")
+
+
 @query
 def stream_throttle(spark, sf):
-    raw, root = _streamed(spark, sf, "throttle")
-    requests = adapter.as_requests(raw).select("id", "timestamp", "api_key")
-    _finish(jobs.throttle_stream(requests, root, f"{root}/checkpoint", SLOW, trigger=jobs.ONCE))
+    """The batch throttle per slice, states handed on in tables; busy keys are split."""
+    def start(raw, root):
+        requests = adapter.as_requests(raw).select("id", "timestamp", "api_key")
+        return jobs.throttle_stream(requests, root, f"{root}/checkpoint", SLOW, keep="30 days", trigger=jobs.ONCE)
+
+    root = _in_turn(spark, sf, "throttle", _by_time, start)
     return (spark.read.parquet(f"{root}/decisions")
             .select("id", "api_key", "allowed", "tokens_left"))
 

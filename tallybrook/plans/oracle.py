@@ -136,6 +136,16 @@ outc AS (
 _NOW = "(SELECT max(ts) FROM events)"
 
 
+_TOKENS_LEFT = f"""WITH RECURSIVE {_REQ},
+{_bucket("req")},
+tail AS (SELECT api_key, max(rn) AS rn FROM bkt GROUP BY 1)
+SELECT api_key, floor(least(5::DOUBLE, tokens
+  + (epoch_us({_NOW}) + 7200000000 - epoch_us(ts)) / 1e6::DOUBLE
+  * (2::DOUBLE / 86400)))::INT AS tokens_left
+FROM bkt JOIN tail USING (api_key, rn)
+UNION ALL SELECT 'never-seen', 5::INT"""
+
+
 def _draw(stream: int, sides: int) -> str:
     x = f"((event_id + {1 + 7919 * stream}) % 2147483647)"
     for factor in (48271, 69621, 16807):
@@ -243,14 +253,7 @@ SELECT batch_id, id, api_key, n_events, outcome FROM judged""",
         "ingested_events": f"WITH RECURSIVE {_CALLS} SELECT id, ip AS source_ip FROM taken",
         "stream_ingest": f"""WITH RECURSIVE {_CALLS}
 SELECT id, user_id AS key, ip AS source_ip FROM taken""",
-        "tokens_remaining": f"""WITH RECURSIVE {_REQ},
-{_bucket("req")},
-tail AS (SELECT api_key, max(rn) AS rn FROM bkt GROUP BY 1)
-SELECT api_key, floor(least(5::DOUBLE, tokens
-  + (epoch_us({_NOW}) + 7200000000 - epoch_us(ts)) / 1e6::DOUBLE
-  * (2::DOUBLE / 86400)))::INT AS tokens_left
-FROM bkt JOIN tail USING (api_key, rn)
-UNION ALL SELECT 'never-seen', 5::INT""",
+        "tokens_remaining": _TOKENS_LEFT,
         "user_recent_events": f"""SELECT event_id AS id, user_id, event_type,
   ts AS "timestamp", props AS payload FROM events
 WHERE user_id = 7 AND ts BETWEEN {_NOW} - INTERVAL 168 HOUR AND {_NOW}
@@ -330,8 +333,12 @@ SELECT id, CASE WHEN reason IS NULL THEN 'events_by_user' ELSE 'dead_letter' END
 SELECT e.user_id::VARCHAR AS user_id, event_type, {_DAY} AS time_bucket,
   count(*) AS event_count
 FROM events e JOIN msg ON id = event_id WHERE reason IS NULL GROUP BY ALL""",
-        "stream_anomalies": f"""WITH RECURSIVE {_anomalies(3.0)}
-SELECT * FROM ano WHERE detected_at <= {_NOW} - INTERVAL 1 HOUR""",
+        "stream_anomalies": f"WITH RECURSIVE {_anomalies(3.0)} SELECT * FROM ano",
+        "stream_bucket_decisions": _THROTTLE,
+        "stream_tokens_remaining": _TOKENS_LEFT,
+        "stream_daily_rollup": f"""SELECT user_id, event_type, {_DAY} AS time_bucket, count(*) AS event_count,
+  count(DISTINCT date_trunc('minute', ts)) AS windows FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_NOW} - INTERVAL 1 HOUR GROUP BY ALL""",
         "stream_throttle": _THROTTLE,
         "stream_without_repeats":
             "SELECT event_id AS id, user_id, event_type FROM events",

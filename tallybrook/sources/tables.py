@@ -22,7 +22,7 @@ INCREMENTS_DDL = ("user_id string, event_type string, window_start timestamp, "
                   "time_bucket string, batch_id bigint")
 ANOMALIES_DDL = ("detected_at timestamp, anomaly_id string, user_id string, metric string, "
                  "observed_value double, expected_value double, z_score double, "
-                 "severity string, time_bucket string")
+                 "severity string, withdrawn boolean, time_bucket string, batch_id bigint")
 DEAD_LETTERS_DDL = "raw string, reason string, failed_at timestamp, batch_id bigint"
 
 ROWS_PER_FILE = 5_000_000
@@ -64,7 +64,10 @@ class Tables:
                 .agg(F.sum("count").alias("event_count")))
 
     def read_anomalies(self, spark: SparkSession) -> DataFrame:
-        return self.read(spark, self.anomalies, ANOMALIES_DDL).drop("batch_id")
+        """The anomaly table, each anomaly in its last written state, without withdrawn ones."""
+        stored = self.read(spark, self.anomalies, ANOMALIES_DDL)
+        last = upsert.latest(stored, ["time_bucket", "anomaly_id"], [F.col("batch_id").desc()])
+        return last.where("withdrawn IS NOT TRUE").drop("batch_id", "withdrawn")
 
     def read_dead_letters(self, spark: SparkSession) -> DataFrame:
         return self.read(spark, self.dead_letters, DEAD_LETTERS_DDL)

@@ -1,0 +1,154 @@
+"""Streams with state in Spark's store: late windows, timers, initial states, chained windows."""
+
+import datetime as dt
+import random
+
+import pytest
+from helpers import rows
+from pyspark.sql import functions as F
+
+from tallybrook.functions.bucket import TokenBucket
+from tallybrook.operators import aggregate, baseline, throttle
+from tallybrook.session import configure
+from tallybrook.sources import streams
+from tallybrook.sources.tables import Tables
+from tallybrook.streaming import jobs, stateful
+
+EVENTS = "id string, user_id string, timestamp timestamp, event_type string"
+REQUESTS = "id bigint, api_key string, timestamp timestamp"
+START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def slices_in_turn(spark, tmp_path, slices, ddl, start):
+    for data in slices:
+        spark.createDataFrame(data, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        start(streams.file_events(spark, f"{tmp_path}/in", ddl=ddl)).awaitTermination()
+
+
+def watched(spark, tmp_path, slices, **options):
+    configure(spark)
+    tables = Tables(f"{tmp_path}/tables")
+    slices_in_turn(spark, tmp_path, slices, EVENTS, lambda events: stateful.watch(
+        events, tables, f"{tmp_path}/cp", trigger=jobs.ONCE, size="1 minute", **options))
+    return tables.read_anomalies(spark)
+
+
+def in_batch(spark, data, **options):
+    counts = aggregate.user_counts(spark.createDataFrame(data, EVENTS), "1 minute")
+    return baseline.anomalies(baseline.ema_baseline(counts), **options)
+
+
+COLUMNS = ["anomaly_id", "user_id", "detected_at", "observed_value", "expected_value", "z_score", "severity"]
+
+
+def minutes(user, counts, first=0):
+    return [(f"{user}-{i}-{k}", user, START + dt.timedelta(minutes=first + i, seconds=k % 60), "click")
+            for i, n in enumerate(counts) for k in range(n)]
+
+
+def test_late_windows_are_folded_in_their_place(spark, tmp_path):
+    """Events come in random order over four slices, some users in every slice."""
+    draw = random.Random(1)
+    data = [e for user in ("a", "b", "c") for e in minutes(user, [draw.choice([1, 1, 2, 2, 3, 25]) for _ in range(60)])]
+    data += [("n", None, START, "click")]
+    draw.shuffle(data)
+    got = watched(spark, tmp_path, [data[i::4] for i in range(4)], threshold=2.0)
+    assert rows(got, *COLUMNS) == rows(in_batch(spark, data, threshold=2.0), *COLUMNS)
+
+
+def test_anomalies_are_withdrawn_when_late_events_explain_them(spark, tmp_path):
+    usual = minutes("u", [1] * 12)
+    burst = minutes("u", [40], first=20)
+    late = minutes("u", [40] * 5, first=14)
+    first = watched(spark, tmp_path / "one", [usual + burst])
+    assert rows(first, "observed_value") == [(40.0,)]
+    got = watched(spark, tmp_path / "two", [usual + burst, late])
+    want = in_batch(spark, usual + burst + late)
+    assert rows(got, *COLUMNS) == rows(want, *COLUMNS)
+    assert "20240101002100" not in {a for (i,) in rows(got, "anomaly_id") for a in i.split(":")}
+
+
+def test_windows_behind_the_watermark_become_one_snapshot(spark, tmp_path):
+    """State holds the windows of the last ten minutes; results stay those of the batch."""
+    draw = random.Random(2)
+    data = minutes("u", [draw.choice([1, 2, 3]) for _ in range(80)] + [60, 1, 2, 70])
+    slices = [data[i:i + 50] for i in range(0, len(data), 50)]
+    got = watched(spark, tmp_path, slices, kept="10 minutes")
+    assert rows(got, *COLUMNS) == rows(in_batch(spark, data), *COLUMNS)
+    left = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "pending").load()
+    assert 0 < left.count() < 40
+
+
+def test_idle_users_are_forgotten(spark, tmp_path):
+    old, busy = minutes("old", [1, 2]), [minutes("busy", [1], first=m) for m in (10, 200, 400, 401)]
+    watched(spark, tmp_path, [old, *busy], kept="1 minute", idle="60 minutes")
+    base = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "base").load()
+    assert rows(base, "key.user_id") == [("busy",)]
+
+
+SMALL = TokenBucket(3, 1)
+
+
+def decided(spark, tmp_path, slices, **options):
+    configure(spark)
+    slices_in_turn(spark, tmp_path, slices, REQUESTS, lambda requests: (
+        stateful.bucket_decisions(requests, SMALL, **options).writeStream.format("parquet")
+        .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(**jobs.ONCE).start()))
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def requests_of(draw, n):
+    at, out = START, []
+    for i in range(n):
+        at += dt.timedelta(milliseconds=draw.choice([0, 0, 100, 400, 2000]))
+        out.append((i, draw.choice(["x", "x", "y"]), at))
+    return out
+
+
+def test_buckets_go_on_from_slice_to_slice(spark, tmp_path):
+    data = requests_of(random.Random(3), 300)
+    got = decided(spark, tmp_path, [data[:90], data[90:210], data[210:]])
+    want = throttle.replay(spark.createDataFrame(data, REQUESTS), SMALL, key="api_key", at="timestamp", tie="id")
+    names = ["id", "api_key", "allowed", "tokens_left"]
+    assert rows(got, *names) == rows(want, *names)
+    states = throttle.final_states(want, key="api_key", at="timestamp", bucket=SMALL)
+    names = ["api_key", "full_at", "last_at"]
+    assert rows(stateful.bucket_states(spark, f"{tmp_path}/cp"), *names) == rows(states, *names)
+
+
+def test_full_buckets_leave_the_store(spark, tmp_path):
+    slices = [[(1, "gone", START)], *([(k, "stays", START + dt.timedelta(seconds=s))] for k, s in ((2, 60), (3, 120), (4, 121)))]
+    decided(spark, tmp_path, slices, kept="1 second")
+    assert rows(stateful.bucket_states(spark, f"{tmp_path}/cp"), "api_key") == [("stays",)]
+
+
+def test_buckets_start_from_given_states(spark, tmp_path):
+    """A bucket that ran empty at the start refuses what a new one would serve."""
+    micros = int(START.timestamp() * 1_000_000)
+    initial = spark.createDataFrame([("x", micros + 3 * SMALL.cost, micros)], "api_key string, full_at bigint, last_at bigint")
+    data = [(1, "x", START), (2, "x", START + dt.timedelta(seconds=1)), (3, "y", START), (4, "x", None)]
+    got = decided(spark, tmp_path, [data], initial=initial)
+    assert rows(got, "id", "allowed") == [(1, False), (2, True), (3, True)]
+
+
+def test_days_from_minutes_with_late_rows(spark, tmp_path):
+    """Rows of a day still open are counted; the last day is not closed yet."""
+    batches = [["01-01 12:00", "01-02 12:00"], ["01-02 11:30", "01-02 13:00"],
+               ["01-02 12:30", "01-04 00:00"], ["01-03 23:30", "01-05 12:00"]]
+    configure(spark)
+    slices = [[(f"{i}-{t}", "7", dt.datetime.strptime(f"2024-{t}+0000", "%Y-%m-%d %H:%M%z"), "click") for t in texts]
+              for i, texts in enumerate(batches)]
+    slices_in_turn(spark, tmp_path, slices, EVENTS, lambda events: (
+        stateful.rolled_up(events).writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/days")
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(**jobs.ONCE).start()))
+    got = spark.read.parquet(f"{tmp_path}/days").select(F.date_format("window_start", "MM-dd"), "event_count")
+    assert rows(got) == [("01-01", 1), ("01-02", 4), ("01-03", 1), ("01-04", 1)]
+
+
+@pytest.mark.parametrize("size", ["30 seconds", "1 day"])
+def test_partial_counts_lose_nothing(spark, size):
+    data = [e for u in "ab" for e in minutes(u, [3, 1, 4])] + [("x", "a", None, "click")]
+    events = spark.createDataFrame(data, EVENTS)
+    found = stateful.partial_counts(events, stateful._micros(spark, size)).groupBy("user_id", "start_us").agg(F.sum("n"))
+    want = aggregate.user_counts(events.where("timestamp is not null"), size)
+    assert rows(found) == rows(want.select("user_id", F.unix_micros("window_start"), "count"))
