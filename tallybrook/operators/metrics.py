@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import scalars
+from ..functions import scalars, time as T
 
 # Quantiles reported, and (warn, alarm, warn colour) of each total.
 QUANTILES = (0.5, 0.95, 0.99)
@@ -49,6 +49,25 @@ def rates(events: DataFrame, by: Sequence[str] = (), size: str = "1 minute",
                     (F.col("n") / F.lit(seconds)).alias("per_second")))
 
 
+def sliding_rates(events: DataFrame, by: Sequence[str] = (), *, every: int = 15, span: int = 60) -> DataFrame:
+    """Events per second over the last ``span`` seconds, every ``every`` seconds.
+
+    ``at`` is a multiple of ``every``; the events of ``[at - span, at)`` count. A time is left
+    out when there were none. Events are first counted in slots of ``every`` seconds, then
+    each slot adds to the ``span / every`` times that look back on it: both are partial
+    aggregates, so the input is read once and no key's times pass through one task.
+    """
+    if span % every:
+        raise ValueError("the span must be a multiple of the step")
+    step = every * 1_000_000
+    slots = (events.where("timestamp is not null")
+             .groupBy(F.floor(T.micros("timestamp") / step).alias("_slot"), *by).agg(F.count("*").alias("_n")))
+    seen = slots.select(*by, "_n", F.explode(F.sequence(F.col("_slot") + 1, F.col("_slot") + span // every)).alias("_at"))
+    return (seen.groupBy("_at", *by).agg(F.sum("_n").alias("n"))
+            .select(F.timestamp_micros(F.col("_at") * step).alias("at"), *by, "n",
+                    (F.col("n") / F.lit(float(span))).alias("per_second")))
+
+
 def histogram(values: DataFrame, value: str, low: float, high: float, buckets: int,
               by: Sequence[str] = ()) -> DataFrame:
     """Counts per equal-width bucket, with the running total up to each bucket.

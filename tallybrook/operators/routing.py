@@ -16,12 +16,14 @@ def event_time(text: Column) -> Column:
     return F.when(text.rlike(r"^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$"), seconds).otherwise(text.try_cast("timestamp"))
 
 
-def parse_messages(messages: DataFrame) -> DataFrame:
+def parse_messages(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Message JSON -> event columns, the ``raw`` text and a failure ``reason``.
 
-    ``reason`` is null for a good event. Fields outside the envelope are dropped.
+    ``reason`` is null for a good event. Fields outside the envelope are dropped, other
+    columns of the messages too unless named in ``keep``.
     """
     opened = messages.select(
+        *keep,
         F.col("value").cast("string").alias("raw"),
         F.from_json(F.col("value").cast("string"), ENVELOPE,
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -30,6 +32,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     time = event_time(F.col("e.timestamp"))
     unread = F.col("e.timestamp").isNotNull() & time.isNull()
     return opened.select(
+        *keep,
         "raw",
         F.col("e.id").alias("id"),
         F.col("e.eventType").alias("event_type"),

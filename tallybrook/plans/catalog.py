@@ -6,6 +6,7 @@ Each runs over the whole table. Names and column names match ``oracle.sql()``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,7 @@ from ..functions.bucket import TokenBucket
 from ..operators import aggregate, baseline, enrich, ingest, metrics, routing, throttle
 from ..operators import toplists, upsert
 from ..session import configure, workspace
-from ..sources import adapter, streams, synthetic
+from ..sources import adapter, lookups, replay, streams, synthetic, tables as table
 from ..sources.tables import INCREMENTS_DDL, Tables
 from ..streaming import jobs, stateful
 
@@ -178,17 +179,18 @@ def dead_letter_routing(spark, sf):
         "reason")
 
 
+def _add_user(messages):
+    named = F.col("value").contains('"userId"')
+    added = F.regexp_replace("value", r"^\{", '{"userId":"unknown",')
+    return messages.withColumn("value", F.when(named, F.col("value")).otherwise(added))
+
+
 @query
 def dead_letter_replay(spark, sf):
     """Dead letters whose missing user is filled in, sent through again."""
     letters = routing.dead_letters(_parsed(spark, sf))
 
-    def add_user(messages):
-        named = F.col("value").contains('"userId"')
-        added = F.regexp_replace("value", r"^\{", '{"userId":"unknown",')
-        return messages.withColumn("value", F.when(named, F.col("value")).otherwise(added))
-
-    again = routing.replay_dead_letters(letters, add_user)
+    again = routing.replay_dead_letters(letters, _add_user)
     return again.select(F.regexp_extract("raw", r'"id":"(\d+)"', 1).try_cast("bigint").alias("id"),
                         F.when(F.col("reason").isNull(), F.col("user_id")).alias("user_id"),
                         "reason")
@@ -451,6 +453,97 @@ def synthetic_events(spark, sf):
     return synthetic.load_events(numbers)
 
 
+@query
+def sliding_rate_15s(spark, sf):
+    return metrics.sliding_rates(adapter.load_events(spark, sf)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query
+def sliding_rate_by_type(spark, sf):
+    """Five minutes looked back on, every minute."""
+    found = metrics.sliding_rates(adapter.load_events(spark, sf), ["event_type"], every=60, span=300)
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+# -- lookups on stored tables --------------------------------------------------
+# Each first stores the events or anomalies of the whole table, then looks up.
+
+def _stored_events(spark, sf, name):
+    """The event table and the increments, in two batches; a third of the events is written twice."""
+    tables = Tables(f"{workspace(spark, name)}/tables")
+    events = adapter.load_events(spark, sf).withColumns({
+        "id": F.col("id").cast("string"), "user_id": F.col("user_id").cast("string"),
+        "processed_at": F.col("timestamp").cast("timestamp")})
+    for batch, some in enumerate((events.where("cast(id as bigint) % 3 <> 0"), events.where("cast(id as bigint) % 3 <> 1"))):
+        again = some.withColumn("processed_at", F.col("processed_at") + F.make_dt_interval(secs=F.lit(batch)))
+        again = again.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        table.write_events(table.laid_out(again.select(*_STORED_COLUMNS)), tables, batch)
+        fresh = again if not batch else again.where("cast(id as bigint) % 3 = 0")
+        table.write_increments(aggregate.window_counts(fresh), tables, batch)
+    return tables
+
+
+_STORED_COLUMNS = ["id", "event_type", "user_id", "timestamp", "payload", "source_ip", "processed_at"]
+
+
+def _as_loaded(found):
+    return found.select(F.col("id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("user_id"),
+                        "event_type", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "payload")
+
+
+@query
+def stored_user_events(spark, sf):
+    tables = _stored_events(spark, sf, "lookup-events")
+    return _as_loaded(lookups.user_events(spark, tables, str(LOOKUP_USER), lookups.newest(spark, tables),
+                                          hours=168, limit=5000))
+
+
+@query
+def stored_user_events_of_type(spark, sf):
+    """Three rows: the buckets before the third are not opened."""
+    tables = _stored_events(spark, sf, "lookup-type")
+    return _as_loaded(lookups.user_events(spark, tables, str(LOOKUP_USER), lookups.newest(spark, tables),
+                                          hours=168, limit=3, event_type="click"))
+
+
+@query
+def stored_counter(spark, sf):
+    tables = _stored_events(spark, sf, "lookup-counter")
+    now = lookups.newest(spark, tables)
+    first = now - timedelta(hours=T.clamp(500, *toplists.EVENT_HOURS))
+    return lookups.counter(spark, tables, str(LOOKUP_USER), "view", f"{first:%Y-%m-%d}", f"{now:%Y-%m-%d}").withColumn(
+        "user_id", F.col("user_id").cast("bigint"))
+
+
+@query
+def stored_order(spark, sf):
+    """Rows of each stored day that are out of order in their file: none."""
+    return lookups.disorder(_stored_events(spark, sf, "lookup-order").read_stored(spark))
+
+
+def _stored_anomalies(spark, sf, name):
+    tables = Tables(f"{workspace(spark, name)}/tables")
+    found = _daily_anomalies(spark, sf).withColumns({
+        "user_id": F.col("user_id").cast("string"), "detected_at": F.col("detected_at").cast("timestamp")})
+    table.write_anomalies(found, tables)
+    return tables
+
+
+@query
+def stored_recent_anomalies(spark, sf):
+    now = adapter.load_events(spark, sf).agg(F.max("timestamp")).first()[0]
+    found = lookups.recent_anomalies(spark, _stored_anomalies(spark, sf, "lookup-recent"), now, hours=24, limit=3)
+    return found.withColumns({"user_id": F.col("user_id").cast("bigint"),
+                              "detected_at": F.col("detected_at").cast("timestamp_ntz")})
+
+
+@query
+def stored_user_hour_anomalies(spark, sf):
+    tables = _stored_anomalies(spark, sf, "lookup-hour")
+    return lookups.user_hour_anomalies(spark, tables, str(ANOMALY_USER), ANOMALY_HOUR).withColumns({
+        "user_id": F.col("user_id").cast("bigint"), "detected_at": F.col("detected_at").cast("timestamp_ntz")})
+
+
 # -- streams ------------------------------------------------------------------
 # Each runs its stream to the end of the events file and returns the stored result.
 
@@ -505,6 +598,27 @@ def stream_event_tables(spark, sf):
     return events.unionByName(letters)
 
 
+@query
+def stream_replayed_counters(spark, sf):
+    """Dead letters of the stream replayed twice: what the first one repairs counts once."""
+    tables = _stored(spark, sf, "replayed", adapter.as_raw_messages)
+    for _ in range(2):
+        replay.replay(spark, tables, _add_user)
+    return tables.read_counters(spark)
+
+
+@query
+def stream_replayed_events(spark, sf):
+    """Events stored after the replays, and the letters that still wait."""
+    tables = _stored(spark, sf, "replayed-events", adapter.as_raw_messages)
+    for _ in range(2):
+        replay.replay(spark, tables, _add_user)
+    events = tables.read_events(spark).groupBy().agg(F.count("*").alias("events"), F.countDistinct("id").alias("ids"))
+    waiting = replay.waiting(spark, tables).groupBy("reason").agg(F.count("*").alias("n"))
+    return (events.select(F.lit("stored").alias("state"), F.col("events").alias("n"))
+            .unionByName(waiting.select(F.col("reason").alias("state"), "n")))
+
+
 @query
 def stream_daily_counters(spark, sf):
     return _stored(spark, sf, "counters", adapter.as_raw_messages).read_counters(spark)

@@ -178,7 +178,31 @@ def _quantiles(value: str, name: str, source: str = "events") -> str:
         for p in (0.5, 0.95, 0.99))
 
 
+def _sliding(every: int, span: int, by: str = "") -> str:
+    """A frame over the times at which something is in sight, in plain seconds."""
+    by, part = (f", {by}", f"PARTITION BY {by} ") if by else ("", "")
+    return f"""WITH slot AS (
+  SELECT floor(epoch_us(ts) / {every}000000)::BIGINT + 1 AS s{by}, count(*) AS n FROM events GROUP BY ALL),
+grid AS (SELECT DISTINCT unnest(range(s, s + {span // every})) AS s{by} FROM slot),
+framed AS (
+  SELECT s{by}, sum(coalesce(n, 0)) OVER ({part}ORDER BY s
+    RANGE BETWEEN {span // every - 1} PRECEDING AND CURRENT ROW)::BIGINT AS n
+  FROM grid LEFT JOIN slot USING (s{by}))
+SELECT make_timestamp(s * {every}000000) AS "at"{by}, n, n / {span}::DOUBLE AS per_second FROM framed"""
+
+
+# Lookups on stored tables give what the lookups on all events give.
+_STORED = {"stored_user_events": "user_recent_events", "stored_user_events_of_type": "user_recent_events_of_type",
+           "stored_counter": "user_aggregation_lookup", "stored_recent_anomalies": "recent_anomalies",
+           "stored_user_hour_anomalies": "user_hour_anomalies"}
+
+
 def sql() -> dict[str, str]:
+    found = _sql()
+    return found | {name: found[other] for name, other in _STORED.items()}
+
+
+def _sql() -> dict[str, str]:
     return {
         "user_type_minute_counts": _window_counts(1),
         "user_type_five_minute_counts": _window_counts(5),
@@ -333,7 +357,19 @@ SELECT id, CASE WHEN reason IS NULL THEN 'events_by_user' ELSE 'dead_letter' END
 SELECT e.user_id::VARCHAR AS user_id, event_type, {_DAY} AS time_bucket,
   count(*) AS event_count
 FROM events e JOIN msg ON id = event_id WHERE reason IS NULL GROUP BY ALL""",
+        "stream_replayed_counters": f"""WITH {_LETTERS}
+SELECT CASE WHEN reason IS NULL THEN e.user_id::VARCHAR ELSE 'unknown' END AS user_id, event_type,
+  {_DAY} AS time_bucket, count(*) AS event_count
+FROM msg m JOIN events e ON m.id = event_id
+WHERE reason IS NULL OR reason = 'null_user_id' GROUP BY ALL""",
+        "stream_replayed_events": f"""WITH {_LETTERS}
+SELECT CASE WHEN reason IS NULL OR reason = 'null_user_id' AND id IS NOT NULL THEN 'stored' ELSE reason END AS state,
+  count(*) AS n FROM msg GROUP BY 1""",
         "stream_anomalies": f"WITH RECURSIVE {_anomalies(3.0)} SELECT * FROM ano",
+        "sliding_rate_15s": _sliding(15, 60),
+        "sliding_rate_by_type": _sliding(60, 300, "event_type"),
+        "stored_order": f"SELECT {_DAY} AS time_bucket, count(*) AS n, 0::BIGINT AS out_of_order FROM ("
+            "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 2) GROUP BY 1",
         "stream_bucket_decisions": _THROTTLE,
         "stream_tokens_remaining": _TOKENS_LEFT,
         "stream_daily_rollup": f"""SELECT user_id, event_type, {_DAY} AS time_bucket, count(*) AS event_count,

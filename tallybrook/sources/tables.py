@@ -52,9 +52,16 @@ class Tables:
     def read(self, spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.read.schema(ddl).parquet(path)
 
+    def read_stored(self, spark: SparkSession) -> DataFrame:
+        """The event table as it lies in its files, replaced rows included."""
+        return self.read(spark, self.events, EVENTS_DDL)
+
     def read_events(self, spark: SparkSession) -> DataFrame:
-        """The event table, each key in its last written state."""
-        stored = self.read(spark, self.events, EVENTS_DDL)
+        """The event table, each key in its last written state.
+
+        Filters on the user, the bucket or the time reach the files.
+        """
+        stored = self.read_stored(spark)
         return upsert.upsert_events(stored).drop("batch_id")
 
     def read_counters(self, spark: SparkSession) -> DataFrame:
@@ -75,6 +82,9 @@ class Tables:
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+    if "user_id" in df.columns:     # a lookup skips row groups that cannot hold its user
+        writer = writer.option("parquet.bloom.filter.enabled#user_id", "true").option(
+            "parquet.bloom.filter.adaptive.enabled", "true")
     writer.partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
