@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import time as T
 from ..functions.bucket import TokenBucket
 from ..operators import aggregate, baseline, enrich, ingest, metrics, routing, throttle
-from ..operators import toplists, upsert
+from ..operators import sketches, toplists, upsert
 from ..session import configure, workspace
 from ..sources import adapter, lookups, replay, streams, synthetic, tables as table
 from ..sources.tables import INCREMENTS_DDL, Tables
@@ -465,6 +465,21 @@ def sliding_rate_by_type(spark, sf):
     return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query
+def latency_summaries(spark, sf):
+    """Quantiles from a stored table of hourly sketches: rows behind them, and whether each
+    one's rank is within the documented bound of the exact one."""
+    events = adapter.load_events(spark, sf).join(
+        adapter.raw_events(spark, sf).select(F.col("event_id").alias("id"), "value"), "id")
+    path = f"{workspace(spark, 'sketches')}/hourly"
+    sketches.summaries(events, "value", ["event_type"], size="1 hour").write.parquet(path)
+    found = sketches.quantiles(sketches.merged(spark.read.parquet(path), ["event_type"]), ["event_type"])
+    checked = sketches.ranks(events, "value", found, ["event_type"])
+    error, p = sketches.rank_error(), F.col("quantile")
+    return found.join(checked, ["event_type", "quantile"]).select(
+        "event_type", "n", "quantile", ((F.col("below") <= p + error) & (F.col("up_to") >= p - error)).alias("within_bound"))
+
+
 # -- lookups on stored tables --------------------------------------------------
 # Each first stores the events or anomalies of the whole table, then looks up.
 

