@@ -30,7 +30,7 @@ from . import graph, store, words
 CLASS_RATIO = 1.25       # sets whose sizes lie within it are cut alike
 THICK = 4                # n-grams a filed segment should hold, where sizes allow it
 CUTS = 6                 # cuts tried on a set before its thin segments are filed too
-BLOCK_GRAMS = 1 << 17    # n-grams of the sets in half a group
+BLOCK_GRAMS = 1 << 18    # n-grams of the sets in half a group
 NODE_GRAMS = 8           # n-grams of a tree segment, on average
 PAIRS = 1 << 18          # node pairs that are expanded at once
 SLOTS = 64               # parts of the hash range whose n-grams are counted
@@ -283,8 +283,9 @@ def _reached(ids: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     return ids[moved], ids[roots[moved]]
 
 
-def _blocks(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
-    """Sets of the documents that have candidates, ready to be grouped.
+def _blocks(docs: DataFrame, block: DataFrame) -> DataFrame:
+    """Texts of the documents that have candidates, ready to be grouped. Texts are dealt
+    out rather than their sets, since hashes cannot be compressed.
 
     A block of more than ``BLOCK_GRAMS`` n-grams is cut by hash; every two of its parts
     meet in a group of their own, so no group outgrows memory and no pair is left out.
@@ -294,20 +295,10 @@ def _blocks(docs: DataFrame, block: DataFrame, n: int) -> DataFrame:
     parts = F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int")
     block = block.select("doc_id", "component", parts.alias("parts")).hint("merge")   # alike at any size
     rows = docs.select("doc_id", "text").join(block, "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in store.slices(batches):
-            sets = gram_sets(store.texts(batch), n)
-            yield pa.RecordBatch.from_arrays(
-                [store.column(batch, k) for k in ("doc_id", "component", "parts")]
-                + [pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "component", "parts", "grams"])
-
-    rows = rows.mapInArrow(run, "doc_id bigint, component bigint, parts int, grams binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    rows = rows.select("doc_id", "component", "grams", own.alias("own"),
+    rows = rows.select("doc_id", "component", "text", own.alias("own"),
                        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return rows.select("doc_id", "component", "grams", F.least("own", "other").alias("low"),
+    return rows.select("doc_id", "component", "text", F.least("own", "other").alias("low"),
                        F.greatest("own", "other").alias("high"),
                        (F.col("own") > F.col("other")).alias("side"))
 
@@ -316,13 +307,13 @@ def links(docs: DataFrame, block: DataFrame, n: int, parts: tuple[int, int]) ->
     """``(a, b)``: links that connect all linked sets of ``docs`` within ``block``."""
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
-        sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
+        sets = gram_sets(pa.concat_arrays(group.column("text").chunks).fill_null("").cast(pa.string()), n)
         one = group.column("low")[0] == group.column("high")[0]
         side = None if one else group.column("side").to_numpy()
         a, b = _reached(ids, tree_join(sets, side, parts))
         return pa.table({"a": a, "b": b})
 
-    return (_blocks(docs, block, n).groupBy("component", "low", "high")
+    return (_blocks(docs, block).groupBy("component", "low", "high")
             .applyInArrow(run, "a bigint, b bigint"))
 
 
