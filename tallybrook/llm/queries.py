@@ -72,7 +72,9 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
     found = warc.read(warc.write(warc.with_revisits(records), store.Folder(spark, "op8")), payloads=False)
     number = "try_cast(regexp_extract({}, '^<urn:record:(.*)>$', 1) as bigint)"
-    return found.where("status = 'record'").select(
+    gap = F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("start").cast("string"))
+    whole = F.when(F.col("status") == "record", True).otherwise(F.raise_error(gap).cast("boolean"))
+    return found.where(whole).select(       # just written: a gap is an error here
         F.expr(number.format("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
         "record_type", F.expr(number.format("refers_to")).alias("refers_to"))
 

@@ -28,6 +28,12 @@ class Folder:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def files(self, name: str) -> str:
+        """A place for files that tasks write themselves. Its path names its file system,
+        as a task cannot tell which one Spark takes for a path without a scheme."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more.
 

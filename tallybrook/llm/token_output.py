@@ -31,7 +31,7 @@ def write(docs: DataFrame, folder: store.Folder, path: str, end_id: int | None =
     rows = (docs.select("doc_id", F.col("text"), order.alias("_tie"))
             .repartitionByRange("doc_id", "_tie")
             .sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text"))
-    target = f"{folder.path}/shards"
+    target = folder.files("shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

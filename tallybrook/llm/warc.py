@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,8 +14,11 @@ from . import store
 
 FILE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+PIECE_BYTES = 64 << 10
+HEAD_BYTES = 64 << 20      # a header that is longer is taken for damage
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+HEAD_END = b"\r\n\r\n"
 MANIFEST = "path string, n_records bigint, n_bytes bigint"
 RECORD = ("path string, start bigint, end bigint, status string, reason string, "
           "record_id string, record_type string, uri string, refers_to string, "
@@ -74,7 +78,7 @@ def write(records: DataFrame, folder: store.Folder, compress: bool = True,
     A task writes files of about ``file_bytes`` under its attempt's own name; the manifest
     holds those of attempts that ended. An empty table gives an empty manifest.
     """
-    target = f"{folder.path}/warc"
+    target = folder.files("warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inside = store.filesystem(target)
@@ -111,6 +115,11 @@ class Damaged(Exception):
     pass
 
 
+def _number(text: str) -> int | None:
+    """A length in ASCII digits; None for anything else, however it came about."""
+    return int(text) if re.fullmatch(r"[0-9]{1,18}", text, re.ASCII) else None
+
+
 class Bytes:
     """Positions of a file, read in blocks; only the part in use is held."""
 
@@ -122,6 +131,12 @@ class Bytes:
             self.at, self.held = at, self.file.read_at(max(n, READ_BYTES), at)
         return self.held[at - self.at:at - self.at + n]
 
+    def piece(self, at: int) -> bytes:
+        """Some bytes from ``at`` on, as many as are held, none at the end of the file."""
+        if not self.at <= at < self.at + len(self.held):
+            self.at, self.held = at, self.file.read_at(READ_BYTES, at)
+        return self.held[at - self.at:at - self.at + PIECE_BYTES]
+
     def find(self, at: int) -> tuple[int, bool]:
         """Next place from ``at`` on where a member or a version line may begin."""
         while at < self.size:
@@ -135,24 +150,37 @@ class Bytes:
 
 
 def _member(source: Bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a position, and where it ends."""
-    unpack, parts = zlib.decompressobj(31), []
+    """The content of the gzip member at a position, and where it ends.
+
+    Unpacking stops where the content shows no record header, or outgrows the length that
+    its header gives, so a damaged member never takes more memory than a record may.
+    """
+    unpack, raw, whole = zlib.decompressobj(31), bytearray(), None
     try:
         while not unpack.eof:
-            block = source.get(at, min(READ_BYTES, source.size - at))
+            block = unpack.unconsumed_tail
             if not block:
+                block = source.piece(at)
+                at += len(block)
+            part = unpack.decompress(block, READ_BYTES)
+            if not (block or part or unpack.eof):
                 raise Damaged("gzip member is cut off")
-            parts.append(unpack.decompress(block))
-            at += len(block) - len(unpack.unused_data)
-            if len(parts) == 1 and not VERSION.startswith(parts[0][:len(VERSION)]):
+            raw += part
+            if not VERSION.startswith(raw[:len(VERSION)]):
                 raise Damaged("no version line")
+            if whole is None and raw.find(HEAD_END, max(0, len(raw) - len(part) - 3)) >= 0:
+                fields, start = _head(raw)
+                whole = start + _number(fields["content-length"]) + 4
+            if len(raw) > (HEAD_BYTES if whole is None else whole):
+                raise Damaged("header does not end" if whole is None else "length does not fit")
     except zlib.error as e:
         raise Damaged(f"gzip: {str(e)[:60]}") from None
-    return b"".join(parts), at
+    return bytes(raw), at - len(unpack.unused_data)
 
 
-def _head(raw: bytes) -> tuple[dict[str, str], int]:
-    end = raw.find(b"\r\n\r\n")
+def _head(raw: bytes | bytearray) -> tuple[dict[str, str], int]:
+    """Header fields by lower-case name, and where the block begins."""
+    end = raw.find(HEAD_END)
     if not raw.startswith(VERSION) or end < 0:
         raise Damaged("no header")
     fields = {}
@@ -161,7 +189,7 @@ def _head(raw: bytes) -> tuple[dict[str, str], int]:
         if not colon:
             raise Damaged("header line without a colon")
         fields[name.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit():
+    if _number(fields.get("content-length", "")) is None:
         raise Damaged("no content length")
     if not fields.get("warc-record-id") or not fields.get("warc-type"):
         raise Damaged("no record id or type")
@@ -173,11 +201,11 @@ def _plain(source: Bytes, at: int) -> tuple[bytes, int]:
     n = READ_BYTES
     while True:
         raw = source.get(at, min(n, source.size - at))
-        if b"\r\n\r\n" in raw or len(raw) < n or n > 64 * READ_BYTES:
+        if HEAD_END in raw or len(raw) < n or n > HEAD_BYTES:
             break
         n *= 2
     fields, start = _head(raw)
-    whole = start + int(fields["content-length"]) + 4
+    whole = start + _number(fields["content-length"]) + 4
     if at + whole > source.size:
         raise Damaged("record is cut off")
     return source.get(at, whole), at + whole
@@ -186,8 +214,9 @@ def _plain(source: Bytes, at: int) -> tuple[bytes, int]:
 def _checked(raw: bytes) -> dict:
     """Fields of a record whose length and digests hold."""
     fields, start = _head(raw)
-    block = raw[start:start + int(fields["content-length"])]
-    if len(raw) != start + int(fields["content-length"]) + 4 or raw[-4:] != b"\r\n\r\n":
+    size = _number(fields["content-length"])
+    block = raw[start:start + size]
+    if len(raw) != start + size + 4 or raw[-4:] != HEAD_END:
         raise Damaged("length does not fit")
     wanted = fields.get("warc-block-digest", "")
     if wanted.startswith("sha256:") and wanted[7:] != hashlib.sha256(block).hexdigest():
@@ -197,7 +226,7 @@ def _checked(raw: bytes) -> dict:
     if kind == "revisit":
         sizes = [line[15:].strip() for line in http.decode("latin-1").split("\r\n")
                  if line.lower().startswith("content-length:")]
-        n, payload = (int(sizes[0]) if sizes and sizes[0].isdigit() else None), None
+        n, payload = (_number(sizes[0]) if sizes else None), None
     else:
         found, n = hashlib.sha256(payload).hexdigest(), len(payload)
         if digest and digest != found:
@@ -214,7 +243,8 @@ def salvage(file, size: int) -> Iterator[dict]:
 
     A place that fails a check starts a gap. The gap ends at the next place where a whole
     member, or a record behind a version line, passes all checks; so later records are
-    recovered, and every byte is either in a record or in a logged gap.
+    recovered, and every byte is either in a record or in a logged gap. No bytes make it
+    fail: a length that is no plain number, or an endless header, is damage like any other.
     """
     source, at, gap, reason = Bytes(file, size), 0, None, None
     while at < size:

@@ -133,6 +133,77 @@ def test_salvage(compress):
     assert salvaged(b"") == []
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_salvage_stands_any_flipped_byte(compress):
+    """Whatever byte is damaged: no crash, all other records come back, every byte is told."""
+    rows, raw, at = archive(3, compress)
+    for p in range(len(raw)):
+        for flip in (0xFF, 0x01):
+            broken = bytearray(raw)
+            broken[p] ^= flip
+            found = salvaged(broken)
+            spans = [(f["start"], f["end"]) for f in found]
+            assert spans[0][0] == 0 and spans[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+            hit = sum(a <= p for a in at[1:])
+            assert {r["payload"] for i, r in enumerate(rows) if i != hit} <= {f.get("payload") for f in found}
+
+
+@pytest.mark.parametrize("length", ["\u00b2", "9" * 5000, "-1", "+7", "1_0", "\u0661", "", "999999999999999999"])
+def test_salvage_stands_odd_lengths(length):
+    _, raw, at = archive(2, compress=False)
+    one = raw[at[1]:]
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: " + length.encode() + b"\r\n\r\nabc\r\n\r\n"
+    for first in (head, zlib.compress(head, wbits=31)):
+        found = salvaged(first + one)
+        assert [f["status"] for f in found] == ["gap", "record"] and found[0]["end"] == len(first)
+    http = f"HTTP/1.1 200 OK\r\nContent-Length: {length}\r\n\r\n".encode()
+    again = (b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <x>\r\nContent-Length: " + str(len(http)).encode()
+             + b"\r\n\r\n" + http + b"\r\n\r\n")
+    found = salvaged(again + one)
+    assert [f["status"] for f in found] == ["record", "record"]
+    assert found[0]["payload_bytes"] == (int(length) if length.isascii() and length.isdigit() and len(length) < 19 else None)
+
+
+def test_salvage_stops_at_members_that_swell(monkeypatch):
+    """A member is unpacked to its header's length, or to the longest header, not to its end."""
+    _, raw, at = archive(2)
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 5\r\n\r\n"
+    swelling = zlib.compress(head + b"0" * (64 << 20), wbits=31)
+    endless = zlib.compress(b"WARC/1.1\r\n" + b"a" * (64 << 20), wbits=31)
+    monkeypatch.setattr(warc, "HEAD_BYTES", 3 << 20)
+    grown, real = [], warc.zlib.decompressobj
+
+    class Counting:
+        def __init__(self, wbits):
+            self.inner = real(wbits)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def decompress(self, block, most):
+            out = self.inner.decompress(block, most)
+            grown.append(len(out))
+            return out
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    found = salvaged(raw[:at[1]] + swelling + endless + raw[at[1]:])
+    assert [f["status"] for f in found] == ["record", "gap", "record"]
+    assert sum(grown) < 8 << 20
+
+
+def test_salvage_of_long_records():
+    """Records beyond all read blocks, packed well and badly, beside empty ones."""
+    rng = random.Random(9)
+    payloads = [b"", b"0" * (5 << 20), rng.randbytes(3 << 20), b"", b"1" * 100]
+    for compress in (True, False):
+        raw = b""
+        for i, payload in enumerate(payloads):
+            one = warc.record_bytes({"record_id": i, "uri": "u" * 70_000, "payload": payload, "payload_bytes": len(payload), "refers_to": None,
+                                     "payload_digest": hashlib.sha256(payload).hexdigest(), "record_type": "response"})
+            raw += zlib.compress(one, wbits=31) if compress else one
+        assert [f.get("payload") for f in salvaged(raw)] == payloads
+
+
 def test_warc_files(spark, folder):
     body = bytearray(b"x" * 120)
     rows = [(3, "u", body), (1, None, body), (1, "again", body), (2, "u", body), (4, "u", bytearray(b"x")), (5, "u", bytearray(b"x")),
