@@ -44,9 +44,13 @@ def not_blank(text: str | Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x00-\x20]"), F.lit(False))
 
 
-def violations(event_type: str = "event_type", user_id: str = "user_id",
-               payload: str = "payload") -> Column:
-    """Array of ``field: message``, in field order; empty for a valid request."""
+def violations(event_type: str | Column = "event_type", user_id: str | Column = "user_id",
+               payload: str | Column = "payload", prefix: Column | None = None) -> Column:
+    """Array of ``field: message``, in field order; empty for a valid request.
+
+    A ``prefix`` is set before each field, as for the elements of a batch.
+    """
+    payload = F.col(payload) if isinstance(payload, str) else payload
     # The message texts.
     checks = [
         (~not_blank(event_type), "eventType: eventType is required"),
@@ -55,9 +59,13 @@ def violations(event_type: str = "event_type", user_id: str = "user_id",
         (~not_blank(user_id), "userId: userId is required"),
         (F.char_length(user_id) > MAX_USER_ID,
          "userId: userId must be under 100 characters"),
-        (F.col(payload).isNull(), "payload: payload is required"),
+        (payload.isNull(), "payload: payload is required"),
     ]
-    return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]))
+
+    def said(text: str) -> Column:
+        return F.lit(text) if prefix is None else F.concat(prefix, F.lit(text))
+
+    return F.array_compact(F.array(*[F.when(bad, said(text)) for bad, text in checks]))
 
 
 def is_valid(event_type: str = "event_type", user_id: str = "user_id",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars
 from ..functions.bucket import TokenBucket
 from . import throttle
 
-# Events in a batch, key of callers without one.
+# Events in a batch, messages about its size, key of callers without one.
 MAX_BATCH = 100
+NO_EVENTS = "events list must not be empty"
+TOO_LARGE = "batch size must not exceed 100 events"
 ANONYMOUS = "anonymous"
 
 MAX_CROWDED = 10_000
@@ -25,17 +27,18 @@ def batch_verdicts(requests: DataFrame, key: str = "batch_id") -> DataFrame:
     """One row per batch: a single bad request, or a wrong size, rejects all of it.
 
     Partial aggregation keeps one row per batch and map task, so an oversized
-    batch costs no more to shuffle than a small one.
+    batch costs no more to shuffle than a small one. Requests without a batch have no
+    verdict here (``calls`` takes them one by one).
     """
     n, bad = F.col("n_events"), F.col("n_invalid")
     return (
-        requests.groupBy(key)
+        requests.where(F.col(key).isNotNull()).groupBy(key)
         .agg(F.count("*").alias("n_events"),
              F.count_if(~scalars.is_valid()).alias("n_invalid"))
         .withColumn("accepted", (n >= 1) & (n <= MAX_BATCH) & (bad == 0))
         .withColumn("n_accepted", F.when(F.col("accepted"), n).otherwise(F.lit(0)))
         .withColumn("reason",
-                    F.when(n > MAX_BATCH, "batch size must not exceed 100 events")
+                    F.when(n > MAX_BATCH, TOO_LARGE)
                     .when(bad > 0, "invalid event"))
     )
 
@@ -108,6 +111,32 @@ def accepted_events(requests: DataFrame, judged: DataFrame, key: str = "batch_id
     return stamp(alone.unionByName(grouped), replay)
 
 
+def array_verdicts(batches: DataFrame, events: str = "events") -> DataFrame:
+    """A verdict for every batch row that holds an array of requests, rejected ones too.
+
+    Adds ``n_events``, ``n_invalid``, ``messages``, ``accepted`` and ``n_accepted``. Messages
+    tell about the array first, then about its elements in order, as in
+    ``events[2].userId: userId is required``. A null array is an empty one; a null element is
+    invalid. A batch is accepted as a whole when there is no message. All is read off the
+    row itself, so nothing is shuffled; the array is dropped.
+    """
+    def told(e: Column, i: Column) -> Column:
+        at = F.concat(F.lit("events["), i.cast("string"), F.lit("]"))
+        own = scalars.violations(e["event_type"], e["user_id"], e["payload"], F.concat(at, F.lit(".")))
+        return F.when(e.isNull(), F.array(F.concat(at, F.lit(": event is required")))).otherwise(own)
+
+    n = F.coalesce(F.size(F.col(events)), F.lit(0)).cast("bigint")
+    size = F.when(n < 1, f"events: {NO_EVENTS}").when(n > MAX_BATCH, f"events: {TOO_LARGE}")
+    each = F.coalesce(F.transform(events, told), F.array().cast("array<array<string>>"))
+    return (batches.withColumn("n_events", F.greatest(n, F.lit(0).cast("bigint")))
+            .withColumn("_each", each)
+            .withColumn("n_invalid", F.size(F.filter("_each", lambda m: F.size(m) > 0)).cast("bigint"))
+            .withColumn("messages", F.concat(F.array_compact(F.array(size)), F.flatten("_each")))
+            .withColumn("accepted", F.size("messages") == 0)
+            .withColumn("n_accepted", F.when(F.col("accepted"), F.col("n_events")).otherwise(F.lit(0)))
+            .drop("_each", events))
+
+
 def flatten_batches(batches: DataFrame, events: str = "events") -> DataFrame:
     """Batch rows holding an array of requests -> one row per accepted request.
 

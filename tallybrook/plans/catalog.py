@@ -155,6 +155,19 @@ def batch_flattened(spark, sf):
         "id", "batch_id", "event_type", "user_id")
 
 
+@query
+def array_batch_verdicts(spark, sf):
+    """Batches as arrays: every one has a verdict, with messages for each element."""
+    return ingest.array_verdicts(adapter.as_request_arrays(_requests(spark, sf))).withColumn(
+        "messages", F.array_join("messages", "; "))
+
+
+@query
+def array_batch_events(spark, sf):
+    return ingest.flatten_batches(adapter.as_request_arrays(_requests(spark, sf))).select(
+        "batch_id", "position", "id", "user_id")
+
+
 @query
 def client_ip(spark, sf):
     return (ingest.with_client(_requests(spark, sf))

@@ -47,6 +47,20 @@ val AS (
     no_type::INT + long_type::INT + no_user::INT + long_user::INT + no_payload::INT AS bad
   FROM chk)"""
 
+# Batches as arrays; those of every 7th and 11th number are empty or null.
+_ARRAYS = _REQ + """,
+arr AS (
+  SELECT *, CASE WHEN batch_id % 7 <> 0 AND batch_id % 11 <> 0
+    THEN row_number() OVER (PARTITION BY batch_id ORDER BY id) - 1 END AS pos,
+    'events[' || pos || '].' AS field,
+    concat_ws('; ',
+      field || CASE WHEN no_type THEN 'eventType: eventType is required' END,
+      field || CASE WHEN long_type THEN 'eventType: eventType must be under 50 characters' END,
+      field || CASE WHEN no_user THEN 'userId: userId is required' END,
+      field || CASE WHEN long_user THEN 'userId: userId must be under 100 characters' END,
+      field || CASE WHEN no_payload THEN 'payload: payload is required' END) AS told
+  FROM val)"""
+
 _LETTERS = """msg AS (
   SELECT CASE WHEN event_id % 71 <> 0 OR event_id % 41 = 0 OR event_id % 67 = 0
       THEN event_id END AS id, user_id::VARCHAR AS user_id, event_id % 53 = 0 AS no_user,
@@ -252,6 +266,16 @@ FROM b""",
 SELECT id, batch_id, event_type, user_id FROM val
 WHERE batch_id IN (SELECT batch_id FROM val GROUP BY 1
                    HAVING count(*) <= 100 AND bool_and(ok))""",
+        "array_batch_verdicts": f"""WITH {_ARRAYS}, v AS (
+  SELECT batch_id, count(pos) AS n_events, count(nullif(told, '')) AS n_invalid,
+    concat_ws('; ', CASE WHEN count(pos) = 0 THEN 'events: events list must not be empty'
+      WHEN count(pos) > 100 THEN 'events: batch size must not exceed 100 events' END,
+      string_agg(nullif(told, ''), '; ' ORDER BY pos)) AS messages
+  FROM arr GROUP BY 1)
+SELECT *, messages = '' AS accepted, CASE WHEN messages = '' THEN n_events ELSE 0 END::BIGINT AS n_accepted FROM v""",
+        "array_batch_events": f"""WITH {_ARRAYS}
+SELECT batch_id, pos::INT AS position, id, user_id FROM arr WHERE batch_id IN (
+  SELECT batch_id FROM arr GROUP BY 1 HAVING count(pos) BETWEEN 1 AND 100 AND bool_and(ok))""",
         "client_ip": f"WITH {_REQ} SELECT id, ip AS source_ip, api_key FROM val",
         "stamped_events": f"""WITH {_REQ}
 SELECT id, event_type, user_id, ts AS "timestamp", ip AS source_ip, true AS unprocessed

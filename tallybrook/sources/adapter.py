@@ -75,6 +75,15 @@ def as_requests(raw: DataFrame) -> DataFrame:
     )
 
 
+def as_request_arrays(requests: DataFrame) -> DataFrame:
+    """Batch calls, each with the array of its requests in id order; some arrays are empty or null."""
+    one = F.struct("id", "event_type", "user_id", "payload")
+    sent = requests.groupBy("batch_id").agg(F.sort_array(F.collect_list(one)).alias("events"))
+    number = F.col("batch_id")
+    return sent.withColumn("events", F.when(number % 7 == 0, F.filter("events", lambda e: F.lit(False)))
+                           .when(number % 11 != 0, F.col("events")))
+
+
 def as_raw_messages(raw: DataFrame) -> DataFrame:
     """Stream messages (key, value = envelope JSON), some of them damaged."""
     envelope = F.to_json(F.struct(
