@@ -662,6 +662,19 @@ def _in_turn(spark, sf, name, slices, start):
     return root
 
 
+@query
+def stream_folded_counters(spark, sf):
+    """Increments are folded and dropped between the slices; the last slice stays loose."""
+    def start(raw, root):
+        tables = Tables(f"{root}/tables")
+        table.fold_increments(spark, tables)
+        table.drop_folded(spark, tables)
+        return jobs.process_events(adapter.as_raw_messages(raw), tables, f"{root}/checkpoint", jobs.ONCE)
+
+    root = _in_turn(spark, sf, "folded", _mixed, start)
+    return Tables(f"{root}/tables").read_counters(spark)
+
+
 def _mixed(raw, n=3):
     """Slices that each hold events of all times."""
     return [raw.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == i) for i in range(n)]

@@ -205,15 +205,17 @@ framed AS (
 SELECT make_timestamp(s * {every}000000) AS "at"{by}, n, n / {span}::DOUBLE AS per_second FROM framed"""
 
 
-# Lookups on stored tables give what the lookups on all events give.
-_STORED = {"stored_user_events": "user_recent_events", "stored_user_events_of_type": "user_recent_events_of_type",
-           "stored_counter": "user_aggregation_lookup", "stored_recent_anomalies": "recent_anomalies",
-           "stored_user_hour_anomalies": "user_hour_anomalies"}
+# Lookups on stored tables give what the lookups on all events give, folded counters what
+# the increments give.
+_SAME = {"stream_folded_counters": "stream_daily_counters",
+         "stored_user_events": "user_recent_events", "stored_user_events_of_type": "user_recent_events_of_type",
+         "stored_counter": "user_aggregation_lookup", "stored_recent_anomalies": "recent_anomalies",
+         "stored_user_hour_anomalies": "user_hour_anomalies"}
 
 
 def sql() -> dict[str, str]:
     found = _sql()
-    return found | {name: found[other] for name, other in _STORED.items()}
+    return found | {name: found[other] for name, other in _SAME.items()}
 
 
 def _sql() -> dict[str, str]:

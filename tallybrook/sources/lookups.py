@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import time as T
 from ..operators import aggregate, toplists
-from .tables import INCREMENTS_DDL, Tables
+from .tables import Tables
 
 
 def newest(spark: SparkSession, tables: Tables) -> dt.datetime | None:
@@ -80,8 +80,7 @@ def _utc(at: dt.datetime):
 def counter(spark: SparkSession, tables: Tables, user_id: str, event_type: str | None = None,
             first_bucket: str | None = None, last_bucket: str | None = None) -> DataFrame:
     """Daily counters of a user: the sum of the increments in the buckets asked for."""
-    stored = tables.read(spark, tables.increments, INCREMENTS_DDL)
-    return (aggregate.lookup(stored, user_id, event_type, first_bucket, last_bucket)
+    return (aggregate.lookup(tables.read_counts(spark), user_id, event_type, first_bucket, last_bucket)
             .groupBy("user_id", "event_type", "time_bucket").agg(F.sum("count").alias("event_count")))
 
 

@@ -237,7 +237,7 @@ def drop_expired(spark: SparkSession, path: str, oldest_kept: str) -> list[str]:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     dropped = set()
-    for pattern in ("time_bucket=*", "batch_id=*/time_bucket=*"):
+    for pattern in ("time_bucket=*", "batch_id=*/time_bucket=*", "fold_id=*/time_bucket=*"):
         for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or ():
             bucket = status.getPath().getName().partition("=")[2]
             if bucket < oldest_kept:
