@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import payload as P, scalars, time as T
@@ -9,18 +11,23 @@ from ..functions import payload as P, scalars, time as T
 PROCESSED_BY = "enrichment-v1"   # fixed value
 
 
-def enrich(events: DataFrame, processed_at: Column | None = None) -> DataFrame:
-    """Server-side keys merged into the payload, and ``processed_at`` set."""
+def enrich(events: DataFrame, processed_at: Column | None = None,
+           looked_up: Sequence[str] = ()) -> DataFrame:
+    """Server-side keys merged into the payload, and ``processed_at`` set.
+
+    The columns ``looked_up`` (see ``profiles``) move into the payload, as ``_<column>``.
+    """
     opened = P.open_object("payload")   # parsed once: equal expressions are shared
     additions = {
         "_enriched": F.lit(True),
         "_category": scalars.category("event_type"),
         "_payloadSize": P.size(opened),
         "_processedBy": F.lit(PROCESSED_BY),
+        **{f"_{c}": F.col(c) for c in looked_up},
     }
     now = F.current_timestamp() if processed_at is None else processed_at
     return (events.withColumn("payload", P.merge(opened, additions))
-            .withColumn("processed_at", now))
+            .withColumn("processed_at", now).drop(*looked_up))
 
 
 def with_buckets(events: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import time as T
 from ..functions.bucket import TokenBucket
 from ..operators import aggregate, baseline, enrich, ingest, metrics, routing, throttle
-from ..operators import sketches, toplists, upsert
+from ..operators import profiles, sketches, toplists, upsert
 from ..session import configure, workspace
 from ..sources import adapter, lookups, replay, streams, synthetic, tables as table
 from ..sources.tables import INCREMENTS_DDL, Tables
@@ -116,6 +116,12 @@ def enriched_events(spark, sf):
     )
 
 
+@query
+def profiled_events(spark, sf):
+    return profiles.with_profiles(adapter.load_events(spark, sf), adapter.user_profiles(spark, sf)).select(
+        "id", "user_id", "segment", "nation")
+
+
 @query
 def rendered_events(spark, sf):
     """Fields read back from the rendered JSON."""
@@ -626,6 +632,23 @@ def stream_event_tables(spark, sf):
     return events.unionByName(letters)
 
 
+@query
+def stream_profiled_events(spark, sf):
+    """Profiles looked up as the stream runs, read back from the stored payloads."""
+    def known():
+        return adapter.user_profiles(spark, sf).withColumn("user_id", F.col("user_id").cast("string"))
+
+    raw, root = _streamed(spark, sf, "profiled", FILES_PER_BATCH)
+    tables = Tables(f"{root}/tables")
+    _finish(jobs.process_events(adapter.as_raw_messages(raw), tables, f"{root}/checkpoint", jobs.ONCE,
+                                user_profiles=known))
+    return tables.read_events(spark).select(
+        F.col("id").cast("bigint").alias("id"), "user_id",
+        F.get_json_object("payload", "$._segment").alias("segment"),
+        F.get_json_object("payload", "$._nation").alias("nation"),
+        F.get_json_object("payload", "$._category").alias("category"))
+
+
 @query
 def stream_replayed_counters(spark, sf):
     """Dead letters of the stream replayed twice: what the first one repairs counts once."""

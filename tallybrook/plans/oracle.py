@@ -47,6 +47,10 @@ val AS (
     no_type::INT + long_type::INT + no_user::INT + long_user::INT + no_payload::INT AS bad
   FROM chk)"""
 
+_PROFILES = """(
+  SELECT c_custkey AS user_id, c_mktsegment AS segment, n_name AS nation
+  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0) p"""
+
 # Batches as arrays; those of every 7th and 11th number are empty or null.
 _ARRAYS = _REQ + """,
 arr AS (
@@ -243,6 +247,7 @@ FROM events GROUP BY ALL""",
   'enrichment-v1' AS processed_by, json_extract(props, '$.k')::INT AS k,
   (len(json_keys(props)) + 4)::INT AS keys_after, true AS processed,
   date_trunc('minute', ts) AS window_start FROM events""",
+        "profiled_events": f"SELECT event_id AS id, user_id, segment, nation FROM events LEFT JOIN {_PROFILES} USING (user_id)",
         "rendered_events": """SELECT event_id AS id, event_type, user_id::VARCHAR AS user_id,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts_text, json_extract(props, '$.k')::INT AS k,
   5::INT AS n_fields FROM events""",
@@ -383,6 +388,9 @@ SELECT id, CASE WHEN reason IS NULL THEN 'events_by_user' ELSE 'dead_letter' END
 SELECT e.user_id::VARCHAR AS user_id, event_type, {_DAY} AS time_bucket,
   count(*) AS event_count
 FROM events e JOIN msg ON id = event_id WHERE reason IS NULL GROUP BY ALL""",
+        "stream_profiled_events": f"""WITH {_LETTERS}
+SELECT event_id AS id, e.user_id::VARCHAR AS user_id, segment, nation, {_CATEGORY} AS category
+FROM events e JOIN msg ON id = event_id LEFT JOIN {_PROFILES} ON p.user_id = e.user_id WHERE reason IS NULL""",
         "stream_replayed_counters": f"""WITH {_LETTERS}
 SELECT CASE WHEN reason IS NULL THEN e.user_id::VARCHAR ELSE 'unknown' END AS user_id, event_type,
   {_DAY} AS time_bucket, count(*) AS event_count

@@ -75,6 +75,15 @@ def as_requests(raw: DataFrame) -> DataFrame:
     )
 
 
+def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(user_id, segment, nation)`` of the customers in credit; other users have no profile."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return (customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"),
+                    F.col("n_name").alias("nation")))
+
+
 def as_request_arrays(requests: DataFrame) -> DataFrame:
     """Batch calls, each with the array of its requests in id order; some arrays are empty or null."""
     one = F.struct("id", "event_type", "user_id", "payload")

@@ -9,7 +9,7 @@ a streaming aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import time as T
 from ..functions.bucket import TokenBucket
-from ..operators import aggregate, baseline, enrich, ingest, routing, throttle
+from ..operators import aggregate, baseline, enrich, ingest, profiles, routing, throttle
 from ..sources import tables as stored
 from ..sources.tables import Tables
 
@@ -35,9 +35,13 @@ ONCE = {"availableNow": True}
 # -- events: parse, route, enrich, count, store -------------------------------
 
 def process_events(messages: DataFrame, tables: Tables, checkpoint: str,
-                   trigger: dict = FLUSH, minutes: int = 1) -> StreamingQuery:
+                   trigger: dict = FLUSH, minutes: int = 1,
+                   user_profiles: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """Stream messages into the event, increment and dead-letter tables.
 
+    ``user_profiles`` gives ``user_id`` as text and attributes, which go into the payloads;
+    it is asked for each micro-batch, so profiles that changed meanwhile are seen.
+
     The numbers of read and failed events appear in the query's progress, as
     ``observedMetrics["outcomes"]``.
     """
@@ -49,7 +53,12 @@ def process_events(messages: DataFrame, tables: Tables, checkpoint: str,
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             events = routing.good(batch)
-            stored.write_events(enrich.enrich(stored.laid_out(events)), tables, batch_id)
+            found, looked_up = events, []
+            if user_profiles is not None:
+                found = profiles.with_profiles(events, user_profiles())
+                looked_up = [c for c in found.columns if c not in events.columns]
+            stored.write_events(enrich.enrich(stored.laid_out(found), looked_up=looked_up),
+                                tables, batch_id)
             stored.write_increments(aggregate.window_counts(events, minutes=minutes),
                                     tables, batch_id)
             stored.write_dead_letters(routing.dead_letters(batch), tables, batch_id)
