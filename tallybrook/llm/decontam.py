@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from . import store, words
@@ -190,6 +192,30 @@ def _matchers(benchmark: DataFrame) -> Iterator[Matcher]:
         yield Matcher(held)
 
 
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Matcher, bool]]:
+    """Each batch of the benchmark, with whether it is the last."""
+    batches = _matchers(benchmark)
+    held = next(batches, None)
+    while held is not None:
+        after = next(batches, None)
+        yield held, after is None
+        held = after
+
+
+def _search_pass(rows: DataFrame, shared: Broadcast, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in store.slices(batches):
+            found = shared.value.matches(store.texts(batch), similarity)
+            if found:
+                text, item, value, first, n = map(list, zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [store.column(batch, "doc_id").take(pa.array(text)), pa.array(item, pa.int64()),
+                     pa.array(value, pa.float64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())],
+                    names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+
+    return rows.mapInArrow(run, f"doc_id bigint, {FOUND}")
+
+
 def search(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: texts that contain an item.
 
@@ -198,44 +224,50 @@ def search(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY
     window is reported. An item or text of fewer than five words is one shingle. Words are
     lower-cased and stripped of marks. Null, empty and mark-only texts and items match
     nothing. Equal items are each reported; repeated documents and items give repeated
-    rows. A benchmark of any size is taken in batches, each one pass over the documents.
-    Other columns are ignored.
+    rows. Other columns are ignored.
+
+    A benchmark of any size is taken in batches, each one pass over the documents. What a
+    pass finds is written and its broadcast let go before the next, so executors hold the
+    items of one batch; the last pass is left to the reader of the result.
     """
-    context = docs.sparkSession.sparkContext
-    rows = docs.select("doc_id", "text")
-    out = None
-    for matcher in _matchers(benchmark):
+    context, folder = docs.sparkSession.sparkContext, store.Folder(docs.sparkSession, "decontam")
+    rows, parts = docs.select("doc_id", "text"), []
+    for matcher, last in _passes(benchmark):
         shared = context.broadcast(matcher)      # ITEM_BATCH items, ITEM_CHARS characters
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in store.slices(batches):
-                found = shared.value.matches(store.texts(batch), similarity)
-                if found:
-                    text, item, value, first, n = map(list, zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [store.column(batch, "doc_id").take(pa.array(text)), pa.array(item, pa.int64()),
-                         pa.array(value, pa.float64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())],
-                        names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
-
-        found = rows.mapInArrow(run, f"doc_id bigint, {FOUND}")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        found = _search_pass(rows, shared, similarity)
+        if not last:
+            found = folder.cut(found, f"found{len(parts)}")
+            shared.destroy(blocking=True)
+        parts.append(found)
+    if not parts:
         return rows.limit(0).select("doc_id", *(F.lit(None).cast(k).alias(n) for n, k in
                                                 (f.split() for f in FOUND.split(", "))))
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that contain no item of the benchmark, with all their columns."""
-    context = docs.sparkSession.sparkContext
-    for matcher in _matchers(benchmark):
-        shared = context.broadcast(matcher)
+def _clean_pass(docs: DataFrame, shared: Broadcast, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in store.slices(batches):
+            kept = np.ones(len(batch), bool)
+            kept[[m[0] for m in shared.value.matches(store.texts(batch), similarity)]] = False
+            yield batch.filter(pa.array(kept))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in store.slices(batches):
-                kept = np.ones(len(batch), bool)
-                kept[[m[0] for m in shared.value.matches(store.texts(batch), similarity)]] = False
-                yield batch.filter(pa.array(kept))
+    return docs.mapInArrow(run, docs.schema)
 
-        docs = docs.mapInArrow(run, docs.schema)
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that contain no item of the benchmark, with all their columns.
+
+    As in ``search`` one batch of items is broadcast at a time. What a pass but the last
+    keeps is written, and the table before it removed.
+    """
+    context, folder = docs.sparkSession.sparkContext, store.Folder(docs.sparkSession, "decontam")
+    for i, (matcher, last) in enumerate(_passes(benchmark)):
+        shared = context.broadcast(matcher)
+        docs = _clean_pass(docs, shared, similarity)
+        if not last:
+            docs = folder.cut(docs, f"kept{i}")
+            shared.destroy(blocking=True)
+            if i:
+                folder.drop(f"kept{i - 1}")
     return docs

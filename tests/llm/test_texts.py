@@ -212,6 +212,34 @@ def test_contamination_equals_brute_force(spark, docs):
     assert decontam.clean(docs, bench).columns == docs.columns
 
 
+def test_benchmarks_of_many_batches(spark, monkeypatch):
+    """Every batch of items finds its own, the broadcast of each but the last is let go."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(7)]
+    docs = spark.createDataFrame(
+        [(i, f"before {items[i][1]} after", "kept") for i in range(7)] + [(50, None, None), (51, "clean words only", ""), (3, items[3][1], None)],
+        "doc_id bigint, text string, note string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted([(i, i) for i in range(7)] + [(3, 3)])
+    live, made = set(), spark.sparkContext.broadcast
+
+    def broadcast(value):
+        assert not live
+        shared = made(value)
+        live.add(shared)
+        destroy = shared.destroy
+        shared.destroy = lambda blocking=False: (destroy(blocking), live.discard(shared))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    for size in (2, 7, 100):
+        monkeypatch.setattr(decontam, "ITEM_BATCH", size)
+        live.clear()
+        assert sorted((r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect()) == want
+        live.clear()
+        left = decontam.clean(docs, bench)
+        assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [50, 51]
+
+
 def test_toxicity_on_held_out_rows(spark):
     import duckdb
     sf = "/root/testdata/sf0.1"
