@@ -18,7 +18,7 @@ from ..operators import profiles, sketches, toplists, upsert
 from ..session import configure, workspace
 from ..sources import adapter, lookups, replay, streams, synthetic, tables as table
 from ..sources.tables import INCREMENTS_DDL, Tables
-from ..streaming import jobs, stateful
+from ..streaming import jobs, stateful, totals
 
 # The test events are thin (about 2.5 per active user and day). Day windows and a
 # small, slow bucket make the folds do something. The operators' defaults are 30
@@ -764,6 +764,31 @@ def stream_daily_rollup(spark, sf):
         "event_count", "windows")
 
 
+@query
+def stream_live_totals(spark, sf):
+    """Totals of three streams that run side by side, gathered from their micro-batches."""
+    listener = totals.TotalsListener(spark, f"{workspace(spark, 'live-totals')}/totals")
+
+    def start(raw, root):
+        tables, requests = Tables(f"{root}/tables"), adapter.as_requests(raw)
+        for running in (
+                jobs.process_events(adapter.as_raw_messages(raw), tables, f"{root}/cp-events", jobs.ONCE),
+                stateful.watch(adapter.as_events(raw), tables, f"{root}/cp-anomalies", size=DAY, trigger=jobs.ONCE),
+                stateful.bucket_decisions(requests, SLOW).writeStream.format("parquet")
+                .option("path", f"{root}/decisions").option("checkpointLocation", f"{root}/cp-buckets")
+                .trigger(**jobs.ONCE).start()):
+            if not listener.finished(running):
+                raise TimeoutError("a stream's last report has not come")
+        return running
+
+    spark.streams.addListener(listener)
+    try:
+        _in_turn(spark, sf, "live", _by_time, start)
+    finally:
+        spark.streams.removeListener(listener)
+    return totals.dashboard(spark, listener.path)
+
+
 @query
 def stream_throttle(spark, sf):
     """The batch throttle per slice, states handed on in tables; busy keys are split."""

@@ -411,6 +411,13 @@ SELECT CASE WHEN reason IS NULL OR reason = 'null_user_id' AND id IS NOT NULL TH
         "stream_daily_rollup": f"""SELECT user_id, event_type, {_DAY} AS time_bucket, count(*) AS event_count,
   count(DISTINCT date_trunc('minute', ts)) AS windows FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_NOW} - INTERVAL 1 HOUR GROUP BY ALL""",
+        "stream_live_totals": f"""SELECT *, CASE WHEN ingested >= 100000 THEN 'red' WHEN ingested >= 10000 THEN 'yellow'
+    ELSE 'green' END AS ingested_status,
+  CASE WHEN failed >= 10 THEN 'red' WHEN failed >= 1 THEN 'yellow' ELSE 'green' END AS failed_status,
+  CASE WHEN anomalies >= 5 THEN 'red' WHEN anomalies >= 1 THEN 'orange' ELSE 'green' END AS anomalies_status
+FROM (WITH {_LETTERS} SELECT count(*) AS ingested, count(reason) AS failed FROM msg),
+  (SELECT count(*) AS rate_limited FROM ({_THROTTLE}) WHERE NOT allowed),
+  (WITH RECURSIVE {_anomalies(3.0)} SELECT count(*) AS anomalies FROM ano)""",
         "stream_throttle": _THROTTLE,
         "stream_without_repeats":
             "SELECT event_id AS id, user_id, event_type FROM events",

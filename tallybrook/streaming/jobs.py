@@ -24,6 +24,7 @@ from ..functions.bucket import TokenBucket
 from ..operators import aggregate, baseline, enrich, ingest, profiles, routing, throttle
 from ..sources import tables as stored
 from ..sources.tables import Tables
+from . import totals
 
 WINDOWS_DDL = "user_id string, window_start timestamp, window_end timestamp, count bigint"
 LATENESS = "1 hour"
@@ -43,11 +44,10 @@ def process_events(messages: DataFrame, tables: Tables, checkpoint: str,
     it is asked for each micro-batch, so profiles that changed meanwhile are seen.
 
     The numbers of read and failed events appear in the query's progress, as
-    ``observedMetrics["outcomes"]``.
+    ``observedMetrics["outcomes"]``; ``totals.TotalsListener`` gathers them.
     """
-    parsed = routing.parse_messages(messages).observe(
-        "outcomes", F.count(F.lit(1)).alias("read"),
-        F.count_if(F.col("reason").isNotNull()).alias("failed"))
+    parsed = totals.observed(routing.parse_messages(messages), read=F.count(F.lit(1)),
+                             failed=F.count_if(F.col("reason").isNotNull()))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)

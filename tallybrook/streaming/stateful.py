@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -22,6 +23,7 @@ from ..operators import aggregate, baseline
 from ..operators.upsert import EVENT_DAYS
 from ..sources import tables as stored
 from ..sources.tables import Tables
+from . import totals
 
 KEPT = f"{EVENT_DAYS} days"     # how late an event may be: as long as events are stored
 IDLE = "90 days"                # without a window for so long, a user starts anew
@@ -104,12 +106,12 @@ class LiveBaseline(StatefulProcessor):
             count, reported = known[start]
             unusual = n >= self.least and abs((count - m) / max(math.sqrt(v), 1.0)) > self.threshold
             if unusual or reported:
-                out.append((key[0], start, start + self.size, count, m, v, n, not unusual))
+                out.append((key[0], start, start + self.size, count, m, v, n, not unusual, reported))
             if start in changed or unusual != reported:
                 self.pending.updateValue((start,), (count, unusual))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "count", "mean", "variance",
-                                             "observations", "withdrawn"])
+                                             "observations", "withdrawn", "known"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
@@ -142,7 +144,7 @@ def live_anomalies(events: DataFrame, *, size: str = "30 seconds", kept: str = K
 
     A window is judged when its first event comes and again whenever its count or an
     earlier window of its user changes, so the newest windows are not waited for. A row
-    with ``withdrawn`` takes an earlier one back. After the stream has seen the same events
+    with ``withdrawn`` takes an earlier one back; ``known`` tells that there was one. After the stream has seen the same events
     as a table, in any order up to ``kept`` late, what was not withdrawn is what the batch
     operator finds. Later events are dropped, like events that are not stored any more.
     Events without a time are left out; a null user is a user.
@@ -152,19 +154,30 @@ def live_anomalies(events: DataFrame, *, size: str = "30 seconds", kept: str = K
     counted = partial_counts(events, processor.size).withWatermark("at", kept)
     found = counted.groupBy("user_id").transformWithStateInPandas(
         processor, "user_id string, start_us bigint, end_us bigint, count bigint, mean double, "
-        "variance double, observations bigint, withdrawn boolean", "Append", "EventTime")
+        "variance double, observations bigint, withdrawn boolean, known boolean", "Append", "EventTime")
     return found.select(
         "user_id", F.timestamp_micros("start_us").alias("window_start"),
-        F.timestamp_micros("end_us").alias("window_end"), "count", "mean", "variance", "observations", "withdrawn")
+        F.timestamp_micros("end_us").alias("window_end"), "count", "mean", "variance", "observations",
+        "withdrawn", "known")
 
 
 def watch(events: DataFrame, tables: Tables, checkpoint: str, *, trigger: dict = CHECK, **options) -> StreamingQuery:
-    """Keeps the anomaly table: a folder per micro-batch, replaced if it runs twice."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        rows = baseline.anomaly_rows(baseline.with_z(batch), "withdrawn")
-        stored.write_anomalies(rows, tables, batch_id)
+    """Keeps the anomaly table: a folder per micro-batch, replaced if it runs twice.
 
-    return (live_anomalies(events, **options).writeStream.foreachBatch(store).outputMode("append")
+    How many anomalies a micro-batch adds, less those it withdraws, is in the query's
+    progress as ``anomalies``.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)    # the table's range sort reads it twice
+        try:
+            rows = baseline.anomaly_rows(baseline.with_z(batch), "withdrawn")
+            stored.write_anomalies(rows, tables, batch_id)
+        finally:
+            batch.unpersist()
+
+    found = totals.observed(live_anomalies(events, **options), anomalies=(
+        F.count_if(~F.col("withdrawn") & ~F.col("known")) - F.count_if("withdrawn")))
+    return (found.writeStream.foreachBatch(store).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
@@ -217,15 +230,16 @@ def bucket_decisions(requests: DataFrame, bucket: TokenBucket = TokenBucket(), *
     last one counts as made then; one more than ``kept`` late is dropped, and so is one
     without a time. ``initial`` holds buckets ``(api_key, full_at, last_at)`` to start from.
     A key's requests of one micro-batch are in one task; the source's limit per trigger
-    bounds them.
+    bounds them. How many were let through and refused is in the query's progress.
     """
     rows = (requests.where("timestamp is not null")
             .select("id", "api_key", F.col("timestamp").cast("timestamp").alias("timestamp"),
                     T.micros("timestamp").alias("at")).withWatermark("timestamp", kept))
     given = None if initial is None else initial.select("api_key", "full_at", "last_at").groupBy("api_key")
-    return rows.groupBy("api_key").transformWithStateInPandas(
+    decided = rows.groupBy("api_key").transformWithStateInPandas(
         Buckets(bucket), "id bigint, api_key string, allowed boolean, tokens_left int",
         "Append", "EventTime", initialState=given)
+    return totals.observed(decided, allowed=F.count_if("allowed"), rate_limited=F.count_if(~F.col("allowed")))
 
 
 def bucket_states(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
