@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import bpe, dac, store
 
 SHARD_IDS = 8_000_000
+SLICE_BYTES = 1 << 20      # text encoded at once, beside the ids a task holds for its shard
 MANIFEST = "part int, shard int, path string, n_ids bigint, n_docs bigint"
 
 
@@ -54,7 +55,7 @@ def write(docs: DataFrame, folder: store.Folder, path: str, end_id: int | None =
             held, held_ids, n, shard = [], [], 0, shard + 1
             return row
 
-        for batch in store.slices(batches, limit=bpe.SLICE_BYTES):
+        for batch in store.slices(batches, limit=SLICE_BYTES):
             ids, starts = use.encode(store.texts(batch))
             counts = np.diff(starts)
             if end_id is not None:
