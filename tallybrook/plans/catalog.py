@@ -677,10 +677,11 @@ def stream_daily_counters(spark, sf):
 
 def _in_turn(spark, sf, name, slices, start):
     """Feeds the events to a stream slice by slice: a slice arrives, the stream handles it
-    in a micro-batch, stops, and goes on from its checkpoint when the next one is there."""
-    root = workspace(spark, name)
+    in a micro-batch, stops, and goes on from its checkpoint when the next one is there.
+    A slice comes in as many files of one size as tasks can run, so that all take part."""
+    root, files = workspace(spark, name), spark.sparkContext.defaultParallelism
     for part in slices(adapter.raw_events(spark, sf)):
-        part.write.mode("append").parquet(f"{root}/in")
+        part.repartition(files).write.mode("append").parquet(f"{root}/in")
         _finish(start(streams.file_events(spark, f"{root}/in"), root))
     return root
 

@@ -152,3 +152,67 @@ def test_partial_counts_lose_nothing(spark, size):
     found = stateful.partial_counts(events, stateful._micros(spark, size)).groupBy("user_id", "start_us").agg(F.sum("n"))
     want = aggregate.user_counts(events.where("timestamp is not null"), size)
     assert rows(found) == rows(want.select("user_id", F.unix_micros("window_start"), "count"))
+
+
+def test_buckets_of_many_keys_share_a_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "SHARDS", 3)
+    draw, data = random.Random(4), []
+    for i in range(400):
+        key = draw.choice([None, *(f"k{n}" for n in range(40))])
+        data.append((i, key, START + dt.timedelta(milliseconds=draw.randrange(20000) + 10000 * (i // 200))))
+    got = decided(spark, tmp_path, [data[:200], data[200:]])
+    ordered = [rows(got.where(F.col("id").between(a, a + 199)), "id", "api_key", "allowed") for a in (0, 200)]
+    assert sum(map(len, ordered)) == 400
+    first = throttle.replay(spark.createDataFrame(data[:200], REQUESTS), SMALL, key="api_key", at="timestamp", tie="id")
+    assert ordered[0] == rows(first, "id", "api_key", "allowed")
+    left = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "bucket").load()
+    assert left.select("key.shard").distinct().count() == 3
+    assert stateful.bucket_states(spark, f"{tmp_path}/cp").count() == len({key for _, key, _ in data})
+
+
+class _Store:
+    """Counts the calls a processor makes, as each is a round trip to the store."""
+
+    def __init__(self):
+        self.calls, self.rows = 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    getValueState = getMapState = getListState
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, found):
+        self.calls, self.rows = self.calls + 1, list(found)
+
+    def appendList(self, found):
+        self.calls, self.rows = self.calls + 1, self.rows + list(found)
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+
+def test_a_user_costs_few_calls_however_many_windows_change():
+    from pyspark.sql import Row
+    store, size = _Store(), 1000
+    live = stateful.LiveBaseline(size, size, 0.1, 3.0, 10)
+    live.init(store)
+    live.base = type("Empty", (), {"get": lambda self: None})()
+    draw, counts, told = random.Random(5), {}, {}
+    for _ in range(30):
+        starts = [size * draw.randrange(200) for _ in range(100)]
+        ns = [draw.choice([1, 1, 2, 40]) for _ in starts]
+        for start, n in zip(starts, ns):
+            counts[start] = counts.get(start, 0) + n
+        store.calls = 0
+        for row in live.handleInputRows(("u",), iter([Row(starts=starts[:50], ns=ns[:50]), Row(starts=starts[50:], ns=ns[50:])]), None):
+            told[row.start_us] = None if row.withdrawn else row["count"]
+        assert store.calls <= 3
+        assert len(store.rows) <= 2 * len(counts)
+    order = sorted(counts)
+    met, _ = baseline.ema_run([float(counts[s]) for s in order], 0.0, 0.0, 0, 0.1)
+    want = {s: counts[s] for s, (m, v, n) in zip(order, met) if n >= 10 and abs((counts[s] - m) / max(v ** 0.5, 1.0)) > 3.0}
+    assert {s: n for s, n in told.items() if n is not None} == want != {}
