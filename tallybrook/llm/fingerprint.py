@@ -73,15 +73,54 @@ def occurrences(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     out = np.zeros(len(values), np.uint64)
     if len(repeated):
-        slot = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
-        at = np.flatnonzero(repeated[slot] == keys)
-        some = at[np.argsort(slot[at], kind="stable")]
+        # by their upper bits most of the others are told apart, without a search
+        there = np.zeros(1 << 18, bool)
+        there[repeated >> np.uint64(46)] = True
+        at = np.flatnonzero(there[keys >> np.uint64(46)])
+        slot = np.minimum(np.searchsorted(repeated, keys[at]), len(repeated) - 1)
+        found = repeated[slot] == keys[at]
+        at, slot = at[found], slot[found]
+        some = at[np.argsort(slot, kind="stable")]
         first = np.concatenate(([0], np.flatnonzero(np.diff(keys[some])) + 1))
         size = np.diff(np.concatenate((first, [len(some)])))
         out[some] = (np.arange(len(some)) - np.repeat(first, size)).astype(np.uint64)
     return out
 
 
+def _numbered(points: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """K-mers of each text and where each text's begin, with their occurrence, and places."""
+    grams, at = kmers(points, starts, k)
+    ids = words.mix(grams + occurrences(grams, at) * words.MULTIPLY)
+    place = (np.arange(len(grams)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64)
+    return grams, at, ids, place
+
+
+def _least(ids: np.ndarray, place: np.ndarray, first: np.ndarray, j: int, n: int, drawn: np.ndarray) -> np.ndarray:
+    """The ``n`` least values of function ``j`` in each stretch of k-mers, places in the low
+    bits. Stretches begin at ``first`` and reach up to the next one."""
+    np.multiply(ids, _FACTORS[j], out=drawn)
+    drawn &= ~_LOW
+    drawn |= place
+    origin, out = first - place[first].astype(np.int64), []
+    for _ in range(n):
+        least = np.minimum.reduceat(drawn, first)
+        there = least != _END
+        drawn[(origin + (least & _LOW).astype(np.int64))[there]] = _END
+        out.append(least)
+    return np.stack(out)
+
+
+def _tuples(least: np.ndarray, first: np.ndarray, count: np.ndarray, grams: np.ndarray, j: int) -> np.ndarray:
+    """The selected k-mers of each text, in text order, as one 16-bit value."""
+    hashed = np.full(len(first), j + 1, np.uint64)
+    chosen = np.where(least != _END, (least & _LOW).astype(np.int64), np.iinfo(np.int64).max)
+    for position in np.sort(chosen, axis=0):
+        there = position < count
+        gram = grams[first + np.where(there, position, 0)]
+        hashed = np.where(there, words.mix(hashed * words.MULTIPLY + gram), hashed)
+    return words.mix(hashed) >> np.uint64(48)
+
+
 def signatures(points: np.ndarray, starts: np.ndarray, k: int = GRAM, tuple_size: int = TUPLE,
                size: int = SIZE) -> np.ndarray:
     """One row of ``size`` 16-bit values per text.
@@ -90,34 +129,57 @@ def signatures(points: np.ndarray, starts: np.ndarray, k: int = GRAM, tuple_size
     with each other only.
     """
     out = np.zeros((len(starts) - 1, size), np.uint16)
-    grams, at = kmers(points, starts, k)
+    grams, at, ids, place = _numbered(points, starts, k)
     full = np.flatnonzero(np.diff(at))
     if not len(full):
         return out
     first, count = at[full], np.diff(at)[full]
-    ids = words.mix(grams + occurrences(grams, at) * words.MULTIPLY)
-    place = (np.arange(len(grams)) - np.repeat(first, count)).astype(np.uint64)
     drawn = np.empty_like(ids)
     for j in range(size):
-        np.multiply(ids, _FACTORS[j], out=drawn)
-        drawn &= ~_LOW
-        drawn |= place
-        chosen = []
-        for _ in range(tuple_size):
-            least = np.minimum.reduceat(drawn, first)
-            there = least != _END
-            position = np.where(there, (least & _LOW).astype(np.int64), np.iinfo(np.int64).max)
-            chosen.append(position)
-            drawn[(first + position)[there]] = _END
-        hashed = np.full(len(full), j + 1, np.uint64)
-        for position in np.sort(np.stack(chosen), axis=0):
-            there = position < count
-            gram = grams[first + np.where(there, position, 0)]
-            hashed = np.where(there, words.mix(hashed * words.MULTIPLY + gram), hashed)
-        out[full, j] = words.mix(hashed) >> np.uint64(48)
+        out[full, j] = _tuples(_least(ids, place, first, j, tuple_size, drawn), first, count, grams, j)
     return out
 
 
+def signatures_beside(points: np.ndarray, starts: np.ndarray, changed: np.ndarray, at: np.ndarray, kept: np.ndarray,
+                      k: int = GRAM, tuple_size: int = TUPLE, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """``signatures`` of all texts, and of the ``changed`` forms of all but the last, of which
+    the first ``kept`` code points are unchanged.
+
+    K-mers of the unchanged part have the same occurrences and places in both, so their least
+    values are found once, and only the rest of either is drawn apart.
+    """
+    n = len(starts) - 1
+    grams, first, ids, place = _numbered(points, starts, k)
+    new_grams, new_first, new_ids, new_place = _numbered(changed, at, k)
+    first, count, new_first, new_count = first[:-1], np.diff(first), new_first[:-1], np.diff(new_first)
+    same = np.zeros(n, np.int64)
+    same[:-1] = np.minimum(np.maximum(kept - k + 1, 0), np.minimum(count[:-1], new_count))
+    # two stretches a text, unchanged and rest; empty ones are left out
+    lengths = np.stack((same, count - same), 1).ravel()
+    stretch = np.flatnonzero(lengths)
+    begin = np.stack((first, first + same), 1).ravel()[stretch]
+    rest = store.ranges(new_first + same[:-1], new_count - same[:-1])
+    rest_ids, rest_place = new_ids[rest], new_place[rest]
+    with_rest = np.flatnonzero(new_count - same[:-1])
+    rest_begin = (np.cumsum(new_count - same[:-1]) - (new_count - same[:-1]))[with_rest]
+    # the changed texts follow the others
+    every = np.concatenate((grams, new_grams))
+    first, count = np.concatenate((first, len(grams) + new_first)), np.concatenate((count, new_count))
+    full = np.flatnonzero(count)
+    out, drawn, rest_drawn = np.zeros((len(count), size), np.uint16), np.empty_like(ids), np.empty_like(rest_ids)
+    for j in range(size if len(full) else 0):
+        found = np.full((tuple_size, 2 * n), _END, np.uint64)
+        found[:, stretch] = _least(ids, place, begin, j, tuple_size, drawn)
+        new_found = np.full((tuple_size, n - 1), _END, np.uint64)
+        new_found[:, with_rest] = _least(rest_ids, rest_place, rest_begin, j, tuple_size, rest_drawn)
+        unchanged = found[:, ::2]
+        least = np.sort(np.concatenate((
+            np.concatenate((unchanged, unchanged[:, :-1]), axis=1),
+            np.concatenate((found[:, 1::2], new_found), axis=1))), axis=0)[:tuple_size, full]
+        out[full, j] = _tuples(least, first[full], count[full], every, j)
+    return out[:n], out[n:]
+
+
 def as_text(signature: np.ndarray) -> str:
     return signature.astype(">u2").tobytes().hex()
 
@@ -234,7 +296,6 @@ def compare_edited(docs: DataFrame, parts: int) -> DataFrame:
 
     def make(ids: pa.Array, texts: pa.Array, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         points, starts = code_points(texts)
-        whole = signatures(points, starts)
         length = np.diff(starts)
         third = length[:-1] // 3
         kept, taken = length[:-1] - third, np.minimum(third, length[1:])
@@ -242,7 +303,7 @@ def compare_edited(docs: DataFrame, parts: int) -> DataFrame:
         size = np.stack((kept, taken), 1).ravel()
         edited = points[store.ranges(source, size)]
         at = np.concatenate(([0], np.cumsum(kept + taken)))
-        changed = signatures(edited, at)
+        whole, changed = signatures_beside(points, starts, edited, at, kept)
         raw = edited.tobytes()
         digest = [hashlib.sha256(raw[4 * a:4 * b].decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"))
                   .hexdigest() for a, b in zip(at.tolist(), at[1:].tolist())]

@@ -269,3 +269,26 @@ def test_audit_of_nothing(spark, folder):
     one = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200)), None)], docs.schema)
     rows = filter_audit.audit(one, labels, folder).collect()
     assert len(rows) == 600 and {(r.part, r.kept, r.removed, r.shapley) for r in rows} == {("", 1, 0, 0)}
+
+
+def test_changed_texts_share_the_draws_of_their_unchanged_part(monkeypatch):
+    draw = random.Random(11)
+    texts = ["", "a", "abcdefgh", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "", *(random_text(draw, n=300) for _ in range(60)), "abc", "x" * 50]
+    points, starts = fingerprint.code_points(pa.array(texts))
+    length = np.diff(starts)
+    kept = length[:-1] - length[:-1] // 3
+    changed = [a[:k] + b[:len(a) - k] for a, b, k in zip(texts, texts[1:], kept.tolist())]
+    new_points, new_starts = fingerprint.code_points(pa.array(changed))
+    want = fingerprint.signatures(points, starts), fingerprint.signatures(new_points, new_starts)
+    drawn, least = [], fingerprint._least
+    monkeypatch.setattr(fingerprint, "_least", lambda ids, *more: drawn.append(len(ids)) or least(ids, *more))
+    got = fingerprint.signatures_beside(points, starts, new_points, new_starts, kept)
+    assert all((a == b).all() for a, b in zip(got, want))
+    assert sum(drawn) < 1.5 * fingerprint.SIZE * len(points)
+    for few in ([""], ["a"], ["", ""], ["a long enough text", ""]):
+        points, starts = fingerprint.code_points(pa.array(few))
+        length = np.diff(starts)[:-1]
+        part, at = fingerprint.code_points(pa.array([t[:n - n // 3] for t, n in zip(few, length.tolist())], pa.string()))
+        got = fingerprint.signatures_beside(points, starts, part, at, length - length // 3)
+        assert (got[0] == fingerprint.signatures(points, starts)).all()
+        assert (got[1] == fingerprint.signatures(part, at)).all()
