@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from . import store
 
 KNOWN_PIECES = 200_000     # pieces whose ids a process remembers, and their bytes;
-KNOWN_BYTES = 4 << 20      # beyond either it starts anew
+KNOWN_BYTES = 4 << 20      # beyond either it keeps the half seen most
 JOINED_BYTES = 1 << 14     # pieces handed to the library as one text
 SLICE_BYTES = 4 << 20      # text encoded at once
 
@@ -109,12 +109,18 @@ class Encoder:
         self.tokenizer = tokenizer
         self.table = byte_table(tokenizer.get_vocab())
         self.widths = np.array([len(b) for b in self.table], np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = pa.array([], pa.binary())
         self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.seen = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that came in most slices, in half the room; one slice is not enough."""
+        order = np.argsort(-self.seen, kind="stable")[:KNOWN_PIECES // 2]
+        size = np.asarray(pc.binary_length(self.known), np.int64)[order] + 4      # with its offset
+        kept = order[(self.seen[order] > 1) & (np.cumsum(size) <= KNOWN_BYTES // 2)]
+        self.ids = self.ids[store.ranges(self.starts[kept], self.counts[kept])]
+        self.known, self.counts, self.seen = self.known.take(pa.array(kept)), self.counts[kept], self.seen[kept] // 2
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -145,6 +151,7 @@ class Encoder:
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
         self.ids = np.concatenate((self.ids, ids))
+        self.seen = np.concatenate((self.seen, np.zeros(len(counts), np.int64)))
         place = len(self.known) + np.where(whole, np.cumsum(whole) - 1,
                                            len(joined) + np.cumsum(~whole) - 1)
         self.known = pa.concat_arrays([self.known, joined, single])
@@ -173,6 +180,7 @@ class Encoder:
         at = at.fill_null(0).to_numpy().copy()
         if new.any():
             at[new] = self._learn(distinct.filter(pa.array(new)))
+        self.seen[at] += 1
         at = at[coded.indices.to_numpy()]
         counts = self.counts[at]
         ids = self.ids[store.ranges(self.starts[at], counts)]

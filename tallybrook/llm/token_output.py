@@ -12,6 +12,7 @@ from . import bpe, dac, store
 
 SHARD_IDS = 8_000_000
 SLICE_BYTES = 1 << 20      # text encoded at once, beside the ids a task holds for its shard
+READ_IDS = 1 << 18         # ids of neighbouring documents read at once, or one document's
 MANIFEST = "part int, shard int, path string, n_ids bigint, n_docs bigint"
 
 
@@ -85,7 +86,8 @@ def read(manifest: DataFrame, digest=None, kind: str = "binary") -> DataFrame:
 
     ``start`` counts the ids of all documents before. ``digest`` may turn a document's
     ids (numpy, unsigned 32-bit) into a value of the SQL type ``kind`` in the task; without
-    it ``ids`` holds them as little-endian binary. A document's ids are read by position.
+    it ``ids`` holds them as little-endian binary. Ids are read by position, those of
+    neighbouring documents together.
     """
     make = digest or (lambda ids: ids.astype("<u4").tobytes())
     arrow = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind]
@@ -99,10 +101,13 @@ def read(manifest: DataFrame, digest=None, kind: str = "binary") -> DataFrame:
                     shard = dac.Shard(lambda at, n: file.read_at(n, at), file.size())
                     doc_ids, starts = shard.doc_ids, shard.starts
                     ends = np.append(starts[1:], shard.n_ids)
-                    for a in range(0, len(doc_ids), 1000):
-                        some = slice(a, a + 1000)
-                        values = [make(shard.range(int(s), int(e)))
-                                  for s, e in zip(starts[some], ends[some])]
+                    z = 0
+                    while z < len(doc_ids):
+                        a, z = z, min(z + 1000, max(z + 1, int(np.searchsorted(ends, starts[z] + READ_IDS, "right"))))
+                        some = slice(a, z)
+                        found = shard.range(int(starts[a]), int(ends[z - 1]))
+                        values = [make(found[s:e]) for s, e in zip((starts[some] - starts[a]).tolist(),
+                                                                   (ends[some] - starts[a]).tolist())]
                         known = doc_ids[some]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(known, mask=known == dac.NULL_ID),

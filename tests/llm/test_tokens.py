@@ -130,3 +130,27 @@ def test_query_digests(spark, sf, plain):
         ids = np.array(plain.encode_ordinary(text[r.doc_id]), "<u4").tobytes()
         assert r.ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_frequent_pieces_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 4000)
+    use, asked = bpe.Encoder(bpe.tokenizer_from_file(JSON)), []
+    learn = use._learn
+    monkeypatch.setattr(use, "_learn", lambda pieces: asked.extend(pieces.to_pylist()) or learn(pieces))
+    common = [f"common{i}" for i in range(40)]
+    for start in range(0, 2000, 50):
+        text = " ".join(["x", *common, *(f"once{i}" for i in range(start, start + 50)), "y"])
+        ids, _ = use.encode(pa.array([text]))
+        assert ids.tolist() == use.tokenizer.encode(text, add_special_tokens=False).ids
+    assert use.known.nbytes < 8000
+    assert all(asked.count(f" {w}".encode()) <= 2 for w in common)
+
+
+def test_neighbouring_documents_are_read_together(spark, folder, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words " * (i % 7)) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    want = {i: bpe.tokenizer_from_file(JSON).encode("some words " * (i % 7), add_special_tokens=False).ids + [0] for i in range(7)}
+    for limit in (1, 20, 1 << 18):
+        monkeypatch.setattr(token_output, "READ_IDS", limit)
+        rows = sorted(token_output.read(token_output.write(docs, folder, JSON)).collect(), key=lambda r: r.start)
+        assert [np.frombuffer(r.ids, "<u4").tolist() for r in rows] == [want[i % 7] for i in range(60)]
+        assert [r.doc_id for r in rows] == list(range(60))
