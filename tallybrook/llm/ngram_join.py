@@ -6,8 +6,8 @@ text. That order is cut into segments, and a set is a path of segments. Two step
 1. Routing. Two sets with a Jaccard similarity of t differ in few n-grams, so if the hash
    range is cut into more segments than that, some segment is equal in both. A set is
    filed under the hash of each of its segments. Sets that share a filed segment are
-   candidates, unless the numbers of their n-grams in 64 parts of the hash range already
-   differ by more in all than linked sets can. Connected candidates form a block. No
+   candidates, unless the numbers of their n-grams in 64 or more parts of the hash range
+   already differ by more in all than linked sets can. Connected candidates form a block. No
    linked pair is ever in two blocks.
 2. Prefix tree. The sets of a block are put into a tree of segments. Pairs of tree nodes
    are walked together from the root; the overlap of two prefixes is counted once for all
@@ -33,7 +33,9 @@ CUTS = 6                 # cuts tried on a set before its thin segments are file
 BLOCK_GRAMS = 1 << 18    # n-grams of the sets in half a group
 NODE_GRAMS = 8           # n-grams of a tree segment, on average
 PAIRS = 1 << 18          # node pairs that are expanded at once
-SLOTS = 64               # parts of the hash range whose n-grams are counted
+SLOTS = 64               # parts of the hash range whose n-grams are counted, at least;
+SLOT_GRAMS = 8           # more for larger sets, so that a part has at most so many n-grams,
+MOST_SLOTS = 1 << 14     # up to this many parts
 MEMBERS = 1 << 11        # sets whose counts are compared at once
 
 
@@ -121,6 +123,19 @@ def signatures(grams: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slot_counts(grams: np.ndarray) -> bytes:
+    """How many n-grams each part of the hash range has, up to 255.
+
+    The counts of unrelated sets differ by about the root of n-grams times parts. With few
+    parts that is less than what large linked sets may differ by, so parts grow with the set.
+    """
+    bits = SLOTS.bit_length() - 1
+    while 1 << bits < min(MOST_SLOTS, len(grams) / SLOT_GRAMS):
+        bits += 1
+    at = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
 def _signed(docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """``(doc_id, n_shingles, h1, h2, slots, sigs)`` of each text; h1 and h2 stand for its
     set, slots holds how many n-grams each part of the hash range has, up to 255. Of equal
@@ -138,8 +153,7 @@ def _signed(docs: DataFrame, n: int, similarity: float) -> DataFrame:
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             two = [np.array([words.mix(s + np.uint64(i)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                    for i in (1, 2)]
-            slots = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SLOTS), 255)
-                     .astype(np.uint8).tobytes() for s in sets]
+            slots = [slot_counts(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [store.column(batch, "doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)),
                  *map(pa.array, two), pa.array(slots, pa.binary()),
@@ -395,7 +409,7 @@ def _candidates(filed: DataFrame, sets: DataFrame, folder: store.Folder, similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_near(np.array(r), np.array(n), b"".join(s), similarity)
+            out = [_near(np.array(r), np.array(n), s, similarity)
                    for r, n, s in zip(*(c.to_pylist() for c in batch.columns))]
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out))
@@ -404,16 +418,24 @@ def _candidates(filed: DataFrame, sets: DataFrame, folder: store.Folder, similar
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near(ids: np.ndarray, size: np.ndarray, slots: bytes, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the sets of a group whose slot counts may be those of linked sets."""
-    counts = np.frombuffer(slots, np.uint8).reshape(len(ids), SLOTS).astype(np.int16)
+def _near(ids: np.ndarray, size: np.ndarray, slots: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the sets of a group whose slot counts may be those of linked sets.
+
+    All are brought to the fewest slots that one of them has; pairs that pass by ``SLOTS``
+    are compared by these.
+    """
+    fewest = min(map(len, slots))
+    counts = np.stack([np.frombuffer(s, np.uint8).reshape(fewest, -1).sum(1, dtype=np.int32) for s in slots])
+    coarse = counts.reshape(len(ids), SLOTS, -1).sum(2, dtype=np.int32)
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(len(ids) - 1):
-            apart = np.abs(counts[i + 1:] - counts[i]).sum(1)
+            apart = np.abs(coarse[i + 1:] - coarse[i]).sum(1)
             allowed = (size[i + 1:] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-9
-            found = np.flatnonzero(apart <= allowed) + i + 1
-            yield np.full(len(found), i), found
+            found = np.flatnonzero(apart <= allowed)
+            if fewest > SLOTS and len(found):
+                found = found[np.abs(counts[found + i + 1] - counts[i]).sum(1) <= allowed[found]]
+            yield np.full(len(found), i), found + i + 1
 
     return _reached(ids, pairs())
 

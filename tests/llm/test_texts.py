@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
@@ -292,3 +293,16 @@ def test_stages_on_edge_cases(docs, sf):
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
         assert stage(spark, docs, sf).count() >= 10 - 2 * (name == "toxicity")
     assert stages.to_tokens(spark, docs, sf).count() == docs.count()
+
+
+def test_large_unrelated_sets_are_no_candidates():
+    """64 counts cannot tell them from linked ones; more counts still keep every linked pair."""
+    draw = np.random.default_rng(8)
+    sizes = [5000, 5000, 5100, 5600, 4100, 5000]
+    sets = [np.unique(draw.integers(0, 2**64, n, np.uint64)) for n in sizes]
+    near = np.unique(np.concatenate((sets[0][500:], draw.integers(0, 2**64, 500, np.uint64))))    # 0.81 of sets[0]
+    sets.append(near)
+    a, b = ngram_join._near(np.arange(7), np.array([len(s) for s in sets]), [ngram_join.slot_counts(s) for s in sets], 0.8)
+    assert list(zip(a.tolist(), b.tolist())) == [(6, 0)]
+    small = [np.unique(draw.integers(0, 2**64, n, np.uint64)) for n in (8, 500)]
+    assert [len(ngram_join.slot_counts(s)) for s in small] == [64, 64]
