@@ -36,6 +36,7 @@ PAIRS = 1 << 18          # node pairs that are expanded at once
 SLOTS = 64               # parts of the hash range whose n-grams are counted, at least;
 SLOT_GRAMS = 8           # more for larger sets, so that a part has at most so many n-grams,
 MOST_SLOTS = 1 << 14     # up to this many parts
+RELEASED_BYTES = 1 << 18 # of a group's texts after which free memory goes back
 MEMBERS = 1 << 11        # sets whose counts are compared at once
 
 
@@ -161,7 +162,7 @@ def _signed(docs: DataFrame, n: int, similarity: float) -> DataFrame:
                 names=["doc_id", "n_shingles", "h1", "h2", "slots", "sigs"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, slots binary, sigs array<bigint>")
+        lambda batches: store.released(run(batches)), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, slots binary, sigs array<bigint>")
 
 
 class Level:
@@ -325,6 +326,9 @@ def links(docs: DataFrame, block: DataFrame, n: int, parts: tuple[int, int]) ->
         one = group.column("low")[0] == group.column("high")[0]
         side = None if one else group.column("side").to_numpy()
         a, b = _reached(ids, tree_join(sets, side, parts))
+        if group.nbytes > RELEASED_BYTES:
+            del sets
+            store.release()
         return pa.table({"a": a, "b": b})
 
     return (_blocks(docs, block).groupBy("component", "low", "high")
@@ -415,7 +419,7 @@ def _candidates(filed: DataFrame, sets: DataFrame, folder: store.Folder, similar
                 a, b = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    return members.mapInArrow(lambda batches: store.released(run(batches)), "a bigint, b bigint")
 
 
 def _near(ids: np.ndarray, size: np.ndarray, slots: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -102,6 +103,23 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text",
             yield batch.slice(a, b - a)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; memory that is free after the last one goes back to the system.
+
+    A Python worker outlives its tasks, and would keep the most that one of them ever took
+    beside those of the next stages.
+    """
+    yield from batches
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a text array made by ``texts``."""
     if not len(array):

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         yield pa.RecordBatch.from_pydict({"bias": [model.bias], "weights": pa.array([model.weights.tobytes()], pa.binary())})
 
     one = texts.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label")
-    found = one.mapInArrow(run, "bias double, weights binary").collect()
+    found = one.mapInArrow(lambda batches: store.released(run(batches)), "bias double, weights binary").collect()
     if not found:
         return Model(0.0, np.zeros(SLOTS, np.float32))
     return Model(found[0]["bias"], np.frombuffer(found[0]["weights"], np.float32))
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                  pa.array(shared.value.scores(store.texts(batch, "_text")))], names=[*keep, "score"])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(lambda batches: store.released(run(batches)), f"{schema}, score double")
 
 
 def clean(docs: DataFrame, model: Model, reject: float) -> DataFrame:
@@ -195,4 +195,4 @@ def clean(docs: DataFrame, model: Model, reject: float) -> DataFrame:
         for batch in store.slices(batches, limit=SCORE_BYTES):
             yield batch.filter(pa.array(shared.value.scores(store.texts(batch)) < reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: store.released(run(batches)), docs.schema)

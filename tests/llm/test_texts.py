@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from tallybrook.llm import chat, decontam, ngram_join, queries, secret_scan, stages, toxicity
+from tallybrook.llm import chat, decontam, ngram_join, queries, secret_scan, stages, store, toxicity
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -306,3 +307,18 @@ def test_large_unrelated_sets_are_no_candidates():
     assert list(zip(a.tolist(), b.tolist())) == [(6, 0)]
     small = [np.unique(draw.integers(0, 2**64, n, np.uint64)) for n in (8, 500)]
     assert [len(ngram_join.slot_counts(s)) for s in small] == [64, 64]
+
+
+def test_free_memory_goes_back_after_a_task():
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    def run():
+        held = [np.ones(8000) for _ in range(2500)]       # 160 MB in chunks below the size that malloc maps alone
+        pins.append(np.ones(8000))                        # keeps the top of the heap in use
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+
+    pins, before = [], resident()
+    assert [b.column(0)[0].as_py() for b in store.released(run())] == [2500]
+    assert resident() < before + 60
