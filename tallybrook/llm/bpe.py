@@ -3,14 +3,17 @@
 Text between two safe cuts is called a piece here. A cut is safe before a single space
 that stands between two characters that are certainly no white space: the split patterns
 of byte-level tokenizers attach such a space to what follows, and no match reaches over
-it. So the ids of a text are those of its pieces, one after the other, and a piece that
-occurs often is given to the library once. Doubtful characters are never cut at.
+it. A cut is safe between a letter and a mark or line end as well, as a run of letters ends
+there in all of them, and what follows it does not look back; so a word is one piece, whatever
+stands after it. So the ids of a text are those of its pieces, one after the other, and a piece
+that occurs often is given to the library once. Doubtful characters are never cut at.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +23,11 @@ from pyspark.sql import DataFrame
 
 from . import store
 
-KNOWN_PIECES = 200_000     # pieces whose ids a process remembers, and their bytes;
-KNOWN_BYTES = 4 << 20      # beyond either it keeps the half seen most
-JOINED_BYTES = 1 << 14     # pieces handed to the library as one text
-SLICE_BYTES = 4 << 20      # text encoded at once
+KNOWN_PIECES = 300_000     # pieces whose ids a process remembers, and their bytes;
+KNOWN_BYTES = 6 << 20      # beyond either it keeps the half seen most
+MARKS = "\n,.:;!?"          # what ends a word, where no special token holds it
+JOINED_BYTES = 1 << 10     # pieces handed to the library as one text
+SLICE_BYTES = 2 << 20      # text encoded at once
 
 
 def byte_characters() -> list[str]:
@@ -102,11 +106,21 @@ def _solid_from(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((first > 32) & (first < 127)) | ((first >= 0xC3) & (first <= 0xDF))
 
 
+def _letter_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before ``at`` is certainly a letter: A to Z, or U+00C0 to U+00FF."""
+    last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    plain = ((last | 32) >= 97) & ((last | 32) <= 122)
+    return plain | ((lead == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7))
+
+
 class Encoder:
     """Ids of texts by a byte-level tokenizer."""
 
     def __init__(self, tokenizer):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core; threads of its own hold memory
         self.tokenizer = tokenizer
+        special = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.marks = np.isin(np.arange(256), [ord(c) for c in MARKS if c not in special])
         self.table = byte_table(tokenizer.get_vocab())
         self.widths = np.array([len(b) for b in self.table], np.int64)
         self.known = pa.array([], pa.binary())
@@ -131,30 +145,32 @@ class Encoder:
     def _learn(self, pieces: pa.Array) -> np.ndarray:
         """Asks for the ids of new pieces and returns their places among the known.
 
-        Pieces that start and end solidly are joined to long texts.
+        Pieces that start and end solidly are joined to long texts, and so are those that start
+        with a mark and end with a letter; between two of a kind the cut is safe.
         """
         data, offsets = store.text_bytes(pieces)
-        size = np.diff(offsets)
-        start, last = data[np.minimum(offsets[:-1], len(data) - 1)], offsets[1:]
-        whole = (size > 1) & (start == 32)
-        whole[whole] = (_solid_from(data, offsets[:-1][whole] + 1)
-                        & _solid_before(data, last[whole]))
-        joined, single = pieces.filter(pa.array(whole)), pieces.filter(pa.array(~whole))
-        data, offsets = store.text_bytes(joined)
-        group = offsets[1:] // JOINED_BYTES
-        edges = offsets[[0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(joined)]]
+        size, start, last = np.diff(offsets), data[offsets[:-1]], offsets[1:]
+        spaced, marked = (size > 1) & (start == 32), (size > 1) & self.marks[start]
+        spaced[spaced] = (_solid_from(data, offsets[:-1][spaced] + 1)
+                          & _solid_before(data, last[spaced]))
+        marked[marked] = _letter_before(data, last[marked])
+        order = np.argsort(np.where(spaced, 0, np.where(marked, 1, 2)), kind="stable")
+        pieces, n = pieces.take(pa.array(order)), int((spaced | marked).sum())
+        data, offsets = store.text_bytes(pieces.slice(0, n))
+        group = offsets[1:] // JOINED_BYTES + (np.arange(n) >= spaced.sum())
+        edges = offsets[[0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]]
         ids, _ = self._library([data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])])
         ends = np.searchsorted(np.cumsum(self.widths[ids]), offsets[1:]) + 1
-        counts = np.diff(ends, prepend=0) if len(joined) else np.zeros(0, np.int64)
-        more, more_counts = self._library([p.decode() for p in single.to_pylist()])
+        counts = np.diff(ends, prepend=0) if n else np.zeros(0, np.int64)
+        more, more_counts = self._library([p.decode() for p in pieces.slice(n).to_pylist()])
         ids, counts = np.concatenate((ids, more)), np.concatenate((counts, more_counts))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
         self.ids = np.concatenate((self.ids, ids))
         self.seen = np.concatenate((self.seen, np.zeros(len(counts), np.int64)))
-        place = len(self.known) + np.where(whole, np.cumsum(whole) - 1,
-                                           len(joined) + np.cumsum(~whole) - 1)
-        self.known = pa.concat_arrays([self.known, joined, single])
+        place = np.empty(len(order), np.int64)
+        place[order] = len(self.known) + np.arange(len(order))
+        self.known = pa.concat_arrays([self.known, pieces])
         return place
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +182,8 @@ class Encoder:
         spaces = spaces[_solid_before(data, spaces) & _solid_from(data, spaces + 1)]
         cut = np.zeros(len(data) + 1, bool)
         cut[spaces] = True
+        marks = np.flatnonzero(self.marks.take(data[1:])) + 1
+        cut[marks[_letter_before(data, marks)]] = True
         cut[offsets] = True
         cuts = np.flatnonzero(cut)
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [
@@ -260,7 +278,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
     return rows.mapInArrow(
-        run, f"{schema}, ids binary, n_tokens bigint" + ", round_trip boolean" * check + ", decoded binary" * decoded)
+        lambda batches: store.released(run(batches)), f"{schema}, ids binary, n_tokens bigint" + ", round_trip boolean" * check + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids",

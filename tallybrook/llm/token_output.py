@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import bpe, dac, store
 
 SHARD_IDS = 8_000_000
-SLICE_BYTES = 1 << 20      # text encoded at once, beside the ids a task holds for its shard
+SLICE_BYTES = 2 << 20      # text encoded at once, beside the ids a task holds for its shard
 READ_IDS = 1 << 18         # ids of neighbouring documents read at once, or one document's
 MANIFEST = "part int, shard int, path string, n_ids bigint, n_docs bigint"
 

@@ -11,6 +11,9 @@ from tallybrook.llm import bpe, dac, token_output
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# another usual way of splitting: marks may start a word, line ends follow marks
+OTHER_PATTERN = (r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}|"
+                 r" ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+")
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +42,35 @@ def test_special_strings_are_what_the_library_takes_them_for(parts):
     assert ids.tolist() == [i for t in (text, "x") for i in fresh.encode(t, add_special_tokens=False).ids]
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text(alphabet="aZé×÷Þß ,.:;!?\n'\u0301\u0100s1日_", max_size=40), min_size=1, max_size=4))
+def test_words_end_at_marks(texts):
+    for use in (bpe.encoder(JSON), bpe.encoder(RANKS, public_tokenizers.PATTERN), bpe.encoder(RANKS, OTHER_PATTERN)):
+        ids, starts = use.encode(pa.array(texts))
+        whole = [e.ids for e in use.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == whole
+
+
+def test_a_word_is_asked_for_once_whatever_ends_it():
+    use, asked = bpe.Encoder(bpe.tokenizer_from_file(JSON)), []
+    library = use._library
+    use._library = lambda texts: asked.extend(texts) or library(texts)
+    use.encode(pa.array(["some unlikelyword, here"]))
+    asked.clear()
+    text = "here unlikelyword.\nThere unlikelyword\nhere unlikelyword, some unlikelyword"
+    ids, _ = use.encode(pa.array([text]))
+    assert "unlikelyword" not in "".join(asked)
+    assert ids.tolist() == use.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_of_special_tokens_cut_nothing():
+    tokenizer = bpe.tokenizer_from_file(JSON)
+    tokenizer.add_special_tokens(["<a.b>"])
+    text = "x <a.b> y.z, w"
+    ids, _ = bpe.Encoder(tokenizer).encode(pa.array([text]))
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_forgotten_pieces_are_learnt_again(monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN_BYTES", 400)
     use = bpe.Encoder(bpe.tokenizer_from_file(JSON))
